@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import mixing, simhash
+from readloom.llm import mixing, packing, simhash, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+END_ID = 2
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, path = sstable.write_new(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
+    rows = sstable.read(manifest, path).select("file", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return sstable.with_start(rows, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 MAX_EPOCHS = 1.25
 
 
@@ -65,7 +86,9 @@ FROM copied
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op4_sstable": op4_sstable,
         "op5_mixing": op5_mixing,
+        "op6_packing": op6_packing,
     }
 
 
