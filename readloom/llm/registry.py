@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import mixing, packing, simhash, sstable
+from readloom.llm import mixing, packing, sentences, simhash, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,14 +83,44 @@ FROM copied
 """
 
 
+def op7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sentences.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = f"""
+WITH each AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{sentences.SENTENCE}') AS s FROM documents),
+plain AS MATERIALIZED (
+  SELECT doc_id, list_transform(s, lambda x: ltrim(regexp_replace(regexp_replace(lower(x), '[.!? \t-\r]+$', ''), '[ \t-\r]+', ' ', 'g'), ' ')) AS p
+  FROM each WHERE len(s) > 0),
+spans AS MATERIALIZED (
+  SELECT doc_id, pos, array_to_string(p[pos + 1 : pos + {sentences.RUN}], chr(10)) AS span
+  FROM (SELECT doc_id, p, unnest(range(0, greatest(len(p) - {sentences.RUN}, 0) + 1)) AS pos FROM plain)),
+again AS (
+  SELECT span, min((doc_id, pos)) AS first FROM spans
+  WHERE length(span) - length(replace(replace(span, ' ', ''), chr(10), '')) + 1 >= {sentences.MIN_WORDS}
+  GROUP BY span HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT s.doc_id, unnest(range(s.pos, s.pos + {sentences.RUN})) AS pos
+  FROM spans s JOIN again a ON a.span = s.span WHERE (s.doc_id, s.pos) <> a.first),
+cuts AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+SELECT e.doc_id, CAST(len(s) AS BIGINT) AS n_sentences,
+       CAST(len(list_filter(coalesce(gone, []), lambda i: i < len(s))) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), '')) AS kept_sha256
+FROM each e LEFT JOIN cuts c ON c.doc_id = e.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op4_sstable": op4_sstable,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
+        "op7_sentences": op7_sentences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL}
+    return {"op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL}
