@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import mixing, packing, sentences, simhash, sstable
+from readloom.llm import mixing, packing, sentences, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def remainder(doc_id: str, n: int):
+    """crc32 of the doc_id as text, modulo ``n``: what holds rows out."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+
+
+TOXIC_FOLDS = 5
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.train(docs, labels.where(remainder("doc_id", TOXIC_FOLDS) != 0))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")))
+    held = F.coalesce(remainder("doc_id", TOXIC_FOLDS) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 END_ID = 2
 
 
@@ -115,6 +134,7 @@ FROM each e LEFT JOIN cuts c ON c.doc_id = e.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_toxicity": op3_toxicity,
         "op4_sstable": op4_sstable,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
