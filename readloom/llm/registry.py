@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import mixing, packing, sentences, simhash, sstable, toxicity
+from readloom.llm import forest, langid, mixing, packing, sentences, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,20 @@ FROM each e LEFT JOIN cuts c ON c.doc_id = e.doc_id
 """
 
 
+LANG_FOLDS, LANG_HELD = 4, 2
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(remainder("doc_id", LANG_FOLDS) == LANG_HELD, F.lit(False))
+    found = langid.predict(docs, langid.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -139,6 +153,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op7_sentences": op7_sentences,
+        "op8_langid": op8_langid,
+        "op9_forest": op9_forest,
     }
 
 
