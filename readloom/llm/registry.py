@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import forest, langid, mixing, packing, sentences, simhash, sstable, toxicity
+from readloom.llm import forest, langid, mixing, packing, runlength, sentences, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,11 @@ def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_runlength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = runlength.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -155,6 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sentences": op7_sentences,
         "op8_langid": op8_langid,
         "op9_forest": op9_forest,
+        "op10_runlength": op10_runlength,
     }
 
 
