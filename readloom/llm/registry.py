@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import forest, langid, mixing, packing, runlength, sentences, simhash, sstable, toxicity
+from readloom.llm import codes, forest, langid, mixing, packing, runlength, sentences, simhash, sstable, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def op2_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), codes.sign_code(F.col("embedding")).alias("code"))
+    found = codes.top_k(table, F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+OP2_SQL = """
+WITH bits AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+codes AS MATERIALIZED (
+  SELECT DISTINCT vec_id, list_aggregate(list_transform(b, lambda x, i: CASE WHEN x THEN (1::HUGEINT << (i - 1)::INTEGER) ELSE 0::HUGEINT END), 'sum') AS code FROM bits),
+ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code::HUGEINT, c.code::HUGEINT)) AS INTEGER) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code::HUGEINT, c.code::HUGEINT)), c.vec_id) AS rank
+  FROM codes q JOIN codes c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def remainder(doc_id: str, n: int):
     """crc32 of the doc_id as text, modulo ``n``: what holds rows out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
@@ -153,6 +172,7 @@ def op10_runlength(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_codes": op2_codes,
         "op3_toxicity": op3_toxicity,
         "op4_sstable": op4_sstable,
         "op5_mixing": op5_mixing,
@@ -165,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL}
+    return {"op2_codes": OP2_SQL, "op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL}
