@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.llm.store import Scratch
 
@@ -164,9 +165,12 @@ class _Rows(dict):
         return got
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row of ``docs`` by its whole text; a null text scores as an empty one."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, score) of each row of ``docs`` by its whole text, or the columns ``keep`` and score; a null text scores as
+    an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS rows at most
+    names = keep or ["doc_id"]
+    slim = docs.select(*names, F.col("text").alias("scored_text"))
 
     def run(batches):
         m = shared.value
@@ -175,10 +179,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = []
-                for text in part.column(1).to_pylist():
+                for text in part.column(len(names)).to_pylist():
                     found = set(chain.from_iterable(map(rows.__getitem__, set((text or "").lower().split()))))
                     texts.append(np.sort(np.fromiter(found, dtype=np.int64, count=len(found))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.scores(texts))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m.scores(texts))], names=[*names, "score"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, score double")
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
