@@ -72,7 +72,7 @@ def mix(docs: DataFrame, *, max_epochs: float | None = None, entropy: float | No
     the quota ends, and only that block is sorted. Row groups of any size are thus summed before they are dealt out, and
     the text itself isn't shuffled unless the table of sources is too large to broadcast.
 
-    Adds the columns mix_epoch (from 1; a document taken n times is n rows), mix_weight (of its source) and mix_place (in
+    Columns whose names begin with mix_ are ignored. Adds the columns mix_epoch (from 1; a document taken n times is n rows), mix_weight (of its source) and mix_place (in
     that epoch's permutation). Rows without words cost nothing and are taken once. Null sources form a source of their
     own. Rows that tie in place (one doc_id repeated in a source) are taken or left together.
     """
@@ -111,10 +111,10 @@ def mix(docs: DataFrame, *, max_epochs: float | None = None, entropy: float | No
     ends = last.where("upto > rest").groupBy("mix_key").agg(F.min("u").alias("end"))
     plan = scratch.cut(plan.join(ends, "mix_key", "left").select("mix_key", "mix_weight", "whole", F.coalesce("end", F.lit(2.0)).alias("end")), "ends")
 
-    names = docs.columns
-    full = docs.withColumns({"mix_key": key, "mix_n": words(F.col("text"))}).join(plan, "mix_key")
-    more = (place(F.col("doc_id").cast("long"), F.col("whole") + 1, seed) < F.col("end")).cast("long")
-    copies = F.when(F.col("mix_n") > 0, F.col("whole") + more).otherwise(1)
+    names = [c for c in docs.columns if not c.startswith("mix_")]
+    full = docs.select(*names, key, words(F.col("text")).alias("mix_n")).join(plan.toDF("mix_key", "mix_weight", "mix_whole", "mix_end"), "mix_key")
+    more = (place(F.col("doc_id").cast("long"), F.col("mix_whole") + 1, seed) < F.col("mix_end")).cast("long")
+    copies = F.when(F.col("mix_n") > 0, F.col("mix_whole") + more).otherwise(1)
     full = full.withColumn("mix_copies", copies).where("mix_copies > 0")
     full = full.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     return full.select(*names, "mix_epoch", "mix_weight", place(F.col("doc_id").cast("long"), F.col("mix_epoch"), seed).alias("mix_place"))

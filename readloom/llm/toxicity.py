@@ -169,8 +169,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """(doc_id, score) of each row of ``docs`` by its whole text, or the columns ``keep`` and score; a null text scores as
     an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS rows at most
-    names = keep or ["doc_id"]
-    slim = docs.select(*names, F.col("text").alias("scored_text"))
+    names = [c for c in keep or ["doc_id"] if c != "score"]
+    numbered = [f"c{i}" for i in range(len(names))]
+    slim = docs.select(*names, "text").toDF(*numbered, "whole")
 
     def run(batches):
         m = shared.value
@@ -182,6 +183,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 for text in part.column(len(names)).to_pylist():
                     found = set(chain.from_iterable(map(rows.__getitem__, set((text or "").lower().split()))))
                     texts.append(np.sort(np.fromiter(found, dtype=np.int64, count=len(found))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m.scores(texts))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m.scores(texts))], names=[*numbered, "score"])
 
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*names, "score")
