@@ -500,3 +500,93 @@ def show(spark, d):
 SELECT *, 2400*coverage//blocks AS repeat1, 1800*coverage//blocks AS repeat2, 1200*coverage//blocks AS repeat3 FROM c""")
 def coverage(spark, d):
     return sizing.coverage(fx.reads(spark, d), 50_000, BLOCK_BASES)
+
+
+# Text formats, rendered from the overlaps and read again
+
+
+def _lines(df: DataFrame, line) -> DataFrame:
+    return df.select(F.struct(*TIE, "aread").alias("line_no"), line.alias("value"))
+
+
+def _named(spark, d) -> DataFrame:
+    o = fx.overlaps(spark, d)
+    names = {"qname": F.concat(F.lit("movie/"), "bread"), "tname": F.concat(F.lit("ref"), "aread"), "tlen": F.col("alen"), "tstart": F.col("abpos"), "tend": F.col("aepos")}
+    return o.withColumns({**names, "matches": F.col("aepos") - F.col("abpos") - F.col("diffs"), "mapq": F.lit(60).cast("long"), "cigar": F.concat((F.col("aepos") - F.col("abpos")).cast("string"), F.lit("M"))})
+
+
+@query(f"WITH {fx.OVL} SELECT {T}, 'ref' || aread AS aname, 'movie/' || bread AS bname, is_inverse, abpos, aepos, bbpos, bepos, alen, blen, (aepos-abpos) || 'M' AS cigar FROM ovl WHERE src_id % 10 <> 0")
+def paf_parse(spark, d):
+    from readloom.sources import text
+
+    n = _named(spark, d)
+    q = {"qlen": F.col("blen"), "qstart": F.when(F.col("is_inverse"), F.col("blen") - F.col("bepos")).otherwise(F.col("bbpos")), "qend": F.when(F.col("is_inverse"), F.col("blen") - F.col("bbpos")).otherwise(F.col("bepos"))}
+    line = text.paf_text(n.withColumns(q))
+    rows = _lines(n.withColumns(q), F.when(F.col("src_id") % 10 == 0, F.lit("too\tfew\tfields")).otherwise(line))
+    return text.paf_overlaps(text.paf(rows)).select(*(F.col(f"line_no.{c}").alias(c) for c in TIE), "aname", "bname", "is_inverse", "abpos", "aepos", "bbpos", "bepos", "alen", "blen", "cigar")
+
+
+@query(f"""WITH {fx.OVL} SELECT {T}, 'movie/' || bread || '/0_500' AS qname, 'ref' || aread AS tname, is_inverse,
+  CASE WHEN is_inverse THEN alen-aepos ELSE abpos END AS tstart, CASE WHEN is_inverse THEN alen-abpos ELSE aepos END AS tend,
+  CASE WHEN is_inverse THEN blen-bepos ELSE bbpos END AS qstart, CASE WHEN is_inverse THEN blen-bbpos ELSE bepos END AS qend, bread AS qid
+FROM ovl WHERE src_id % 10 <> 0 AND bread % 3 <> 0""")
+def m4_parse(spark, d):
+    from readloom.sources import text
+
+    n = _named(spark, d)
+    cells = [F.concat("qname", F.lit("/0_500")), "tname", F.lit("0"), F.col("is_inverse").cast("int"), F.lit("-100"), F.when(F.col("src_id") % 10 == 0, F.lit("bad")).otherwise(F.lit("87.5")), "abpos", "aepos", "alen", "bbpos", "bepos", "blen", F.lit("5")]
+    rows = text.m4(_lines(n, F.concat_ws(" ", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cells))))
+    reads = fx.reads(spark, d).where("read_id % 3 <> 0").select("read_id", F.concat(F.lit("movie/"), "read_id").alias("name"))
+    found = joins.by_name_or_stem(rows, reads, "qname", "qid")
+    return found.select(*(F.col(f"line_no.{c}").alias(c) for c in TIE), "qname", "tname", (F.col("qstrand") == 1).alias("is_inverse"), "tstart", "tend", "qstart", "qend", "qid")
+
+
+@query(f"WITH {fx.SEQ} SELECT 'r' || read_id AS name, 'len ' || length(seq) AS comment, seq FROM seqs")
+def fasta_parse(spark, d):
+    from readloom.sources import text
+
+    seqs = fx.sequences(spark, d)
+    name = F.concat(F.lit("r"), "read_id", F.lit(" len "), F.length("seq"))
+    return text.parse_fasta(seqs.select(F.substring(scalar.fasta(name, F.col("seq")), 2, 1 << 20).alias("value")))
+
+
+@query(f"WITH {fx.SEQ} SELECT 'r' || read_id AS name, '' AS comment, seq, repeat('H', length(seq)) AS qual FROM seqs")
+def fastq_parse(spark, d):
+    from readloom.sources import text
+
+    seqs = fx.sequences(spark, d)
+    lines = seqs.select("read_id", F.posexplode(F.split(scalar.fastq(F.concat(F.lit("r"), "read_id"), F.col("seq")), "\n")).alias("i", "value"))
+    return text.fastq(lines.select((F.col("read_id") * 4 + F.col("i")).alias("line_no"), "value"))
+
+
+@query(f"WITH {fx.R} SELECT 'r' || read_id AS qname, CAST(read_id % 2 * 16 AS INTEGER) AS flag, 'ref' AS rname, read_id + 1 AS pos, rlen || 'M' AS cigar FROM r WHERE read_id % 7 <> 0")
+def sam_round_trip(spark, d):
+    from readloom.sources import text
+
+    r = fx.reads(spark, d)
+    rows = r.select(F.concat(F.lit("r"), "read_id").alias("qname"), F.when(F.col("read_id") % 7 == 0, 4).otherwise(F.col("read_id") % 2 * 16).cast("int").alias("flag"), F.lit("ref").alias("rname"), (F.col("read_id") + 1).alias("pos"), F.lit(60).alias("mapq"), F.concat(F.col("rlen").cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), F.array(F.lit("NM:i:0")).alias("tags"))
+    lines = text.sam_text(rows).withColumn("line_no", F.xxhash64("value"))
+    return filters.mapped(text.sam(lines)).select("qname", "flag", "rname", "pos", "cigar")
+
+
+@query(f"""WITH {fx.OVL} SELECT {T}, aepos-abpos AS ref_length, CAST(5 + (aepos-abpos) + src_line + 3 AS BIGINT) AS read_length, CAST(5 AS BIGINT) AS front_clip, CAST(3 AS BIGINT) AS back_clip,
+  CAST(0 AS BIGINT) AS front_del, src_line AS errors FROM ovl""")
+def cigar_lengths(spark, d):
+    from readloom.functions import cigar
+
+    o = fx.overlaps(spark, d)
+    text = F.concat(F.lit("5S"), (F.col("aepos") - F.col("abpos")).cast("string"), F.lit("="), F.col("src_line").cast("string"), F.lit("I3S"))
+    return o.withColumn("cigar", text).select(*TIE, *(v.alias(k) for k, v in cigar.lengths(F.col("cigar")).items()))
+
+
+@query(f"WITH {fx.R}, n AS (SELECT 'read' || (read_id % 1500) AS name, read_id FROM r), o AS (SELECT name, min(read_id) AS read_id FROM n GROUP BY name HAVING count(*) = 1) SELECT 'read' || r.read_id AS qname, o.read_id AS id FROM r JOIN o ON o.name = 'read' || r.read_id")
+def name_join(spark, d):
+    r = fx.reads(spark, d)
+    names = r.select("read_id", F.concat(F.lit("read"), F.col("read_id") % 1500).alias("name"))
+    return joins.by_name(r.select(F.concat(F.lit("read"), "read_id").alias("qname")), names, "qname", "id")[0]
+
+
+@query(f"WITH {fx.R} SELECT 'read' || read_id AS name, rlen + read_id % 3 AS stated, rlen FROM r WHERE read_id % 3 <> 0")
+def length_mismatches(spark, d):
+    r = fx.reads(spark, d).withColumn("name", F.concat(F.lit("read"), "read_id"))
+    return joins.length_violations(r.select("name", (F.col("rlen") + F.col("read_id") % 3).alias("stated")), r, "name", "stated")
