@@ -2,52 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.llm.store import Scratch
 
 #: Consecutive sentences in a span, and the fewest words of a span that counts.
 RUN, MIN_WORDS = 2, 10
 #: A sentence runs to its end marks or line end, with the white space behind them; the sentences of a text are the text.
-SENTENCE = "[^.!?\\n]*[.!?\\n][.!? \\t-\\r]*|[^.!?\\n]+"
-
-
-def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
+SENTENCE = r"[^.!?\n]*[.!?\n][.!? \t-\r]*|[^.!?\n]+"
+_SENTENCE, _SENTENCE_BYTES = re.compile(SENTENCE), re.compile(SENTENCE.encode())
+_END = b".!? \t\n\v\f\r"
 
 
-def _plain(s: Column) -> Column:
-    """A sentence in lower case, its words one space apart, without end marks."""
-    return F.ltrim(F.regexp_replace(F.regexp_replace(F.lower(s), "[.!? \\t-\\r]+$", ""), "[ \\t-\\r]+", " "))
+def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
+    """Number of the first sentence, and 128-bit hash, of each run of ``run`` sentences with ``min_words`` words or more. A
+    text with fewer sentences is one run. Sentences are compared in lower case, with words one space apart and no end
+    marks; one without words counts as one word."""
+    words = [s.rstrip(_END).split() for s in _SENTENCE_BYTES.findall(text.lower().encode())]
+    if not words:
+        return [], []
+    plain = list(map(b" ".join, words))
+    run = min(run, len(words))
+    ends = np.cumsum([0, *(len(w) or 1 for w in words)])
+    at = np.flatnonzero(ends[run:] - ends[:-run] >= min_words).tolist()
+    return at, [xxhash.xxh3_128_digest(b"\n".join(plain[i : i + run])) for i in at]
 
 
 def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(doc_id, text_id, pos, h1, h2): the hash, 128 bits, of each run of ``run`` sentences, from sentence ``pos`` on. A
-    text with fewer is one run. Runs of under ``min_words`` words are left out."""
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.transform(sentences(F.col("text")), _plain).alias("s"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("s") - run, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("s", i + 1, run), "\n").alias("span")))
-    kept = F.filter(runs, lambda x: F.length(x["span"]) - F.length(F.translate(x["span"], " \n", "")) + 1 >= min_words)
-    hashed = F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["span"]).alias("h1"), F.xxhash64(F.lit("+"), x["span"]).alias("h2")))
-    return each.where(F.size("s") > 0).select("doc_id", "text_id", F.inline(hashed))
+    """(doc_id, text_id, pos, h1, h2): each span of each row of ``docs`` by its 128-bit hash, from sentence ``pos`` on."""
+    names = ["doc_id", "text_id", "pos", "h1", "h2"]
+
+    def work(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                doc, pos, hashes = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    p, h = spans_of(text, run, min_words)
+                    doc += [i] * len(p)
+                    pos += p
+                    hashes += h
+                two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
+                of = pa.array(doc, pa.int64())
+                out = [part.column(0).take(of), part.column(1).take(of), pa.array(pos, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    slim = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    return slim.mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
 def covered(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_id, gone): for each text with sentences to remove, the sorted set of their numbers.
+    """(doc_id, text_id, gone): for each text with sentences to remove, the set of their numbers.
 
     A span that occurs more than once is kept where it comes first, by (doc_id, number of the sentence, text hash); each
     sentence of its other occurrences goes. Occurrences are counted before they are dealt out, and joined to the first
     ones in a join that adaptive execution can split, so a span of a third of all documents loads no single task.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    every = spans(docs, run, min_words)
+    every = scratch.cut(spans(docs, run, min_words), "every")
     at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "pos", "text_id")
     again = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
     again = scratch.cut(again, "again")
     hits = every.withColumn("at", at).join(again, ["h1", "h2"]).where("at <> first")
-    each = hits.select("doc_id", "text_id", F.explode(F.sequence("pos", F.col("pos") + run - 1)).alias("pos"))
-    return scratch.cut(each.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
+    gone = scratch.cut(hits.groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("gone")), "gone")
+    scratch.drop("every", "again")
+    return gone
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -57,11 +83,30 @@ def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
     and are kept or cut alike. Null doc_ids come after all others.
     """
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    cuts = covered(docs, run, min_words).select(F.col("doc_id").alias("cut_id"), F.col("text_id").alias("cut_text"), "gone")
-    full = docs.select(*names, F.xxhash64("text").alias("text_id"))
-    full = full.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_id") == F.col("cut_text")), "left")
-    s = sentences(F.col("text"))
-    kept = F.filter(s, lambda x, i: ~F.array_contains("gone", i))
-    n = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(s) - F.size(kept))
-    done = {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))}
-    return full.select(*(done.get(c, F.col(c)).alias(c) for c in names), F.size(s).cast("long").alias("n_sentences"), n.cast("long").alias("n_removed"))
+    cuts = covered(docs, run, min_words)
+    # Columns by number, so that no name of theirs meets one of ours.
+    at, numbered = names.index("text"), [f"c{i}" for i in range(len(names))]
+    full = docs.select(*names).toDF(*numbered).withColumn("of", F.xxhash64(f"c{at}"))
+    same = F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("text_id"))
+    full = full.join(cuts, same, "left").select(*numbered, "gone")
+
+    def work(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                rows = [_without(text, gone, run) for text, gone in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist())]
+                new = list(part.columns[:-1])
+                new[at] = pa.array([r[0] for r in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([*new, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[*numbered, "n_sentences", "n_removed"])
+
+    more = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
+    return full.mapInArrow(work, T.StructType([*full.schema.fields[:-1], *more])).toDF(*names, "n_sentences", "n_removed")
+
+
+def _without(text: str | None, starts: list[int] | None, run: int) -> tuple[str | None, int, int]:
+    parts = _SENTENCE.findall(text or "")
+    if not starts:
+        return text, len(parts), 0
+    gone = {i + k for i in starts for k in range(run)}
+    kept = [s for i, s in enumerate(parts) if i not in gone]
+    return "".join(kept), len(parts), len(parts) - len(kept)
