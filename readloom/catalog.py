@@ -590,3 +590,41 @@ def name_join(spark, d):
 def length_mismatches(spark, d):
     r = fx.reads(spark, d).withColumn("name", F.concat(F.lit("read"), "read_id"))
     return joins.length_violations(r.select("name", (F.col("rlen") + F.col("read_id") % 3).alias("stated")), r, "name", "stated")
+
+
+CHAINS_SQL = f"""n AS (SELECT *, sum(CAST(is_start AS INT)) OVER (PARTITION BY bread ORDER BY {T}, aread ROWS UNBOUNDED PRECEDING) AS no FROM ovl),
+n2 AS (SELECT *, no - min(no) OVER (PARTITION BY bread) AS chain_id, sum(CAST(is_start AS INT)) OVER (PARTITION BY bread) AS n_chains FROM n),
+n3 AS (SELECT *, row_number() OVER (PARTITION BY bread, chain_id ORDER BY {T}, aread) - 1 AS chain_link, count(*) OVER (PARTITION BY bread, chain_id) AS n_links FROM n2)"""
+
+
+@query(f"""WITH {fx.OVL}, {CHAINS_SQL} SELECT {T}, 'b' || bread AS qname, 'a' || aread AS rname, abpos + 1 AS pos,
+  CAST(CASE WHEN chain_link > 0 THEN 2048 WHEN chain_id > 0 THEN 256 ELSE 0 END + CASE WHEN is_inverse THEN 16 ELSE 0 END AS INTEGER) AS flag,
+  CASE WHEN bbpos > 0 THEN bbpos || 'S' ELSE '' END || (aepos-abpos) || 'M' || CASE WHEN blen-bepos > 0 THEN (blen-bepos) || 'S' ELSE '' END AS sam_cigar,
+  'ci:i:' || CAST(chain_id AS BIGINT) || ' cn:i:' || CAST(n_chains AS BIGINT) || ' cj:i:' || chain_link || ' cl:i:' || n_links AS tags FROM n3""")
+def to_sam(spark, d):
+    from readloom.operators import convert
+
+    names = fx.reads(spark, d)
+    o = fx.overlaps(spark, d).withColumn("cigar", F.concat((F.col("aepos") - F.col("abpos")).cast("string"), F.lit("M")))
+    out = convert.to_sam(o, names.withColumn("name", F.concat(F.lit("a"), "read_id")), names.withColumn("name", F.concat(F.lit("b"), "read_id")), [*TIE, "aread"])
+    return out.select(*TIE, "qname", "rname", "pos", "flag", "sam_cigar", F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"""WITH {fx.OVL}, s AS (SELECT *, row_number() OVER (PARTITION BY bread ORDER BY bepos-bbpos-diffs DESC, {T}, aread) AS place FROM ovl)
+SELECT {T}, CAST(CASE WHEN place > 1 THEN 256 ELSE 0 END + CASE WHEN is_inverse THEN 16 ELSE 0 END AS INTEGER) AS flag,
+  'ci:i:' || (place - 1) || ' cn:i:' || count(*) OVER (PARTITION BY bread) || ' cj:i:0 cl:i:1' AS tags FROM s WHERE place <= 5""")
+def to_sam_best(spark, d):
+    from readloom.operators import convert
+
+    names = fx.reads(spark, d).withColumn("name", F.concat(F.lit("r"), "read_id"))
+    return convert.to_sam(fx.overlaps(spark, d), names, names, [*TIE, "aread"], top=5).select(*TIE, "flag", F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"WITH {fx.OVL} SELECT aread, bread, is_inverse, abpos, aepos, bbpos, bbpos + (aepos-abpos) AS bepos, CAST(0 AS BIGINT) AS diffs, alen, blen FROM ovl WHERE src_line <> 3")
+def from_sam(spark, d):
+    from readloom.operators import convert
+
+    o = fx.overlaps(spark, d)
+    name = fx.reads(spark, d).withColumn("name", F.concat(F.lit("r"), "read_id"))
+    sam = o.select(F.concat(F.lit("r"), "bread").alias("qname"), (F.when(F.col("is_inverse"), 16).otherwise(0) + F.when(F.col("src_line") == 3, 4).otherwise(0)).alias("flag"), F.concat(F.lit("r"), "aread").alias("rname"), (F.col("abpos") + 1).alias("pos"), F.concat(F.when(F.col("bbpos") > 0, F.concat(F.col("bbpos").cast("string"), F.lit("S"))).otherwise(""), (F.col("aepos") - F.col("abpos")).cast("string"), F.lit("=4S")).alias("cigar"))
+    return convert.from_sam(sam, name, name).drop("cigar")
