@@ -34,13 +34,10 @@ def chains(ovl: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     before the first start form chain 0 as well."""
     w = Window.partitionBy(*group).orderBy(*order)
     starts = F.sum(F.col("is_start").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.max(F.col("is_start").cast("int")).over(Window.partitionBy(*group, "chain_no"))
-    numbered = ovl.withColumn("chain_no", starts).withColumn("has_start", first)
-    lead = F.min(F.when(F.col("has_start") == 1, F.col("chain_no"))).over(Window.partitionBy(*group))
-    lead_free = F.min("chain_no").over(Window.partitionBy(*group)) == 0
-    numbered = numbered.withColumn("chain_id", F.when(lead_free, F.col("chain_no")).otherwise(F.col("chain_no") - lead))
+    numbered = ovl.withColumn("chain_no", starts)
+    numbered = numbered.withColumn("chain_id", F.col("chain_no") - F.min("chain_no").over(Window.partitionBy(*group)))
     link = F.row_number().over(Window.partitionBy(*group, "chain_id").orderBy(*order)) - 1
-    return numbered.withColumns({"chain_id": F.col("chain_id").cast("long"), "chain_link": link.cast("long")}).drop("chain_no", "has_start")
+    return numbered.withColumn("chain_link", link.cast("long")).drop("chain_no")
 
 
 def chain_sort(ovl: DataFrame, order: str, tie: list[str], chain: list[str], link: str, name: str = "rank", block: int = 64) -> DataFrame:
@@ -80,12 +77,10 @@ def chain_numbers(ovl: DataFrame, order: list[str]) -> DataFrame:
     """``ovl`` numbered for mapping output, per B read in ``order``: chain id, number of chains (starts), link, number of
     links, and the role: the first chain is primary, later ones secondary, links behind a head supplementary. Rows before
     the first start form a leading chain that isn't counted."""
-    w = Window.partitionBy("bread").orderBy(*order)
     numbered = chains(ovl, ["bread"], order)
     numbered = numbered.withColumn("n_chains", F.sum(F.col("is_start").cast("long")).over(Window.partitionBy("bread")))
     numbered = numbered.withColumn("n_links", F.count("*").over(Window.partitionBy("bread", "chain_id")))
     role = F.when(F.col("chain_link") > 0, "supplementary").when(F.col("chain_id") == 0, "primary").otherwise("secondary")
-    del w
     return numbered.withColumn("role", role)
 
 
