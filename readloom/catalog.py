@@ -119,7 +119,7 @@ def symmetric_closure(spark, d):
     return transform.symmetric_closure(fx.overlaps(spark, d)).select("aread", "bread", "is_inverse", "abpos", "aepos", "bbpos", "bepos")
 
 
-@query(f"WITH {fx.OVL} SELECT src_id, src_line, src_supp, src_qty, src_price, x.* FROM (SELECT {T}, {fx.SWAP[7:]} FROM ovl) x".replace("src_id, src_line, src_supp, src_qty, src_price, x.*", "*"))
+@query(f"WITH {fx.OVL} SELECT {T}, {fx.SWAP[7:]} FROM ovl")
 def role_swap_coords(spark, d):
     return transform.swapped(fx.overlaps(spark, d)).select(*TIE, "aread", "bread", "is_inverse", "abpos", "aepos", "bbpos", "bepos", "alen", "blen")
 
