@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.batches import sliced
 from readloom.llm.store import Scratch
 
 LENGTH, ANCHOR = 200, 64
-#: Bytes of text that are hashed at a time; bytes of contexts that one index holds on average; contexts of an anchor
-#: beyond which its windows are compared one by one, by hash, and not in an index.
-CHUNK_BYTES, INDEX_BYTES, MANY = 2 << 20, 2 << 20, 2048
+#: Bytes of text that are hashed at a time; bytes of contexts that one index holds on average; contexts of an anchor, of
+#: 2 * LENGTH - ANCHOR bytes at most, that would fill an index: beyond, its windows are compared one by one, by hash.
+CHUNK_BYTES, INDEX_BYTES = 2 << 20, 2 << 20
+MANY = INDEX_BYTES // (2 * LENGTH - ANCHOR)
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
@@ -178,7 +180,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         rows, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for row in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if len(row[2]) < length:
                     continue
@@ -260,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     full = full.select("doc_id", "text", F.col("runs.first").alias("first"), F.col("runs.past").alias("past"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [_cut(t, i, j, length) for t, i, j in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             out = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))] if rows else [pa.array([], k) for k in (pa.binary(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
