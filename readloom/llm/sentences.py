@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.llm.batches import sliced
 from readloom.llm.store import Scratch
 
 #: Consecutive sentences in a span, and the fewest words of a span that counts.
@@ -40,19 +41,17 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     names = ["doc_id", "text_id", "pos", "h1", "h2"]
 
     def work(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                doc, pos, hashes = [], [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    p, h = spans_of(text, run, min_words)
-                    doc += [i] * len(p)
-                    pos += p
-                    hashes += h
-                two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-                of = pa.array(doc, pa.int64())
-                out = [part.column(0).take(of), part.column(1).take(of), pa.array(pos, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+        for b in sliced(batches):
+            doc, pos, hashes = [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                p, h = spans_of(text, run, min_words)
+                doc += [i] * len(p)
+                pos += p
+                hashes += h
+            two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
+            of = pa.array(doc, pa.int64())
+            out = [b.column(0).take(of), b.column(1).take(of), pa.array(pos, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     slim = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
     return slim.mapInArrow(work, ", ".join(f"{n} long" for n in names))
@@ -91,13 +90,11 @@ def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
     full = full.join(cuts, same, "left").select(*numbered, "gone")
 
     def work(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 1000):
-                part = b.slice(start, 1000)
-                rows = [_without(text, gone, run) for text, gone in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist())]
-                new = list(part.columns[:-1])
-                new[at] = pa.array([r[0] for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([*new, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[*numbered, "n_sentences", "n_removed"])
+        for b in sliced(batches):
+            rows = [_without(text, gone, run) for text, gone in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
+            new = list(b.columns[:-1])
+            new[at] = pa.array([r[0] for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*new, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[*numbered, "n_sentences", "n_removed"])
 
     more = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
     return full.mapInArrow(work, T.StructType([*full.schema.fields[:-1], *more])).toDF(*names, "n_sentences", "n_removed")

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.llm.batches import sliced
 from readloom.llm.store import Scratch
 
 #: Labelled rows that are learned from, of each label at most; terms and their least number of texts; length of vectors.
 MAX_ROWS, MAX_TERMS, MIN_TEXTS, FACTORS = 6000, 1 << 13, 4, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 128, 0.05, 2e-3, 7
 #: Tokens that a worker keeps the terms of.
-KEPT_TOKENS = 1_000_000
+KEPT_TOKENS = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in sliced(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = set(chain.from_iterable(map(terms, set((text or "").lower().split()))))
                 hashes = np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
@@ -176,13 +177,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     def run(batches):
         m = shared.value
         rows = _Rows({int(h): i for i, h in enumerate(m.terms)})
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = []
-                for text in part.column(len(names)).to_pylist():
-                    found = set(chain.from_iterable(map(rows.__getitem__, set((text or "").lower().split()))))
-                    texts.append(np.sort(np.fromiter(found, dtype=np.int64, count=len(found))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m.scores(texts))], names=[*numbered, "score"])
+        for b in sliced(batches):
+            texts = []
+            for text in b.column(len(names)).to_pylist():
+                found = set(chain.from_iterable(map(rows.__getitem__, set((text or "").lower().split()))))
+                texts.append(np.sort(np.fromiter(found, dtype=np.int64, count=len(found))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(m.scores(texts))], names=[*numbered, "score"])
 
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*names, "score")
