@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from readloom.llm.batches import sliced
 from readloom.llm.store import Scratch
 
-#: N-grams of a profile; texts of each language that are learned from, at most; longest n-gram.
-RANKS, MAX_TEXTS, LONGEST = 300, 2000, 3
+#: N-grams of a profile; texts of each language that are learned from, at most.
+RANKS, MAX_TEXTS = 300, 2000
+#: Languages that can be learned; more is an error, as their profiles are sent to every task.
+MAX_LANGS = 1000
 UNKNOWN = "und"
 
 
@@ -66,16 +69,20 @@ class Profiles:
 
 def train(docs: DataFrame) -> Profiles:
     """Profiles of the languages in ``docs`` (doc_id, text, lang), from the MAX_TEXTS texts of each with the smallest
-    hash of doc_id and text. Rows without text or language are left out. The profiles, RANKS n-grams a language, reach the
-    driver; the texts of a language are cut to MAX_TEXTS before they are shuffled."""
+    hash of doc_id and text. Rows without text or language are left out, and rows that repeat both doc_id and text count
+    once. Hashes alone are sorted to find the last one of each language; texts aren't shuffled. The profiles, RANKS n-grams
+    a language, reach the driver."""
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    some = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MAX_TEXTS).select("lang", "text")
+    first = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    last = scratch.cut(first.where(F.col("n") <= MAX_TEXTS).groupBy("lang").agg(F.max("h").alias("last")), "last")
+    if last.count() > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
+    some = known.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches):
         totals: dict[str, Counter] = {}
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 grams, n = ngrams(text)
                 totals.setdefault(lang, Counter()).update(dict(zip(grams.tolist(), n.tolist())))
@@ -98,7 +105,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches):
         p = shared.value
-        for b in batches:
+        for b in sliced(batches):
             got = [p.predict(x) for x in b.column(1).to_pylist()]
             out = [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score"])
