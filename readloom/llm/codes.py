@@ -61,9 +61,11 @@ def top_k(table: DataFrame, queries, k: int = 10) -> DataFrame:
     parts = F.array(*(F.struct(F.lit(i).alias("segment"), _segment(F.col("code"), a, w).alias("value")) for i, (a, w) in enumerate(segments)))
     index = scratch.cut(entries.select("code", "ids", F.inline(parts)), "index")
     best, done = None, None
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for r in range(max(w for _, w in segments) + 1):
         flips = table.sparkSession.createDataFrame([(i, x) for i, (_, w) in enumerate(segments) for x in _flips(w, r)], "segment int, flip long")
-        values = open_.select("q", "far", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _segment(F.col("q"), a, w).alias("own")) for i, (a, w) in enumerate(segments)))).alias("s"))
+        # Few bytes make many rows here: as many tasks as a shuffle has, whatever the size of the queries.
+        values = open_.repartition(tasks, "q").select("q", "far", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _segment(F.col("q"), a, w).alias("own")) for i, (a, w) in enumerate(segments)))).alias("s"))
         probe = values.select("q", "far", F.col("s.segment").alias("segment"), F.col("s.own").alias("own")).join(F.broadcast(flips), "segment")
         probe = probe.select("q", "far", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.llm.batches import sliced
 from readloom.llm.components import connected_components
 from readloom.llm.store import Scratch
 
@@ -43,7 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of each row; fp is the fingerprint as a signed long. A null text counts as one without words."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps = np.fromiter((fingerprint(x, shingle) for x in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -73,7 +74,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (u, v), u < v, of the distinct values of ``fps.fp`` that differ in at most ``radius`` bits (0 to 3)."""
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3")
-    balls = fps.select("fp").distinct().select("fp", F.explode(_ball(F.col("fp"), radius)).alias("key"))
+    # Few bytes make many rows here: as many tasks as a shuffle has, whatever the size of the fingerprints.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = fps.select("fp").distinct().repartition(tasks, "fp").select("fp", F.explode(_ball(F.col("fp"), radius)).alias("key"))
     a, b = balls.select("key", F.col("fp").alias("u")), balls.select("key", F.col("fp").alias("v"))
     near = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
     return near.select("u", "v").distinct()
