@@ -14,7 +14,7 @@ from array import array
 from functools import cache
 
 #: Pieces a worker keeps; those that come later are encoded each time.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 600_000
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters that Python takes for white space and Unicode doesn't.
 _UNSURE = re.compile("[\x1c-\x1f]")
