@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import mixing, packing, sentences, simhash, toxicity
+from readloom.llm import mixing, packing, sentences, similar, toxicity
 from readloom.llm.registry import END_ID, MAX_EPOCHS, tokenizer, toxicity_model
 from readloom.llm.store import Scratch
 
@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    """One document of each group of near-duplicates, linked by a 5-word Jaccard similarity of 0.8 or more, stays."""
+    return similar.keep_one(docs.select(COLUMNS))
 
 
 def sentence_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

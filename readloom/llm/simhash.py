@@ -111,7 +111,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     and stay.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    groups = scratch.cut(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"), "groups")
+    return keep_first(docs, scratch.cut(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"), "groups"))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` without the documents that don't name their group in ``groups`` (doc_id, component_id)."""
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
