@@ -28,7 +28,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentence_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences covered by spans that occur before are removed; a document of which nothing is left goes. n_chars is that
     of the new text."""
-    cut = sentences.remove_repeats(docs.select(COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cut = sentences.remove_repeats(docs.select(COLUMNS), alone=sentences.ALONE).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(COLUMNS)
 

@@ -150,6 +150,39 @@ FROM each e LEFT JOIN cuts c ON c.doc_id = e.doc_id
 """
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_sentences, with each long sentence a span too."""
+    kept = sentences.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), alone=sentences.ALONE)
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_PASSAGES_SQL = f"""
+WITH each AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{sentences.SENTENCE}') AS s FROM documents),
+plain AS MATERIALIZED (
+  SELECT doc_id, list_transform(s, lambda x: ltrim(regexp_replace(regexp_replace(lower(x), '[.!? \t-\r]+$', ''), '[ \t-\r]+', ' ', 'g'), ' ')) AS p
+  FROM each WHERE len(s) > 0),
+spans AS MATERIALIZED (
+  SELECT doc_id, pos, {sentences.RUN} AS width, {sentences.MIN_WORDS} AS least, array_to_string(p[pos + 1 : pos + {sentences.RUN}], chr(10)) AS span
+  FROM (SELECT doc_id, p, unnest(range(0, greatest(len(p) - {sentences.RUN}, 0) + 1)) AS pos FROM plain)
+  UNION ALL
+  SELECT doc_id, pos, 1 AS width, {sentences.ALONE} AS least, p[pos + 1] AS span
+  FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS pos FROM plain WHERE len(p) > 1)),
+counted AS MATERIALIZED (
+  SELECT doc_id, pos, width, span FROM spans
+  WHERE length(span) - length(replace(replace(span, ' ', ''), chr(10), '')) + 1 >= least),
+again AS (SELECT span, min((doc_id, pos)) AS first FROM counted GROUP BY span HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT s.doc_id, unnest(range(s.pos, s.pos + s.width)) AS pos
+  FROM counted s JOIN again a ON a.span = s.span WHERE (s.doc_id, s.pos) <> a.first),
+cuts AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+SELECT e.doc_id, CAST(len(s) AS BIGINT) AS n_sentences,
+       CAST(len(list_filter(coalesce(gone, []), lambda i: i < len(s))) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), '')) AS kept_sha256
+FROM each e LEFT JOIN cuts c ON c.doc_id = e.doc_id
+"""
+
+
 LANG_FOLDS, LANG_HELD = 4, 2
 
 
@@ -178,6 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op7_sentences": op7_sentences,
+        "op7_passages": op7_passages,
         "op8_langid": op8_langid,
         "op9_forest": op9_forest,
         "op10_runlength": op10_runlength,
@@ -185,4 +219,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_codes": OP2_SQL, "op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL}
+    return {"op2_codes": OP2_SQL, "op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL, "op7_passages": OP7_PASSAGES_SQL}

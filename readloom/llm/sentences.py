@@ -16,16 +16,19 @@ from readloom.llm.store import Scratch
 
 #: Consecutive sentences in a span, and the fewest words of a span that counts.
 RUN, MIN_WORDS = 2, 10
+#: Words from which a sentence is a span by itself, where that is asked for.
+ALONE = 20
 #: A sentence runs to its end marks or line end, with the white space behind them; the sentences of a text are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n][.!? \t-\r]*|[^.!?\n]+"
 _SENTENCE, _SENTENCE_BYTES = re.compile(SENTENCE), re.compile(SENTENCE.encode())
 _END = b".!? \t\n\v\f\r"
 
 
-def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
+def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS, alone: int | None = None) -> tuple[list[int], list[bytes]]:
     """Number of the first sentence, and 128-bit hash, of each run of ``run`` sentences with ``min_words`` words or more. A
     text with fewer sentences is one run. Sentences are compared in lower case, with words one space apart and no end
-    marks; one without words counts as one word."""
+    marks; one without words counts as one word. With ``alone`` each sentence of so many words is a span too, told from a
+    run by the complement of its number."""
     words = [s.rstrip(_END).split() for s in _SENTENCE_BYTES.findall(text.lower().encode())]
     if not words:
         return [], []
@@ -33,18 +36,21 @@ def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[lis
     run = min(run, len(words))
     ends = np.cumsum([0, *(len(w) or 1 for w in words)])
     at = np.flatnonzero(ends[run:] - ends[:-run] >= min_words).tolist()
-    return at, [xxhash.xxh3_128_digest(b"\n".join(plain[i : i + run])) for i in at]
+    one = np.flatnonzero(np.diff(ends) >= alone).tolist() if alone and run > 1 else []
+    hashes = [xxhash.xxh3_128_digest(b"\n".join(plain[i : i + run])) for i in at] + [xxhash.xxh3_128_digest(plain[i]) for i in one]
+    return at + [~i for i in one], hashes
 
 
-def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(doc_id, text_id, pos, h1, h2): each span of each row of ``docs`` by its 128-bit hash, from sentence ``pos`` on."""
+def spans(docs: DataFrame, run: int, min_words: int, alone: int | None = None) -> DataFrame:
+    """(doc_id, text_id, pos, h1, h2): each span of each row of ``docs`` by its 128-bit hash, from sentence ``pos`` on, or
+    the sentence ``~pos`` alone."""
     names = ["doc_id", "text_id", "pos", "h1", "h2"]
 
     def work(batches):
         for b in sliced(batches):
             doc, pos, hashes = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
-                p, h = spans_of(text, run, min_words)
+                p, h = spans_of(text, run, min_words, alone)
                 doc += [i] * len(p)
                 pos += p
                 hashes += h
@@ -57,16 +63,16 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return slim.mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
-def covered(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_id, gone): for each text with sentences to remove, the set of their numbers.
+def covered(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, alone: int | None = None) -> DataFrame:
+    """(doc_id, text_id, gone): for each text with sentences to remove, the set of the numbers of their spans.
 
     A span that occurs more than once is kept where it comes first, by (doc_id, number of the sentence, text hash); each
     sentence of its other occurrences goes. Occurrences are counted before they are dealt out, and joined to the first
     ones in a join that adaptive execution can split, so a span of a third of all documents loads no single task.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    every = scratch.cut(spans(docs, run, min_words), "every")
-    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "pos", "text_id")
+    every = scratch.cut(spans(docs, run, min_words, alone), "every")
+    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.greatest("pos", F.bitwise_not("pos")).alias("pos"), "text_id")
     again = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
     again = scratch.cut(again, "again")
     hits = every.withColumn("at", at).join(again, ["h1", "h2"]).where("at <> first")
@@ -75,14 +81,15 @@ def covered(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> Data
     return gone
 
 
-def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated sentences removed from ``text``, and n_sentences and n_removed added.
+def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, alone: int | None = None) -> DataFrame:
+    """``docs`` with the repeated sentences removed from ``text``, and n_sentences and n_removed added. ``alone``: words from
+    which a sentence that repeats goes by itself, whatever its neighbours.
 
     Null texts stay null and, like empty ones, have no sentences. Rows that repeat both doc_id and text are one document
     and are kept or cut alike. Null doc_ids come after all others.
     """
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    cuts = covered(docs, run, min_words)
+    cuts = covered(docs, run, min_words, alone)
     # Columns by number, so that no name of theirs meets one of ours.
     at, numbered = names.index("text"), [f"c{i}" for i in range(len(names))]
     full = docs.select(*names).toDF(*numbered).withColumn("of", F.xxhash64(f"c{at}"))
@@ -104,6 +111,6 @@ def _without(text: str | None, starts: list[int] | None, run: int) -> tuple[str
     parts = _SENTENCE.findall(text or "")
     if not starts:
         return text, len(parts), 0
-    gone = {i + k for i in starts for k in range(run)}
+    gone = {i + k for i in starts if i >= 0 for k in range(run)} | {~i for i in starts if i < 0}
     kept = [s for i, s in enumerate(parts) if i not in gone]
     return "".join(kept), len(parts), len(parts) - len(kept)
