@@ -33,7 +33,7 @@ def fastq(lines: DataFrame) -> DataFrame:
     record = F.floor(F.col("line_no") / 4)
     part = F.pmod("line_no", F.lit(4))
     rows = lines.groupBy(record.alias("rec")).agg(*(F.max(F.when(part == i, F.col("value"))).alias(f"l{i}") for i in range(4)))
-    head = F.substring("l0", 2, 1 << 20)
+    head = F.substr("l0", F.lit(2))
     return rows.select(short_name(head).alias("name"), F.regexp_extract(head, "^\\S*\\s+(.*)$", 1).alias("comment"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
 
@@ -51,7 +51,7 @@ def paf(lines: DataFrame) -> DataFrame:
     tag = F.try_element_at(F.filter(F.slice("f", 13, 1 << 20), lambda t: t.startswith("cg:Z:")), F.lit(1))
     return rows.select(
         "line_no", F.col("f")[0].alias("qname"), F.col("f")[5].alias("tname"), is_inverse(F.col("f")[4]).alias("is_inverse"),
-        *(F.col("f")[i].cast("long").alias(n) for n, i in longs.items()), F.substring(tag, 6, 1 << 20).alias("cigar"),
+        *(F.col("f")[i].cast("long").alias(n) for n, i in longs.items()), F.substr(tag, F.lit(6)).alias("cigar"),
     )
 
 
