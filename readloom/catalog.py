@@ -547,7 +547,7 @@ def fasta_parse(spark, d):
 
     seqs = fx.sequences(spark, d)
     name = F.concat(F.lit("r"), "read_id", F.lit(" len "), F.length("seq"))
-    return text.parse_fasta(seqs.select(F.substring(scalar.fasta(name, F.col("seq")), 2, 1 << 20).alias("value")))
+    return text.parse_fasta(seqs.select(F.substr(scalar.fasta(name, F.col("seq")), F.lit(2)).alias("value")))
 
 
 @query(f"WITH {fx.SEQ} SELECT 'r' || read_id AS name, '' AS comment, seq, repeat('H', length(seq)) AS qual FROM seqs")

@@ -12,9 +12,7 @@ def revcomp(seq: Column) -> Column:
 
 def wrap(seq: Column, width: int = 80) -> Column:
     """The sequence in lines of ``width``; an empty one is one empty line."""
-    n = F.greatest(F.length(seq), F.lit(1))
-    lines = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda i: F.substring(seq, i * width + 1, F.lit(width)))
-    return F.array_join(lines, "\n")
+    return F.coalesce(F.regexp_replace(seq, f"(?s)(.{{{width}}})(?=.)", "$1\n"), F.lit(""))
 
 
 def score(bbpos: Column, bepos: Column, diffs: Column) -> Column:

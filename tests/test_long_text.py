@@ -14,3 +14,10 @@ def test_long_cigar_and_header(spark):
     fq = spark.createDataFrame(list(enumerate([head, "ACGT", "+", "HHHH"])), "line_no long, value string")
     (got,) = text.fastq(fq).collect()
     assert (got.name, got.comment, got.seq) == ("r", head[3:], "ACGT")
+
+
+def test_long_fasta_record(spark, tmp_path):
+    seq = "ACGGT" * 420_000
+    spark.createDataFrame([(1, seq), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.name: r for r in catalog.fasta_parse(spark, str(tmp_path)).collect()}
+    assert got["r1"].seq == seq and got["r1"].comment == f"len {len(seq)}" and got["r2"].seq == ""
