@@ -175,6 +175,15 @@ def kmer_seeds(spark, d):
     return joins.seeds(reads, pairs, 14)
 
 
+@query(f"""WITH {fx.SEQ}, k AS MATERIALIZED (SELECT read_id, i AS pos, substr(seq, i + 1, 14) AS kmer FROM (SELECT read_id, seq, unnest(range(0, length(seq) - 13)) AS i FROM seqs) x)
+SELECT x.read_id AS aread, y.read_id AS bread, x.pos AS apos, y.pos AS bpos, x.pos - y.pos AS diagonal
+FROM k x JOIN k y ON y.read_id = x.read_id + 1 AND y.kmer = x.kmer""")
+def kmer_seeds_all(spark, d):
+    """As ``kmer_seeds``, for every read with the next one."""
+    reads = fx.sequences(spark, d)
+    return joins.seeds(reads, reads.select(F.col("read_id").alias("aread"), (F.col("read_id") + 1).alias("bread")), 14)
+
+
 # Intervals
 
 TANDEM_SQL = """s AS (SELECT * FROM ovl WHERE aread = bread AND NOT is_inverse),
