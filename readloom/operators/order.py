@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from readloom.plans.prefix import rank
@@ -52,25 +56,33 @@ def chain_sort(ovl: DataFrame, order: str, tie: list[str], chain: list[str], lin
 
 def mark_primary(ovl: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
     """``keep`` and is_primary: per A read in ``order``, a row is primary unless its A span meets that of an earlier
-    primary row. A fold over the spans of a read; the primary ones are disjoint, so what it holds stays small."""
-    row = F.struct(*(F.col(c) for c in dict.fromkeys([*order, *keep, "abpos", "aepos"])))
-    rows = ovl.groupBy("aread").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    none = F.array().cast("array<struct<b:bigint,e:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.exists(acc, lambda p: (x["abpos"] < p["e"]) & (p["b"] < x["aepos"]))
-        return F.when(hit, acc).otherwise(F.concat(acc, F.array(F.struct(x["abpos"].alias("b"), x["aepos"].alias("e")))))
-
-    # What is primary follows from the row alone and the spans before it: the fold keeps both.
-    start = F.struct(none.alias("spans"), F.array().cast("array<boolean>").alias("marks"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        after = step(acc["spans"], x)
-        return F.struct(after.alias("spans"), F.concat(acc["marks"], F.array(F.size(after) > F.size(acc["spans"]))).alias("marks"))
-
-    marks = F.aggregate("rows", start, fold, lambda acc: acc["marks"])
-    each = rows.select(F.inline(F.arrays_zip(F.col("rows").alias("row"), marks.alias("mark"))))
-    return each.select(*(F.col(f"row.{c}").alias(c) for c in keep), F.col("mark").alias("is_primary"))
+    primary row. Reads are streamed in order, and of each only its primary spans are held; these are disjoint."""
+    names = [*keep, "is_primary"]
+
+    def run(batches):
+        of, begins, ends, odd = object(), [], [], []
+        for batch in batches:
+            marks = []
+            for a, b, e in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if a != of:
+                    of, begins, ends, odd = a, [], [], []
+                if b is None or e is None:  # meets nothing
+                    marks.append(True)
+                    continue
+                at = bisect_right(ends, b)
+                hit = at < len(ends) and begins[at] < e or any(b < y and x < e for x, y in odd)
+                marks.append(not hit)
+                if not hit and b <= e:
+                    begins.insert(at, b)
+                    ends.insert(at, e)
+                elif not hit:
+                    odd.append((b, e))
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(marks, pa.bool_())], names=names)
+
+    by = dict.fromkeys(["aread", *order, *keep, "abpos", "aepos"])
+    rows = ovl.repartition("aread").sortWithinPartitions(*by)
+    rows = rows.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(["aread", "abpos", "aepos"])), *keep)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[3:], T.StructField("is_primary", T.BooleanType())]))
 
 
 def chain_numbers(ovl: DataFrame, order: list[str]) -> DataFrame:
