@@ -1,42 +1,3 @@
-"""Connected components of an edge table by alternating star contraction (Kiveris et al., 2014)."""
+"""Connected components; see ``readloom.plans.components``."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from readloom.llm.store import Scratch
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    others = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 100) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v: long); the root is the smallest node of the component.
-
-    A hub costs no more than its edges: minima are aggregated before the shuffle, and the join back to the edges is one
-    that adaptive execution can split. Every round writes its edges to the shared folder; nothing reaches the driver but
-    two sums that tell whether the edges still change.
-    """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
-    for k in range(limit):
-        e = scratch.cut(e if k == 0 else _small_star(_large_star(e)), f"star{k}")
-        if k > 1:
-            scratch.drop(f"star{k - 1}")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        seen = now
-    raise RuntimeError(f"components did not settle in {limit} rounds")
+from readloom.plans.components import connected_components  # noqa: F401

@@ -1,56 +1,3 @@
-"""Tables written to the folder that the whole cluster shares, to cut lineage between the steps of an operator.
+"""Tables in the folder that the whole cluster shares; see ``readloom.plans.store``."""
 
-A lost executor then costs only the tasks it was running: what earlier steps made is read again from the shared folder
-named by ``spark.checkpoint.dir``.
-"""
-
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and Spark runs in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _LOCAL:
-        _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL[sc.applicationId]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """The tables of one operator call. ``cut`` writes and rereads a frame; ``drop`` deletes one that is used up."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, f"{self.name}-{name}")
-        df.write.parquet(path)
-        self.paths[name] = path
-        # Shuffle files of finished steps go once the JVM finds that nothing refers to them.
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            remove(self.spark, self.paths.pop(name))
+from readloom.plans.store import Scratch, new_path, remove, shared_dir  # noqa: F401

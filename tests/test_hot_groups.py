@@ -1,8 +1,9 @@
 """Groups that hold most rows of a table."""
 
 import random
+from collections import defaultdict
 
-from readloom.operators import order
+from readloom.operators import dedup, order
 
 
 def test_primary_of_a_hot_read(spark):
@@ -19,3 +20,71 @@ def test_primary_of_a_hot_read(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()  # no read is one row
     marks = got.collect()
     assert len(marks) == len(rows) and {r.src_id for r in marks if r.is_primary} == want
+
+
+def all_pairs(rows, ts):
+    """Fusion by the set of all pairs that share a point."""
+    key = lambda r: (r["abpos"], r["aepos"], r["bbpos"], r["bepos"], r["diffs"])
+    live, gone = sorted(rows, key=key), []
+    while True:
+        points, seen, pairs = [dedup._points(r, ts) for r in live], defaultdict(list), set()
+        for i, p in enumerate(points):
+            for at in p:
+                pairs.update((j, i) for j in seen[at])
+                seen[at].append(i)
+        dead, used, new = set(), set(), []
+        for i, j in sorted(pairs):
+            if {i, j} & (dead | used):
+                continue
+            x, y = live[i], live[j]
+            if x["abpos"] <= y["abpos"] and y["aepos"] <= x["aepos"]:
+                dead.add(j)
+            elif y["abpos"] <= x["abpos"] and x["aepos"] <= y["aepos"]:
+                dead.add(i)
+            else:
+                at = min(points[i].keys() & points[j].keys())
+                trace = [*x["trace"][: points[i][at]], *y["trace"][points[j][at] :]]
+                new.append({**x, "aepos": y["aepos"], "bepos": y["bepos"], "trace": trace, "diffs": sum(t["err"] for t in trace)})
+                used |= {i, j}
+        if not dead and not new:
+            return live, gone
+        gone += [live[i] for i in sorted(dead | used)]
+        live = sorted([r for i, r in enumerate(live) if i not in dead | used] + new, key=key)
+
+
+def overlap(rng, n, reach, shifts, bread=2):
+    a = rng.randrange(0, reach) * 10
+    tiles = rng.randrange(1, 12)
+    blens = [rng.choice([100, 100, 100, 90]) for _ in range(tiles)]
+    b = a // 100 * 100 + rng.randrange(shifts) * 1000
+    trace = [{"err": rng.randrange(4), "blen": x} for x in blens]
+    return {"aread": 1, "bread": bread, "is_inverse": False, "abpos": a, "aepos": (a // 100 + tiles) * 100, "bbpos": b, "bepos": b + sum(blens), "diffs": n, "trace": trace}
+
+
+def test_fusion_like_all_pairs():
+    for seed in range(60):
+        rng = random.Random(seed)
+        rows = [overlap(rng, n, 200, 1 + seed % 3) for n in range(40)]
+        assert dedup.fuse_group(rows, 100) == all_pairs(rows, 100)
+
+
+def test_thousands_through_one_point():
+    row = lambda a, b: {"aread": 1, "bread": 2, "is_inverse": False, "abpos": a, "aepos": b, "bbpos": a, "bepos": b, "diffs": 0, "trace": [{"err": 0, "blen": 100}] * (-(-b // 100) - a // 100)}
+    live, gone = dedup.fuse_group([row(100 * i, 2_000_00 + 100 * i) for i in range(1, 600)] + [row(0, 10_000_00)], 100)
+    assert [(r["abpos"], r["aepos"]) for r in live] == [(0, 10_000_00)] and len(gone) == 599
+
+
+def test_a_hot_pair_in_components(spark):
+    rng = random.Random(7)
+    rows = [overlap(rng, n, 3000, 4, 2 if n % 3 else n) for n in range(1500)]
+    schema = "aread long, bread long, is_inverse boolean, abpos long, aepos long, bbpos long, bepos long, diffs long, trace array<struct<err:int,blen:int>>"
+    o = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    text = lambda r: (r["bread"], r["abpos"], r["aepos"], r["bbpos"], r["bepos"], r["diffs"], [(t["err"], t["blen"]) for t in r["trace"]])
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["bread"]].append(r)
+    want = [(text(r), flag) for g in groups.values() for flag, part in zip((False, True), all_pairs(g, 100)) for r in part]
+    out = dedup.fuse(o)
+    assert "root" in str(out._jdf.queryExecution().analyzed())
+    assert sorted((text(r), r["removed"]) for r in out.collect()) == sorted(want)
+    assert any(flag for _, flag in want)
