@@ -31,7 +31,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special=True)
         for b in sliced(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -188,7 +188,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_bytes:
 
         from pyarrow import fs
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special=True)
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)

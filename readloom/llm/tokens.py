@@ -48,15 +48,19 @@ def _family(path: str) -> str:
 
 
 class Encoder(dict):
-    """Piece of a text -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece of a text -> its ids as little-endian unsigned 32-bit integers. With ``special`` the strings of special tokens
+    become those tokens, as by the library's default; without, they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        #: What sends a text whole to the library; upper case may be folded before tokens are looked for.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.merge = self.tokenizer.model.tokenize
         self.family = _family(path)
 
@@ -79,12 +83,12 @@ class Encoder(dict):
         """All ids of a text; none for null."""
         if not text:
             return b""
-        if self.family == "whole" or _UNSURE.search(text):
+        if self.family == "whole" or _UNSURE.search(text) or self.added and self.added.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _PIECE.findall(text) if self.family == "spaced" else text.split()))
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """This worker's encoder for a file."""
-    return Encoder(path)
+    return Encoder(path, special)
