@@ -13,9 +13,12 @@ import re
 from array import array
 from functools import cache
 
-#: Pieces a worker keeps; those that come later are encoded each time.
-KEPT_PIECES = 600_000
+#: Bytes that the pieces which a worker keeps take, and those of an entry beside its text and ids; pieces that come later
+#: are encoded each time.
+KEPT_BYTES, ENTRY_BYTES = 240 << 20, 190
 _PIECE = re.compile(r"\s*\S+|\s+")
+#: White space other than single spaces and line ends between words.
+_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 #: Characters that Python takes for white space and Unicode doesn't.
 _UNSURE = re.compile("[\x1c-\x1f]")
 _MARKS = frozenset(".,;:!?")
@@ -47,15 +50,39 @@ def _family(path: str) -> str:
     return "whole"
 
 
-class Encoder(dict):
-    """Piece of a text -> its ids as little-endian unsigned 32-bit integers. With ``special`` the strings of special tokens
-    become those tokens, as by the library's default; without, they are ordinary text."""
+class _Pieces(dict):
+    """Piece of a text, without the ``before`` that stands in front of it -> its ids as little-endian unsigned 32-bit
+    integers. Of letters with a mark behind them, or in upper case where that is folded, only the plain letters are kept."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, piece: str) -> bytes:
+        enc = self.encoder
+        mark = enc.marks.get(piece[-1:])
+        body = piece if mark is None else piece[:-1]
+        if body.isalpha() and (body.isascii() or max(body) < "İ"):
+            plain = body if enc.family == "spaced" else body.lower()
+            if plain is not piece and plain != piece:
+                return self[plain] + (mark or b"")
+            got = enc.letters(self.before + body)
+        else:
+            got = array("I", enc.tokenizer.encode(self.before + piece, add_special_tokens=False).ids).tobytes()
+        if enc.room > 0:
+            enc.room -= ENTRY_BYTES + len(piece) + len(got)
+            self[piece] = got
+        return got
+
+
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit integers. With ``special`` the strings of special tokens become those
+    tokens, as by the library's default; without, they are ordinary text."""
 
     def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
@@ -63,21 +90,14 @@ class Encoder(dict):
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.merge = self.tokenizer.model.tokenize
         self.family = _family(path)
+        self.marks = {m: self.letters(m) for m in _MARKS} if self.family != "whole" else {}
+        self.room = KEPT_BYTES
+        self.plain, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
+        self.line = self.plain["\n"] if self.family == "spaced" else b""
 
-    def _letters(self, word: str) -> list[int]:
-        return [t.id for t in self.merge(word.encode().decode("latin-1").translate(_LETTERS))]
-
-    def __missing__(self, piece: str) -> bytes:
-        body, mark = (piece[:-1], piece[-1]) if piece[-1] in _MARKS else (piece, "")
-        word = body[1:] if self.family == "spaced" and body[:1] == " " else body
-        if word.isalpha() and (word.isascii() or max(word) < "İ"):
-            ids = self._letters(body if self.family == "spaced" else body.lower()) + (self._letters(mark) if mark else [])
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        got = array("I", ids).tobytes()
-        if len(self) < KEPT_PIECES:
-            self[piece] = got
-        return got
+    def letters(self, word: str) -> bytes:
+        """The ids of letters, or a mark, that the file doesn't split before it merges."""
+        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text; none for null."""
@@ -85,7 +105,18 @@ class Encoder(dict):
             return b""
         if self.family == "whole" or _UNSURE.search(text) or self.added and self.added.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, _PIECE.findall(text) if self.family == "spaced" else text.split()))
+        if self.family == "words":
+            return b"".join(map(self.plain.__getitem__, text.split()))
+        if _ODD_SPACE.search(text):
+            return b"".join(map(self.plain.__getitem__, _PIECE.findall(text)))
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(self.line)
+            if first:
+                out.append(self.plain[first])
+            out += map(self.spaced.__getitem__, rest)
+        return b"".join(out[1:])
 
 
 @cache
