@@ -223,11 +223,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_bytes:
 _MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def read(manifest: DataFrame, path: str) -> DataFrame:
-    """(file, doc_id, at, n_tokens, ids) of every document in the files under ``path``: ``at`` counts the ids before it in
-    its shard, and ``ids`` holds little-endian unsigned 32-bit integers. Pass what is made of it to ``with_start``."""
+def read(manifest: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """(file, doc_id, at, n_tokens, ids_crc32, ids) of every document in the files under ``path``: ``at`` counts the ids
+    before it in its shard, and ``ids`` holds little-endian unsigned 32-bit integers, whose checksum is ``ids_crc32``.
+    Without ``with_ids`` they are null: they are read and summed, but don't leave the task. Pass the result, or what is
+    made of it, to ``with_start``."""
     spark = manifest.sparkSession
-    schema = "file string, doc_id long, at long, n_tokens long, ids binary"
+    schema = "file string, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary"
     if not manifest.limit(1).count():
         return spark.createDataFrame([], schema)
 
@@ -237,7 +239,8 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                 name, shard, at = b.column(0)[i].as_py().rpartition("/")[2], Shard(b.column(1)[i].as_py()), 0
                 rows = []
                 for doc_id, ids in shard:
-                    rows.append((name, doc_id, at, len(ids), ids.tobytes()))
+                    data = ids.tobytes()
+                    rows.append((name, doc_id, at, len(ids), zlib.crc32(data), data if with_ids else None))
                     at += len(ids)
                     if len(rows) == 1000:
                         yield _batch(rows)
@@ -261,8 +264,8 @@ def with_start(rows: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["file", "doc_id", "at", "n_tokens", "ids"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["file", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
 
 def write_new(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, str]:
