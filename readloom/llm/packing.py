@@ -88,13 +88,14 @@ def slots(packs: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
 
 
 def ranked(lengths: DataFrame) -> DataFrame:
-    """``lengths`` (doc_id, start, length) with ``rank``, from 0 within each length.
+    """``lengths`` (doc_id, start, length) with ``rank``, from 0 within each length. There are at most as many lengths as a
+    sequence has tokens.
 
     Rows of a length, however many, are dealt to blocks by a hash; blocks are counted, and only within one are rows sorted.
     """
     counts = lengths.groupBy("length").agg(F.count("*").alias("rows"))
     share = F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 40)) / float(1 << 40)
-    dealt = lengths.join(counts, "length").withColumn("block", F.floor(share * F.ceil(F.col("rows") / BLOCK_ROWS))).drop("rows")
+    dealt = lengths.join(F.broadcast(counts), "length").withColumn("block", F.floor(share * F.ceil(F.col("rows") / BLOCK_ROWS))).drop("rows")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).select("length", "block", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "start")) - 1
