@@ -94,7 +94,7 @@ def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     at, numbered = names.index("text"), [f"c{i}" for i in range(len(names))]
     full = docs.select(*names).toDF(*numbered).withColumn("of", F.xxhash64(f"c{at}"))
     same = F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("text_id"))
-    full = full.join(cuts, same, "left").select(*numbered, "gone")
+    full = full.join(cuts.hint("merge"), same, "left").select(*numbered, "gone")  # one plan, whatever the size
 
     def work(batches):
         for b in sliced(batches):

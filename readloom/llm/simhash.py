@@ -33,11 +33,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     n = max(1, len(words) - shingle + 1)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=n)
+    return int(np.packbits(majority(hashes), bitorder="little").view("<u8")[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64 bits are set in over half the hashes, from the lowest bit on."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):  # so many rows of 64 bytes at a time
-        part = hashes[at : at + (1 << 16)]
+    for at in range(0, len(hashes), 1 << 16):  # so many rows of 64 bytes at a time
+        part = hashes[at : at + (1 << 16)].astype("<u8", copy=False)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return 2 * ones > len(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -117,7 +122,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` without the documents that don't name their group in ``groups`` (doc_id, component_id)."""
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # one plan, whatever the size
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         rest = [F.min_by(c, F.struct("text", *sorted(set(docs.columns) - {"text"}))).alias(c) for c in docs.columns if c != "doc_id"]
         once = kept.where("doc_id is not null").groupBy("doc_id").agg(*rest)
