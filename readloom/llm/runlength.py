@@ -6,7 +6,8 @@ the same anchor at the same place, and the windows that share one occurrence of
 them are its context. Contexts that are equal as a whole are settled by counting. Of anchors with several contexts the
 distinct ones are indexed together: their Burrows-Wheeler transform is cut in runs of equal bytes, matches are compared at
 the ends of runs only, and streamed from there along the text, as a match at one byte leaves one shorter by a byte at the
-next unless a run ends between.
+next unless a run ends between. An anchor of more contexts than an index holds is split over several indexes: its windows
+are anchored anew, by strings twice as long, which fewer of them share.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from readloom.llm.batches import sliced
 from readloom.llm.store import Scratch
 
 LENGTH, ANCHOR = 200, 64
-#: Bytes of text that are hashed at a time; bytes of contexts that one index holds on average; contexts of an anchor, of
-#: 2 * LENGTH - ANCHOR bytes at most, that would fill an index: beyond, its windows are compared one by one, by hash.
-CHUNK_BYTES, INDEX_BYTES = 2 << 20, 2 << 20
+#: Bytes of text that are hashed at a time; bytes of contexts that one index holds on average; contexts, of
+#: 2 * LENGTH - ANCHOR bytes at most, that fill an index: an anchor of more is split.
+CHUNK_BYTES, INDEX_BYTES = 1 << 20, 2 << 20
 MANY = INDEX_BYTES // (2 * LENGTH - ANCHOR)
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -32,15 +33,20 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the ``k`` bytes (a power of two) from each byte on; 0 where fewer are left."""
-    h, m = _BYTES[data], 1
-    while m < k:
-        h = h[:-m] * np.uint64(pow(_BASE, m, 1 << 64)) + h[m:] if len(h) > m else h[:0]
+    """A hash of the ``k`` bytes from each byte on that has so many."""
+    part, m, h, n = _BYTES[data], 1, None, 0  # h: of n bytes; part: of m bytes, a power of two
+    while True:
+        if k & m:
+            h = part if h is None else h[: len(h) - m] * np.uint64(pow(_BASE, m, 1 << 64)) + part[n:]
+            n += m
+        if n == k:
+            break
+        part = part[:-m] * np.uint64(pow(_BASE, m, 1 << 64)) + part[m:]
         m *= 2
-    h ^= h >> np.uint64(32)
+    h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    return np.concatenate([h, np.zeros(len(data) - len(h), np.uint64)])
+    return h
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -52,39 +58,36 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - m)], x[w - m :]) if w > m else x
 
 
-def contexts(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def contexts(texts: list[bytes], length: int = LENGTH, gram: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """For each anchor occurrence: number of the text, first window, windows, hash of the anchor, hash of the context.
-    The texts have under 16 MB together, or there is only one."""
-    n = np.array([len(t) for t in texts], dtype=np.int64)
-    off = np.concatenate([[0], np.cumsum(n)])
+    Anchors are strings of ``gram`` bytes. Texts of any length are hashed CHUNK_BYTES at a time."""
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if len(data) < length:
-        return none
-    parts = []
-    step = (1 << 24) - length  # places in a part have 24 bits
-    for at in range(0, len(data) - length + 1, step):
-        part = data[at : at + step + length - 1]
-        h = _gram_hashes(part, ANCHOR)[: len(part) - ANCHOR + 1]
-        place = np.arange(len(h), dtype=np.uint64)
-        parts.append((_least(h & ~_PLACE | place, length - ANCHOR + 1) & _PLACE).astype(np.int64) + at)
-        if at == 0:
-            hashes = [h]
-        else:
-            hashes.append(h)
-    anchor_at = np.concatenate(parts)  # of the window from each byte on
-    doc = np.repeat(np.arange(len(texts)), np.maximum(0, n - length + 1))
-    if not len(doc):
-        return none
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(0, n - length + 1)) - np.maximum(0, n - length + 1), np.maximum(0, n - length + 1)) + off[doc]
-    a = anchor_at[start]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(doc) != 0)]))
-    wins = np.diff(np.concatenate([first, [len(a)]]))
-    at, place = start[first], a[first]
-    gram = np.array([hashes[p // step][p % step] for p in place], dtype=np.uint64) if len(hashes) > 1 else hashes[0][place]
+    runs: list[np.ndarray] = []  # text, first window, windows, place of the anchor, hash of the anchor
+    for at in range(0, len(data) - length + 1, CHUNK_BYTES):
+        part = data[at : at + CHUNK_BYTES + length - 1]
+        h = _gram_hashes(part, gram)
+        place = (_least(h & ~_PLACE | np.arange(len(h), dtype=np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
+        first = at + np.arange(len(place))
+        doc = np.searchsorted(off, first, side="right") - 1
+        own = np.flatnonzero(first + length <= off[doc + 1])  # windows that lie in one text
+        if not len(own):
+            continue
+        place, first, doc = place[own], first[own], doc[own]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(doc) != 0)]))
+        wins = np.diff(np.concatenate([new, [len(place)]]))
+        got = np.stack([doc[new], first[new], wins, place[new] + at, h[place[new]].view(np.int64)])
+        if runs and (runs[-1][[0, 3], -1] == got[[0, 3], 0]).all():  # an anchor's windows go on from the part before
+            runs[-1][2, -1] += got[2, 0]
+            got = got[:, 1:]
+        if got.shape[1]:
+            runs.append(got)
+    if not runs:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    doc, first, wins, _, anchor = np.concatenate(runs, axis=1)
     view = memoryview(data)
-    ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(at.tolist(), (at + wins + length - 1).tolist())), np.uint64, len(at))
-    return doc[first], at - off[doc[first]], wins, gram.view(np.int64), ctx.view(np.int64)
+    ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), (first + wins + length - 1).tolist())), np.uint64, len(first))
+    return doc, first - off[doc], wins, anchor, ctx.view(np.int64)
 
 
 class RunLengthIndex:
@@ -169,12 +172,12 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
+def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, text_id, first, windows, anchor, context) of every anchor occurrence in ``docs`` (doc_id, text_id, text)."""
     names = ["doc_id", "text_id", "first", "windows", "anchor", "context"]
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        doc, first, wins, anchor, ctx = contexts([r[2] for r in rows], length)
+        doc, first, wins, anchor, ctx = contexts([r[2] for r in rows], length, gram)
         ids = [pa.array([r[k] for r in rows], pa.int64()).take(pa.array(doc)) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int64()) for x in (first, wins, anchor, ctx))], names=names)
 
@@ -207,22 +210,28 @@ def _distinct_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
     return cut.select("w.anchor", "w.context", "w.many", data.alias("data"))
 
 
-def covers(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, text_id, first, past): runs of windows, in ``docs`` (doc_id, text_id, text: binary), that start elsewhere."""
-    every = scratch.cut(_anchors(docs, length), "anchors")
+def covers(docs: DataFrame, length: int, scratch: Scratch, gram: int = ANCHOR) -> DataFrame:
+    """(doc_id, text_id, first, past): runs of windows, in ``docs`` (doc_id, text_id, text: binary), that start elsewhere.
+
+    Windows are brought together by anchors of ``gram`` bytes. The contexts of an anchor that has more of them than an
+    index holds are themselves searched as texts, by anchors of twice as many bytes: their windows have that anchor in
+    common, so none is equal to one of another anchor. At ``length`` bytes an anchor is its window, and has one context.
+    """
+    every = scratch.cut(_anchors(docs, length, gram), f"anchors{gram}")
     # Counted before they are dealt out, so that an anchor of a third of all texts loads no task.
     shared = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-    shared = scratch.cut(shared.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "shared")
-    hits = scratch.cut(every.join(shared, "anchor"), "hits")
-    scratch.drop("anchors", "shared")
+    shared = scratch.cut(shared.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), f"shared{gram}")
+    hits = scratch.cut(every.join(shared, "anchor"), f"hits{gram}")
+    scratch.drop(f"anchors{gram}", f"shared{gram}")
     same = hits.where("not mixed").select("doc_id", "text_id", "first", (F.col("first") + F.col("windows")).alias("past"))
 
     mixed = hits.where("mixed")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id", "first", "windows")
-    distinct = scratch.cut(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(at).alias("at")), "contexts")
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).select("anchor", (F.col("contexts") > MANY).alias("many"))
-    wanted = distinct.join(sizes, "anchor").select("anchor", "context", "many", "at.doc_id", "at.text_id", "at.first", "at.windows")
-    pieces = scratch.cut(_distinct_bytes(docs, wanted, length).dropDuplicates(["anchor", "context"]), "pieces")
+    distinct = scratch.cut(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(at).alias("at")), f"contexts{gram}")
+    # A table of its own, so that adaptive execution can split an anchor's contexts in the join.
+    large = scratch.cut(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where(F.col("contexts") > MANY).select("anchor", F.lit(True).alias("many")), f"large{gram}")
+    wanted = distinct.join(large, "anchor", "left").select("anchor", "context", F.coalesce("many", F.lit(False)).alias("many"), "at.doc_id", "at.text_id", "at.first", "at.windows")
+    pieces = scratch.cut(_distinct_bytes(docs, wanted, length).dropDuplicates(["anchor", "context"]), f"pieces{gram}")
     total = pieces.where("not many").agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
@@ -232,14 +241,12 @@ def covers(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
     few = pieces.where("not many").withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(1 + total // INDEX_BYTES)))
     found = few.groupBy("part").applyInPandas(index, "anchor long, context long, i long, j long")
-    windows = pieces.where("many").select("anchor", "context", "data", F.explode(F.sequence(F.lit(0), F.length("data") - length)).alias("i"))
-    string = F.substring(F.col("data"), F.col("i") + 1, F.lit(length))
-    windows = windows.select("anchor", "context", "i", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2"))
-    again = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    one_by_one = windows.join(again, ["h1", "h2"]).select("anchor", "context", F.col("i").cast("long").alias("i"), (F.col("i") + 1).cast("long").alias("j"))
+    if large.limit(1).count():
+        texts = pieces.where("many").select(F.col("anchor").alias("doc_id"), F.col("context").alias("text_id"), F.col("data").alias("text"))
+        found = found.unionByName(covers(texts, length, scratch, min(2 * gram, length)).toDF("anchor", "context", "i", "j"))
     whole = distinct.where("n > 1").select("anchor", "context", F.lit(0).cast("long").alias("i"), F.col("at.windows").alias("j"))
     once = distinct.where("n = 1").select("anchor", "context")
-    parts = scratch.cut(found.unionByName(one_by_one).join(once, ["anchor", "context"]).unionByName(whole), "parts")
+    parts = scratch.cut(found.join(once, ["anchor", "context"]).unionByName(whole), f"parts{gram}")
     cut = mixed.join(parts, ["anchor", "context"]).select("doc_id", "text_id", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("j")).alias("past"))
     return same.unionByName(cut)
 
@@ -257,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     found = covers(slim, length, scratch).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first", "past")).alias("runs"))
     found = scratch.cut(found.select(F.col("doc_id").alias("r_doc"), F.col("text_id").alias("r_text"), "runs"), "runs")
-    scratch.drop("hits", "contexts", "pieces", "parts")
+    scratch.drop(*(set(scratch.paths) - {"runs"}))
     full = slim.join(found, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_id") == F.col("r_text")), "left")
     full = full.select("doc_id", "text", F.col("runs.first").alias("first"), F.col("runs.past").alias("past"))
 

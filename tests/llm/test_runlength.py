@@ -65,6 +65,20 @@ def test_long_single_text(monkeypatch):
     assert wins.sum() == len(t) - 199 and (first[1:] == (first + wins)[:-1]).all() and not doc.any()
 
 
+@pytest.mark.parametrize("gram", [64, 128, 200])
+def test_texts_over_many_parts(monkeypatch, gram):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (0, 10_150, 199, 200, 5_000, 0, 7_077, 4_196)] + [b"a" * 9_000]
+    want = R.contexts(texts, gram=gram)
+    for size in (1 << 12, 5_000, 4_996, 1_000):
+        monkeypatch.setattr(R, "CHUNK_BYTES", size)
+        assert all((x == y).all() for x, y in zip(R.contexts(texts, gram=gram), want))
+    for more in range(60, 210, 10):  # the last window's anchor lies behind the last part's windows
+        t = texts[1][: 2 * 4_000 + more]
+        monkeypatch.setattr(R, "CHUNK_BYTES", 4_000)
+        assert R.contexts([t])[2].sum() == len(t) - 199
+
+
 def test_empty(spark, make_docs):
     assert R.remove_repeats(make_docs([])).collect() == []
     with pytest.raises(ValueError):
