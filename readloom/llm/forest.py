@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -12,39 +13,55 @@ from pyspark.sql.window import Window
 
 from readloom.llm.store import Scratch
 
-#: Bits of a hash string; vectors of a shard and queries of a block, on average.
-BITS, SHARD_ROWS, BLOCK_ROWS, SEED = 32, 16384, 4096, 11
+#: Symbols of a hash string, bits of one, and the components that it is made from; vectors of a shard and queries of a block,
+#: on average.
+SYMBOLS, BITS, WIDTH, SHARD_ROWS, BLOCK_ROWS, SEED = 6, 5, 16, 16384, 4096, 11
+#: Vectors that are hashed at a time.
+HASHED = 256
+
+
+@cache
+def _planes(dim: int, trees: int) -> np.ndarray:
+    """(dim, trees * SYMBOLS * width): for each symbol of each tree, orthonormal directions; as many as the vectors have
+    components, if that is under WIDTH."""
+    rng, width = np.random.default_rng(SEED), min(WIDTH, dim)
+    each = [np.linalg.qr(rng.standard_normal((dim, width)))[0] for _ in range(trees * SYMBOLS)]
+    return np.concatenate(each, axis=1).astype(np.float32)
 
 
 class Forest:
-    """Trees over vectors: for each, the sorted array of their hash strings, the signs of BITS random projections.
+    """Trees over vectors: for each, the sorted array of their hash strings of SYMBOLS symbols. A symbol is the one of some
+    random directions, or of their opposites, that the vector lies nearest to (cross-polytope hashing; Andoni et al., 2015).
 
     A query descends each tree by binary search to the vectors that share its longest prefix. From there it ascends all
-    trees together, one bit at a time, until the vectors below have ``budget`` entries in the trees. The subtree of a
+    trees together, one symbol at a time, until the vectors below have ``budget`` entries in the trees. The subtree of a
     prefix is a range of the sorted array, so ascending only widens ranges.
     """
 
     def __init__(self, vectors: np.ndarray, trees: int):
-        self.vectors = vectors
-        rng = np.random.default_rng(SEED)
-        self.planes = [rng.standard_normal((vectors.shape[1], BITS)) for _ in range(trees)]
-        self.order, self.strings = [], []
-        for p in self.planes:
-            h = self._hash(vectors, p)
-            order = np.argsort(h, kind="stable")
-            self.order.append(order)
-            self.strings.append(h[order])
-
-    @staticmethod
-    def _hash(vectors: np.ndarray, plane: np.ndarray) -> np.ndarray:
-        return (vectors @ plane > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+        self.planes, self.trees = _planes(vectors.shape[1], trees), trees
+        hashes = self._strings(vectors)
+        self.order = [np.argsort(h, kind="stable") for h in hashes]
+        self.strings = [h[o] for h, o in zip(hashes, self.order)]
+
+    def _strings(self, vectors: np.ndarray) -> np.ndarray:
+        """(trees, vectors): the strings as numbers, the first symbol in the highest bits."""
+        out = np.empty((self.trees, len(vectors)), np.int64)
+        large = np.abs(vectors).max(axis=1, keepdims=True)
+        for at in range(0, len(vectors), HASHED):
+            part = (vectors[at : at + HASHED] / large[at : at + HASHED]).astype(np.float32)
+            z = (part @ self.planes).reshape(len(part), self.trees, SYMBOLS, -1)
+            near = np.abs(z).argmax(axis=3)
+            symbol = 2 * near + (np.take_along_axis(z, near[..., None], axis=3)[..., 0] > 0)
+            out[:, at : at + HASHED] = (symbol << BITS * np.arange(SYMBOLS - 1, -1, -1)).sum(axis=2).T
+        return out
 
     def candidates(self, queries: np.ndarray, budget: int):
         """For each query, the numbers of the vectors that it reaches."""
-        hashes = [self._hash(queries, p) for p in self.planes]
+        hashes = self._strings(queries)
         depth = np.zeros(len(queries), dtype=np.int64)
         open_ = np.ones(len(queries), dtype=bool)
-        for d in range(BITS, -1, -1):
+        for d in range(SYMBOLS, -1, -1):
             lo, hi = self._ranges(hashes, np.full(len(queries), d))
             enough = open_ & ((hi - lo).sum(axis=0) >= budget)
             depth[enough] = d
@@ -55,8 +72,8 @@ class Forest:
         for q in range(len(queries)):
             yield np.unique(np.concatenate([o[lo[t, q] : hi[t, q]] for t, o in enumerate(self.order)]))
 
-    def _ranges(self, hashes: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = BITS - depth
+    def _ranges(self, hashes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = BITS * (SYMBOLS - depth)
         lo = [np.searchsorted(s, h >> shift << shift) for h, s in zip(hashes, self.strings)]
         hi = [np.searchsorted(s, ((h >> shift) + 1) << shift) for h, s in zip(hashes, self.strings)]
         return np.array(lo), np.array(hi)
@@ -69,7 +86,7 @@ def usable(table: DataFrame) -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).distinct()
 
 
-def nearest(table: DataFrame, queries, k: int = 10, trees: int = 32, budget: int = SHARD_ROWS) -> DataFrame:
+def nearest(table: DataFrame, queries, k: int = 10, trees: int = 320, budget: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest vectors found for each row of ``table`` (vec_id, embedding) that
     the condition ``queries`` on vec_id holds for, by Euclidean distance in double precision, ties to smaller vec_id.
 
