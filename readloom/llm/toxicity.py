@@ -22,8 +22,11 @@ from pyspark.sql import types as T
 from readloom.llm.batches import sliced
 from readloom.llm.store import Scratch
 
-#: Labelled rows that are learned from, of each label at most; terms and their least number of texts; length of vectors.
-MAX_ROWS, MAX_TERMS, MIN_TEXTS, FACTORS = 6000, 1 << 13, 4, 8
+#: Labelled rows that are learned from, of each label at most; features that terms are hashed to; length of vectors.
+MAX_ROWS, FEATURES, FACTORS = 6000, 1 << 18, 8
+#: A feature's value is chi / (chi + HALF), by the chi-square of its bond with the label, or if that is more twice its share
+#: of the texts, 1 at most; FLOOR at least. So rare ones that tell nothing by themselves have little say, and none is left out.
+HALF, FLOOR = 30.0, 0.1
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 128, 0.05, 2e-3, 7
 #: Tokens that a worker keeps the terms of.
 KEPT_TOKENS = 100_000
@@ -41,7 +44,8 @@ def terms(token: str) -> set[int]:
 
 @dataclass
 class Model:
-    """Rows for the hashes of ``terms`` (ascending); ``bias`` alone is the score of a text without any."""
+    """Rows for the features ``terms`` (ascending) that were seen; ``bias`` alone is the score of a text without any. The
+    values of features are part of the weights and vectors."""
 
     terms: np.ndarray
     weight: np.ndarray
@@ -49,7 +53,7 @@ class Model:
     bias: float
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Scores of texts given as the rows of their terms."""
+        """Scores of texts given as the rows of their features."""
         return 1 / (1 + np.exp(-_raw(self.bias, self.weight, self.vectors, *_flat(texts))[0]))
 
 
@@ -65,58 +69,69 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ends[at] - ends[at - n]
 
 
-def _raw(bias, weight, vectors, at, n):
-    v = vectors[at]
+def _raw(bias, weight, vectors, at, n, value=None):
+    """Raw scores, and what their gradient needs: the sums of vectors by text, and the vectors."""
+    v, w = vectors[at], weight[at]
+    if value is not None:
+        v, w = v * value[at, None], w * value[at]
     s = _sums(v, n)
-    return np.clip(bias + _sums(weight[at], n) + 0.5 * (s * s - _sums(v * v, n)).sum(axis=1), -30, 30), s, v
+    return np.clip(bias + _sums(w, n) + 0.5 * (s * s - _sums(v * v, n)).sum(axis=1), -30, 30), s, v
 
 
-def _telling(every: np.ndarray, count: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The places, ascending, of the terms that the label depends on most by chi-square."""
-    toxic = np.searchsorted(every, np.concatenate([*(x for x, y in zip(texts, labels) if y), np.zeros(0, np.uint64)]))
-    n, n1, a = len(texts), labels.sum(), np.bincount(toxic, minlength=len(every))
-    gap = a * n - count * n1
-    chi = gap.astype(np.float64) ** 2 / np.maximum(1, count * (n - count).astype(np.float64))
-    kept = np.flatnonzero(count >= MIN_TEXTS)
-    return np.sort(kept[np.argsort(-chi[kept], kind="stable")[:MAX_TERMS]])
+def features(hashes: np.ndarray) -> np.ndarray:
+    """The features of a text's terms, ascending, each once."""
+    return np.unique(hashes & np.uint64(FEATURES - 1))
+
+
+def _values(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    flat, n = _flat(rows)
+    count = np.bincount(flat, minlength=size).astype(np.float64)
+    toxic = np.bincount(flat, np.repeat(labels, n), minlength=size)
+    texts, n1 = len(rows), labels.sum()
+    gap = toxic * texts - count * n1
+    chi = gap * gap / np.maximum(1, count * (texts - count)) / max(1.0, n1 * (texts - n1) / max(1, texts))
+    return np.maximum(np.maximum(chi / (chi + HALF), np.minimum(1, 2 * count / max(1, texts))), FLOOR)
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray) -> Model:
     """Learns from the hashes of the terms of each text, with both labels given even weight."""
-    every, count = np.unique(np.concatenate([*texts, np.zeros(0, np.uint64)]), return_counts=True)
-    vocabulary = every[_telling(every, count, texts, labels)]
-    rows = [np.flatnonzero(np.isin(vocabulary, x, assume_unique=True)) for x in texts]
+    found = [features(x) for x in texts]
+    every = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]))
+    rows = [np.searchsorted(every, x) for x in found]
     rng = np.random.default_rng(SEED)
-    w, v, bias = np.zeros(len(vocabulary)), rng.normal(0, 0.01, (len(vocabulary), FACTORS)), 0.0
+    w, v, bias = np.zeros(len(every)), rng.normal(0, 0.01, (len(every), FACTORS)), 0.0
+    if not 0 < labels.sum() < len(labels):
+        return Model(every, w, np.zeros(v.shape, np.float32), bias)
+    value = _values(rows, labels, len(every))
     gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    if 0 < labels.sum() < len(labels):
-        share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
-                flat, n = _flat([rows[i] for i in part])
-                raw, s, vx = _raw(bias, w, v, flat, n)
-                g = (1 / (1 + np.exp(-raw)) - labels[part]) * share[part]
-                each = np.repeat(np.arange(len(part)), n)
-                used, back = np.unique(flat, return_inverse=True)
-                dw = np.bincount(back, g[each], len(used)) / len(part) + DECAY * w[used]
-                dv = g[each, None] * (s[each] - vx)
-                dv = np.stack([np.bincount(back, dv[:, k], len(used)) for k in range(FACTORS)], axis=1) / len(part) + DECAY * v[used]
-                gw[used] += dw * dw
-                gv[used] += dv * dv
-                gb += g.mean() ** 2
-                w[used] -= RATE * dw / np.sqrt(gw[used])
-                v[used] -= RATE * dv / np.sqrt(gv[used])
-                bias -= RATE * g.mean() / np.sqrt(gb)
-    return Model(vocabulary, w, v, bias)
+    share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            flat, n = _flat([rows[i] for i in part])
+            raw, s, vx = _raw(bias, w, v, flat, n, value)
+            g = (1 / (1 + np.exp(-raw)) - labels[part]) * share[part]
+            each = np.repeat(np.arange(len(part)), n)
+            used, back = np.unique(flat, return_inverse=True)
+            gx = g[each] * value[flat]
+            dw = np.bincount(back, gx, len(used)) / len(part) + DECAY * w[used]
+            dv = gx[:, None] * (s[each] - vx)
+            dv = np.stack([np.bincount(back, dv[:, k], len(used)) for k in range(FACTORS)], axis=1) / len(part) + DECAY * v[used]
+            gw[used] += dw * dw
+            gv[used] += dv * dv
+            gb += g.mean() ** 2
+            w[used] -= RATE * dw / np.sqrt(gw[used])
+            v[used] -= RATE * dv / np.sqrt(gv[used])
+            bias -= RATE * g.mean() / np.sqrt(gb)
+    return Model(every, w * value, (v * value[:, None]).astype(np.float32), bias)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from rows of ``labels`` (doc_id, toxic 0 or 1) and the texts of ``docs`` with that doc_id.
 
-    Of each label the MAX_ROWS rows with the smallest hash of doc_id are used: that bounds what one task learns from and,
-    with MAX_TERMS, what reaches the driver. Labels that are null or without a document are left out; of several for one doc_id
+    Of each label the MAX_ROWS rows with the smallest hash of doc_id are used, which bounds what one task learns from. The
+    model has a row for each of FEATURES features at most, whatever the texts hold; that is what reaches the driver. Labels that are null or without a document are left out; of several for one doc_id
     the largest holds. Both labels weigh the same: a score of 0.5 is where neither is likelier. Without both the score is
     0.5 for every text.
     """
@@ -145,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     got = {r["part"]: r["data"] for r in ordered.mapInPandas(learn, "part string, data binary").collect()}
     empty = {"terms": b"", "weight": b"", "vectors": b"", "bias": np.float64(0).tobytes()}
     a = {k: bytes(got.get(k, x)) for k, x in empty.items()}
-    vectors = np.frombuffer(a["vectors"]).reshape(-1, FACTORS)
+    vectors = np.frombuffer(a["vectors"], np.float32).reshape(-1, FACTORS)
     return Model(np.frombuffer(a["terms"], np.uint64), np.frombuffer(a["weight"]), vectors, float(np.frombuffer(a["bias"])[0]))
 
 
@@ -153,14 +168,15 @@ _SAMPLE = pa.schema([("terms", pa.binary()), ("toxic", pa.int32())])
 
 
 class _Rows(dict):
-    """Token -> the model's rows of its terms."""
+    """Token -> the model's rows of its features."""
 
     def __init__(self, known: dict[int, int]):
         super().__init__()
         self.known = known
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        got = tuple(self.known[x] for x in terms(token) if x in self.known)
+        each = {x & (FEATURES - 1) for x in terms(token)}
+        got = tuple(self.known[x] for x in each if x in self.known)
         if len(self) < KEPT_TOKENS:
             self[token] = got
         return got
@@ -169,7 +185,7 @@ class _Rows(dict):
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, score) of each row of ``docs`` by its whole text, or the columns ``keep`` and score; a null text scores as
     an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES rows at most
     names = [c for c in keep or ["doc_id"] if c != "score"]
     numbered = [f"c{i}" for i in range(len(names))]
     slim = docs.select(*names, "text").toDF(*numbered, "whole")
