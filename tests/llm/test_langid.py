@@ -28,6 +28,21 @@ def test_edges(spark, make_docs):
     assert [r.lang_pred for r in langid.predict(make_docs([(1, "the")]), none).collect()] == ["und"]
 
 
+def test_languages_in_groups_and_text_in_parts(spark, make_docs, monkeypatch):
+    docs, test = make_docs(rows(200, 4)), make_docs([*rows(60, 5), (900, ""), (901, None)])
+    want = sorted(map(tuple, langid.predict(test, langid.train(docs)).collect()))
+    for n in (1, 2):
+        monkeypatch.setattr(langid, "LANGS", n)
+        groups = langid.train(docs)
+        assert len(groups) == -(-3 // n)
+        assert sorted(map(tuple, langid.predict(test, groups).collect())) == want
+    text = " ".join(t for _, t, *_ in rows(40, 6))
+    whole = [x.tolist() for x in langid.ngrams(text)]
+    for n in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "PART", n)
+        assert [x.tolist() for x in langid.ngrams(text)] == whole
+
+
 def test_ngrams():
     grams, n = langid.ngrams("Ab b")
     text = {"".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0)).lstrip("\0"): int(c) for g, c in zip(grams, n)}
