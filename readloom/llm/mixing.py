@@ -24,9 +24,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, "[ \\t-\\r]+"), lambda x: x != "")), F.lit(0)).cast("long")
 
 
-def place(doc_id: Column, epoch: Column, seed: int) -> Column:
-    """Where a document stands, from 0 to 1, in the permutation of its source that serves an epoch."""
-    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def who(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: the doc_id, or a hash of the text where there is none."""
+    return F.coalesce(doc_id.cast("long").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def place(doc: Column, epoch: Column, seed: int) -> Column:
+    """Where a document, by ``who``, stands, from 0 to 1, in the permutation of its source that serves an epoch."""
+    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").cast("double") / float(1 << 60)
 
 
@@ -73,13 +78,13 @@ def mix(docs: DataFrame, *, max_epochs: float | None = None, entropy: float | No
 
     Columns whose names begin with mix_ are ignored. Adds the columns mix_epoch (from 1; a document taken n times is n rows), mix_weight (of its source) and mix_place (in
     that epoch's permutation). Rows without words cost nothing and are taken once. Null sources form a source of their
-    own. Rows that tie in place (one doc_id repeated in a source) are taken or left together.
+    own. Rows that tie in place (one doc_id repeated in a source, or one text without doc_id) are taken or left together.
     """
     if (max_epochs is None) == (entropy is None):
         raise ValueError("give one of max_epochs and entropy")
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("mix_key")
-    slim = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, words(F.col("text")).alias("n")), "slim")
+    slim = scratch.cut(docs.select(who(F.col("doc_id"), F.col("text")).alias("doc"), key, words(F.col("text")).alias("n")), "slim")
     stats = scratch.cut(slim.groupBy("mix_key").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")), "sources")
     total = stats.agg(F.sum("tokens")).first()[0] or 0
     want = float(total if budget is None else budget)
@@ -96,9 +101,9 @@ def mix(docs: DataFrame, *, max_epochs: float | None = None, entropy: float | No
     plan = stats.select("mix_key", "tokens", "rows", weight.alias("mix_weight"), whole.cast("long").alias("whole"), (quota - whole * F.col("tokens")).alias("rest"))
     plan = scratch.cut(plan, "plan")
 
-    u = place(F.col("doc_id"), F.col("whole") + 1, seed)
+    u = place(F.col("doc"), F.col("whole") + 1, seed)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS))
-    placed = slim.where("n > 0").join(plan, "mix_key").select("mix_key", "doc_id", "n", "rest", u.alias("u"), blocks.alias("blocks"))
+    placed = slim.where("n > 0").join(plan, "mix_key").select("mix_key", "n", "rest", u.alias("u"), blocks.alias("blocks"))
     placed = placed.withColumn("block", F.floor(F.col("u") * F.col("blocks")))
     upto = Window.partitionBy("mix_key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.groupBy("mix_key", "block", "rest").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
@@ -112,8 +117,9 @@ def mix(docs: DataFrame, *, max_epochs: float | None = None, entropy: float | No
 
     names = [c for c in docs.columns if not c.startswith("mix_")]
     full = docs.select(*names, key, words(F.col("text")).alias("mix_n")).join(plan.toDF("mix_key", "mix_weight", "mix_whole", "mix_end"), "mix_key")
-    more = (place(F.col("doc_id").cast("long"), F.col("mix_whole") + 1, seed) < F.col("mix_end")).cast("long")
+    doc = who(F.col("doc_id"), F.col("text"))
+    more = (place(doc, F.col("mix_whole") + 1, seed) < F.col("mix_end")).cast("long")
     copies = F.when(F.col("mix_n") > 0, F.col("mix_whole") + more).otherwise(1)
     full = full.withColumn("mix_copies", copies).where("mix_copies > 0")
     full = full.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return full.select(*names, "mix_epoch", "mix_weight", place(F.col("doc_id").cast("long"), F.col("mix_epoch"), seed).alias("mix_place"))
+    return full.select(*names, "mix_epoch", "mix_weight", place(doc, F.col("mix_epoch"), seed).alias("mix_place"))

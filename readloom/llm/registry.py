@@ -88,7 +88,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH RECURSIVE slim AS MATERIALIZED (
-  SELECT doc_id, source, coalesce('=' || source, '') AS k,
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS doc, coalesce('=' || source, '') AS k,
          CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '')), 0) AS BIGINT) AS n
   FROM documents),
 stats AS MATERIALIZED (SELECT k, CAST(sum(n) AS BIGINT) AS tokens FROM slim GROUP BY k HAVING sum(n) > 0),
@@ -107,16 +107,16 @@ q AS MATERIALIZED (
          CAST((SELECT sum(tokens) FROM stats) AS DOUBLE) * (w / (SELECT sum(w) FROM z)) AS quota FROM z),
 plan AS MATERIALIZED (SELECT k, weight, CAST(floor(quota / tokens) AS BIGINT) AS whole, quota - floor(quota / tokens) * tokens AS rest FROM q),
 placed AS (
-  SELECT s.doc_id, s.source, s.n, coalesce(p.weight, 0.0) AS weight, coalesce(p.whole, 0) AS whole, p.rest, s.k,
-         CAST(('0x' || substr(md5('0:' || (coalesce(p.whole, 0) + 1) || ':' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 15)) AS BIGINT) AS u
+  SELECT s.doc_id, s.doc, s.source, s.n, coalesce(p.weight, 0.0) AS weight, coalesce(p.whole, 0) AS whole, p.rest, s.k,
+         CAST(('0x' || substr(md5('0:' || (coalesce(p.whole, 0) + 1) || ':' || s.doc), 1, 15)) AS BIGINT) AS u
   FROM slim s LEFT JOIN plan p ON p.k = s.k),
 taken AS (
   SELECT *, CASE WHEN n = 0 THEN 1
                  ELSE whole + CAST(sum(n) OVER (PARTITION BY k ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS BIGINT) END AS copies
   FROM placed),
-copied AS (SELECT doc_id, source, weight, unnest(range(1, copies + 1)) AS mix_epoch FROM taken)
+copied AS (SELECT doc_id, doc, source, weight, unnest(range(1, copies + 1)) AS mix_epoch FROM taken)
 SELECT doc_id, source, CAST(mix_epoch AS BIGINT) AS mix_epoch, round(weight, 9) AS mix_weight,
-       round(CAST(CAST(('0x' || substr(md5('0:' || mix_epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15)) AS BIGINT) AS DOUBLE) / 1152921504606846976.0, 12) AS mix_place
+       round(CAST(CAST(('0x' || substr(md5('0:' || mix_epoch || ':' || doc), 1, 15)) AS BIGINT) AS DOUBLE) / 1152921504606846976.0, 12) AS mix_place
 FROM copied
 """
 

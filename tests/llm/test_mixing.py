@@ -44,6 +44,14 @@ def test_entropy(spark, make_docs):
     assert sum(w.values()) == pytest.approx(1)
 
 
+def test_documents_without_id(spark, make_docs):
+    d = make_docs([(None, f"w{i} x y z", "a") for i in range(300)] + [(i, f"v{i}", "b") for i in range(20)])
+    mixed = mixing.mix(d, max_epochs=1.5, budget=600.0)
+    weight = {r.source: r.mix_weight for r in mixed.select("source", "mix_weight").distinct().collect()}
+    got = shares(mixed)
+    assert 600 * weight["a"] - 4 <= got["a"] <= 600 * weight["a"] + 1e-6  # one by one, not all or none
+
+
 def test_bounds(spark, make_docs):
     d = docs(make_docs)
     with pytest.raises(ValueError):
