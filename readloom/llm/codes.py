@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,8 @@ BITS = 64
 
 
 def sign_code(v: Column) -> Column:
-    """The signs of a vector's first 64 components as a long: bit i is set if component i is over 0."""
+    """The signs of a vector's first 64 components as a long: bit i is set if component i is over 0, which NaN is and null
+    isn't. A null vector has no code."""
     head = F.transform(F.slice(v, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(head, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
@@ -32,9 +32,15 @@ def _segment(code: Column, a: int, width: int) -> Column:
     return F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _flips(width: int, radius: int) -> list[int]:
-    """All patterns of ``radius`` bits among ``width``."""
-    return [sum(1 << i for i in x) for x in combinations(range(width), radius)]
+def _flipped(values: DataFrame, radius: int) -> DataFrame:
+    """``values`` (with own, width) with ``value`` for each value at distance ``radius`` from ``own``: bits are flipped one
+    after another, from the lowest on, so each pattern comes once and is made where its row is."""
+    rows = values.withColumns({"value": F.col("own"), "_from": F.lit(0)})
+    for _ in range(radius):
+        rows = rows.where("_from < width").withColumn("_bit", F.explode(F.sequence(F.col("_from"), F.col("width") - 1)))
+        flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+        rows = rows.withColumns({"value": F.col("value").bitwiseXOR(flip), "_from": F.col("_bit") + 1}).drop("_bit")
+    return rows.drop("_from")
 
 
 def top_k(table: DataFrame, queries, k: int = 10) -> DataFrame:
@@ -63,11 +69,10 @@ def top_k(table: DataFrame, queries, k: int = 10) -> DataFrame:
     best, done = None, None
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for r in range(max(w for _, w in segments) + 1):
-        flips = table.sparkSession.createDataFrame([(i, x) for i, (_, w) in enumerate(segments) for x in _flips(w, r)], "segment int, flip long")
         # Few bytes make many rows here: as many tasks as a shuffle has, whatever the size of the queries.
-        values = open_.repartition(tasks, "q").select("q", "far", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _segment(F.col("q"), a, w).alias("own")) for i, (a, w) in enumerate(segments)))).alias("s"))
-        probe = values.select("q", "far", F.col("s.segment").alias("segment"), F.col("s.own").alias("own")).join(F.broadcast(flips), "segment")
-        probe = probe.select("q", "far", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        own = [F.struct(F.lit(i).alias("segment"), F.lit(w).alias("width"), _segment(F.col("q"), a, w).alias("own")) for i, (a, w) in enumerate(segments)]
+        values = open_.repartition(tasks, "q").select("q", "far", F.inline(F.array(*own)))
+        probe = _flipped(values, r).select("q", "far", "segment", "value")
         apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         seen = probe.join(index, (probe["segment"] == index["segment"]) & (probe["value"] == index["value"]) & (apart <= F.col("far")))
         seen = seen.select("q", apart.alias("distance"), F.explode("ids").alias("id")).distinct()
