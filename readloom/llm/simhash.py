@@ -81,7 +81,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("radius must be 0 to 3")
     # Few bytes make many rows here: as many tasks as a shuffle has, whatever the size of the fingerprints.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    balls = fps.select("fp").distinct().repartition(tasks, "fp").select("fp", F.explode(_ball(F.col("fp"), radius)).alias("key"))
+    balls = fps.select("fp").distinct().repartition(tasks).select("fp", F.explode(_ball(F.col("fp"), radius)).alias("key"))
     a, b = balls.select("key", F.col("fp").alias("u")), balls.select("key", F.col("fp").alias("v"))
     near = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
     return near.select("u", "v").distinct()
@@ -97,14 +97,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.cut(fingerprints(docs, shingle), "fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = scratch.cut(links(fps, radius), "links")
+    classes = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    found = scratch.cut(links(classes, radius), "links")
     ends = found.select(F.col("u").alias("fp")).unionByName(found.select(F.col("v").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     roots = connected_components(found, scratch).withColumnRenamed("node", "fp")
     linked = roots.join(classes, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     nodes = classes.join(named, "fp", "left").join(ends, "fp", "left")
     nodes = scratch.cut(nodes.select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "nodes")
+    scratch.drop(*(set(scratch.paths) - {"fps", "nodes"}))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(nodes, "fp").select("doc_id", hexed, "component_id", "n_links")
 
