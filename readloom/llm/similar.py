@@ -135,10 +135,11 @@ def links(docs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, sim
     members = scratch.cut(texts.select("tid", F.posexplode("words").alias("k", "word")).select("tid", word), "members")
     classes = scratch.cut(members.groupBy("own").agg(F.count("*").alias("n")), "classes")
     flips = [0, *(1 << i for i in range(BITS))]
-    balls = classes.select("own", F.explode(F.array(*(F.col("own").bitwiseXOR(F.lit(f)) for f in flips))).alias("key"))
-    # Each word once, so a key has BITS + 1 rows at most and no task more than its share. Dealt out by key once, for both
-    # the sums and the join. Few bytes make many rows: as many tasks as a shuffle has, whatever the size of the words.
+    # Few bytes make many rows: as many tasks as a shuffle has, whatever the size of the words.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = classes.select("own").repartition(tasks).select("own", F.explode(F.array(*(F.col("own").bitwiseXOR(F.lit(f)) for f in flips))).alias("key"))
+    # Each word once, so a key has BITS + 1 rows at most and no task more than its share. Dealt out by key once, for both
+    # the sums and the join.
     balls = balls.repartition(tasks, "key")
     shared = balls.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = balls.join(shared.hint("merge"), "key").unionByName(classes.where("n > 1").select(F.col("own").alias("key"), "own"))
