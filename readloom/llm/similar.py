@@ -18,7 +18,7 @@ from readloom.llm.store import Scratch
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Independent SimHash words of a text and their bits. Two texts meet if one of their words differs in 2 bits at most.
-WORDS, BITS = 8, 44
+WORDS, BITS = 6, 44
 #: Longs of the SimHash over shingles by which pairs are sorted out before their shingles are compared, and the share of
 #: bits that may differ. At a similarity of 0.8 it is 0.152 on average, and over 0.177 for one pair of 1500; at 0.82 and
 #: more, for one of 300,000.
@@ -141,8 +141,13 @@ def links(docs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, sim
     # Each word once, so a key has BITS + 1 rows at most and no task more than its share. Dealt out by key once, for both
     # the sums and the join.
     balls = balls.repartition(tasks, "key")
-    shared = balls.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = balls.join(shared.hint("merge"), "key").unionByName(classes.where("n > 1").select(F.col("own").alias("key"), "own"))
+    # Two words share two keys, or all if they are equal. They meet under the lesser one alone, which is the one where the
+    # higher of their two flipped bits isn't set; so of a key's words those stay that meet another one there.
+    flip = F.col("own").bitwiseXOR(F.col("key"))
+    unset = flip.bitwiseAND(F.col("key")) == 0
+    shared = balls.groupBy("key").agg(F.count("*").alias("n"), F.min(flip).alias("least"), F.max(F.when(unset, flip)).alias("top"))
+    met = balls.join(shared.where("n > 1").drop("n").hint("merge"), "key").where((F.col("top") > flip) | unset & (F.col("least") < flip))
+    met = met.select("key", "own").unionByName(classes.where("n > 1").select(F.col("own").alias("key"), "own"))
     met = scratch.cut(met.distinct(), "met")
     hits = scratch.cut(met.join(members, "own").select("key", "tid"), "hits")
     # A table of its own, so that adaptive execution can split a key's texts in the join.
