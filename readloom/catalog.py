@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom import fixtures as fx
 from readloom.functions import scalar, trace
-from readloom.operators import checks, dedup, filters, intervals, joins, order, renumber, transform
+from readloom.operators import checks, convert, dedup, export, filters, intervals, joins, order, renumber, summary, transform
 from readloom.plans import sizing
 from readloom.schema import ORDERS
 
@@ -92,7 +92,7 @@ def trimmed_reads(spark, d):
 
 @query(f"WITH {fx.R} SELECT read_id, rlen FROM r")
 def read_lengths(spark, d):
-    return fx.reads(spark, d)
+    return summary.lengths(fx.reads(spark, d))
 
 
 # Set operations and exact copies
@@ -228,7 +228,7 @@ def quality_runs(spark, d):
 
 @query(f"WITH {fx.QUAL} SELECT read_id, CAST(t AS BIGINT) AS t, q FROM qual")
 def quality_view(spark, d):
-    return fx.qualities(spark, d).select("read_id", F.posexplode("q").alias("t", "q")).withColumn("t", F.col("t").cast("long"))
+    return summary.quality_values(fx.qualities(spark, d))
 
 
 # Orders
@@ -255,6 +255,17 @@ def merge_sorted(spark, d):
     return order.merge(ovl.where("src_id % 2 = 0"), ovl.where("src_id % 2 = 1"), order="ba", tie=TIE).select(*TIE, *SPANS)
 
 
+@query(f"WITH {fx.OVL} SELECT {T}, aread, bread, row_number() OVER (ORDER BY {', '.join(order.order_keys('ba', TIE))}) - 1 AS place FROM ovl")
+def merge_places(spark, d):
+    """The places that rows have in the merged table as it comes."""
+    from readloom.plans.prefix import rank
+
+    ovl = fx.overlaps(spark, d)
+    merged = order.merge(ovl.where("src_id % 2 = 0"), ovl.where("src_id % 2 = 1"), order="ba", tie=TIE)
+    at = merged.select(*TIE, "aread", "bread", F.monotonically_increasing_id().alias("at"))
+    return rank(at, F.shiftright("at", 33), ["at"], "place").drop("at")
+
+
 CH = ["aread", "bread"]
 CHAIN_SQL = f"""n AS (SELECT *, sum(CAST(is_start AS INT)) OVER (PARTITION BY aread, bread ORDER BY {T} ROWS UNBOUNDED PRECEDING) AS no FROM ovl),
 n2 AS (SELECT *, no - min(no) OVER (PARTITION BY aread, bread) AS chain_id FROM n),
@@ -295,7 +306,7 @@ def chain_number(spark, d):
 
 @query(f"WITH {fx.OVL} SELECT bread, CAST(sum(CAST(is_start AS INT)) AS BIGINT) AS n_chains FROM ovl GROUP BY bread")
 def chain_count(spark, d):
-    return fx.overlaps(spark, d).groupBy("bread").agg(F.sum(F.col("is_start").cast("long")).alias("n_chains"))
+    return summary.chain_counts(fx.overlaps(spark, d))
 
 
 @query(f"""WITH {fx.OVL}, s AS (SELECT *, bepos-bbpos-diffs AS score, row_number() OVER (PARTITION BY bread ORDER BY bepos-bbpos-diffs DESC, {T}, aread) AS place FROM ovl)
@@ -351,9 +362,7 @@ def reduce(spark, d):
 @query(f"""WITH {fx.R}, {SAMPLE_SQL} SELECT CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM r) AS read_fraction, CAST(sum(rlen) AS DOUBLE) / CAST((SELECT sum(rlen) FROM r) AS DOUBLE) AS base_fraction FROM kept""")
 def kept_fractions(spark, d):
     reads = fx.reads(spark, d)
-    total = reads.agg(F.count("*").alias("n"), F.sum("rlen").alias("bases"))
-    kept = renumber.sample_reads(reads, 0.3, 5).agg(F.count("*").alias("kept"), F.sum("rlen").alias("kept_bases"))
-    return kept.crossJoin(total).select((F.col("kept").cast("double") / F.col("n")).alias("read_fraction"), (F.col("kept_bases").cast("double") / F.col("bases")).alias("base_fraction"))
+    return summary.kept_fractions(reads, renumber.sample_reads(reads, 0.3, 5))
 
 
 BLOCK_BASES = 100_000
@@ -383,7 +392,7 @@ def pair_shard(spark, d):
 
 @query(f"WITH {fx.OVL} SELECT min(aread) AS lo, max(aread) AS hi FROM ovl")
 def aread_range(spark, d):
-    return fx.overlaps(spark, d).agg(F.min("aread").alias("lo"), F.max("aread").alias("hi"))
+    return summary.aread_range(fx.overlaps(spark, d))
 
 
 # Checks
@@ -396,8 +405,7 @@ def structural_check(spark, d):
 
 @query(f"WITH {fx.OVL} SELECT max(CAST(diffs AS DOUBLE)/(aepos-abpos)) AS max_error FROM ovl WHERE aepos > abpos")
 def max_error_rate(spark, d):
-    rate = trace.error_rate(F.lit(None).cast("array<struct<err:int,blen:int>>"), F.col("diffs"), F.col("abpos"), F.col("aepos"))
-    return fx.overlaps(spark, d).agg(F.max(rate).alias("max_error"))
+    return summary.max_error(fx.overlaps(spark, d))
 
 
 # Traces
@@ -637,3 +645,141 @@ def from_sam(spark, d):
     name = fx.reads(spark, d).withColumn("name", F.concat(F.lit("r"), "read_id"))
     sam = o.select(F.concat(F.lit("r"), "bread").alias("qname"), (F.when(F.col("is_inverse"), 16).otherwise(0) + F.when(F.col("src_line") == 3, 4).otherwise(0)).alias("flag"), F.concat(F.lit("r"), "aread").alias("rname"), (F.col("abpos") + 1).alias("pos"), F.concat(F.when(F.col("bbpos") > 0, F.concat(F.col("bbpos").cast("string"), F.lit("S"))).otherwise(""), (F.col("aepos") - F.col("abpos")).cast("string"), F.lit("=4S")).alias("cigar"))
     return convert.from_sam(sam, name, name).drop("cigar")
+
+
+# Reads as FASTA, places on the reference, alignments with their traces
+
+SEQ_WRAP = "CASE WHEN length(seq) > 0 THEN chr(10) || array_to_string(list_transform(range(0, (length(seq)-1)//80 + 1), lambda i: substr(seq, i*80+1, 80)), chr(10)) ELSE '' END"
+
+
+@query(f"""WITH {fx.OVL}, {fx.SEQ}, ids AS (SELECT aread AS id FROM ovl UNION SELECT bread FROM ovl), n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM ids)
+SELECT read_id, new_id, '>L0/' || read_id || '/0_' || length(seq) || {SEQ_WRAP} AS record FROM seqs JOIN n ON id = read_id""")
+def subset_fasta(spark, d):
+    return export.subset(fx.overlaps(spark, d), fx.sequences(spark, d))[1]
+
+
+READ_SEQS = "rs AS MATERIALIZED (SELECT r.read_id, rlen, seq FROM r JOIN seqs ON seqs.read_id = r.read_id)"
+
+
+@query(f"""WITH {fx.R}, {fx.SEQ}, {READ_SEQS}, {SAMPLE_SQL.replace("FROM r)", "FROM rs)")},
+n AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS new_id FROM kept)
+SELECT n.read_id, new_id, '>L0/' || new_id || '/0_' || length(seq) || ' ' || n.read_id || '[0,' || length(seq) || ')' || {SEQ_WRAP} AS record FROM n JOIN rs ON rs.read_id = n.read_id""")
+def reduce_fasta(spark, d):
+    reads = fx.reads(spark, d).join(fx.sequences(spark, d), "read_id")
+    return export.reduce(fx.overlaps(spark, d), reads, 0.3, 5)[1]
+
+
+@query(f"""WITH {fx.SEQ}, t AS (SELECT read_id AS old, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq, row_number() OVER (ORDER BY read_id) - 1 AS read_id FROM seqs WHERE length(seq) >= 100)
+SELECT read_id, '>r' || old || {SEQ_WRAP} AS record FROM t WHERE read_id BETWEEN 20 AND 699""")
+def extract_fasta(spark, d):
+    reads = fx.sequences(spark, d).select("read_id", F.concat(F.lit("r"), "read_id").alias("name"), F.length("seq").cast("long").alias("rlen"), "seq")
+    return export.extract(reads, "20-700", cutoff=100, reverse=True)
+
+
+@query(f"""WITH {fx.SEQ}, t AS (SELECT read_id, seq, row_number() OVER (ORDER BY read_id) - 1 + 3 AS number FROM seqs)
+SELECT number, '>P/' || number || '/0_' || length(seq) || ' RQ=0.851 r' || read_id || CASE WHEN read_id % 2 = 0 THEN ' c' || read_id ELSE '' END || {SEQ_WRAP} AS record FROM t""")
+def reformat_fasta(spark, d):
+    comment = F.when(F.col("read_id") % 2 == 0, F.concat(F.lit("c"), "read_id")).otherwise("")
+    records = fx.sequences(spark, d).select("read_id", F.concat(F.lit("r"), "read_id").alias("name"), comment.alias("comment"), "seq")
+    return export.reformat(records, ["read_id"], "P", 3)
+
+
+@query(f"WITH {fx.SEQ} SELECT 'r' || read_id % 700 AS name, min(length(seq)) AS rlen FROM seqs GROUP BY 1")
+def fasta_lengths(spark, d):
+    return export.name_lengths(fx.sequences(spark, d).select(F.concat(F.lit("r"), F.col("read_id") % 700).alias("name"), "seq"))
+
+
+@query("SELECT p_partkey AS read_id, CASE p_partkey % 3 WHEN 0 THEN 'fasta' WHEN 1 THEN 'fastq' ELSE 'empty' END AS kind FROM part")
+def text_kind(spark, d):
+    from readloom.sources import text
+
+    first = F.when(F.col("read_id") % 3 == 0, ">").when(F.col("read_id") % 3 == 1, "@").otherwise("")
+    return fx.reads(spark, d).select("read_id", text.kind(first).alias("kind"))
+
+
+@query(f"""WITH {fx.OVL} SELECT '=' AS op, count(*) AS runs, sum(aepos-abpos) AS length FROM ovl UNION ALL SELECT 'I', count(*), sum(src_line) FROM ovl
+UNION ALL SELECT 'S', 2 * count(*), 8 * count(*) FROM ovl""")
+def cigar_operators(spark, d):
+    text = F.concat(F.lit("5S"), (F.col("aepos") - F.col("abpos")).cast("string"), F.lit("="), F.col("src_line").cast("string"), F.lit("I3S"))
+    return summary.cigar_operators(fx.overlaps(spark, d).select(text.alias("cigar")))
+
+
+@query(f"""WITH {fx.OVL} SELECT {T}, CASE WHEN src_line % 2 = 0 THEN '4S' ELSE '' END || (aepos-abpos) || '=' AS cigar, abpos + src_line + 2 AS pos FROM ovl""")
+def cigar_shift(spark, d):
+    from readloom.functions import cigar
+
+    o = fx.overlaps(spark, d)
+    text = F.concat(F.when(F.col("src_line") % 2 == 0, "4S").otherwise(""), F.col("src_line").cast("string"), F.lit("D2D"), (F.col("aepos") - F.col("abpos")).cast("string"), F.lit("="))
+    return o.withColumn("text", text).select(*TIE, *(c.alias(k) for k, c in cigar.shifted(F.col("text"), F.col("abpos")).items()))
+
+
+@query(f"""WITH {fx.R}, c AS (SELECT read_id, rlen, read_id % 2 = 1 AS back, 1000 + read_id AS pos, read_id % 4 + 1 AS k, rlen - 159 - read_id % 4 AS x, (read_id * 37) % (rlen - 200) AS ifrom FROM r),
+p AS (SELECT *, ifrom + 150 AS ito, CASE WHEN back THEN rlen - ifrom - 150 ELSE ifrom END AS f, CASE WHEN back THEN rlen - ifrom - 1 ELSE ifrom + 149 END AS l FROM c)
+SELECT read_id, ifrom, ito, {", ".join(f"CASE WHEN {v} < 5 THEN NULL WHEN {v}-5 < x THEN pos+{v}-5 WHEN {v}-5 < x+k THEN pos+x WHEN {v}-5 < x+k+100 THEN pos+{v}-5-k WHEN {v}-5 < x+k+150 THEN pos+{v}-5-k+2 END AS {n}" for v, n in (("f", "rfrom"), ("l", "rto")))} FROM p""")
+def reference_places(spark, d):
+    r = fx.reads(spark, d)
+    k = F.col("read_id") % 4 + 1
+    cigar = F.concat(F.lit("5S"), (F.col("rlen") - 158 - k).cast("string"), F.lit("="), k.cast("string"), F.lit("I100=2D50M3S"))
+    records = r.select(F.col("read_id").alias("rec_no"), (F.col("read_id") % 2 * 16).cast("int").alias("flag"), (1000 + F.col("read_id")).alias("pos"), cigar.alias("cigar"))
+    first = (F.col("read_id") * 37) % (F.col("rlen") - 200)
+    return joins.on_reference(r.select("read_id", first.alias("ifrom"), (first + 150).alias("ito")), records)
+
+
+@query(f"""WITH {fx.OVL}, lagged AS (SELECT src_id % 3 AS src, (aread, bread, is_inverse, abpos, aepos, bbpos, bepos, diffs) AS k,
+  lag((aread, bread, is_inverse, abpos, aepos, bbpos, bepos, diffs)) OVER (PARTITION BY src_id % 3 ORDER BY src_id, src_line, src_supp, src_qty, src_price, aread) AS before FROM ovl)
+SELECT src, count(*) FILTER (WHERE before > k) AS unsorted FROM lagged GROUP BY src""")
+def sorted_check(spark, d):
+    ovl = fx.overlaps(spark, d).withColumns({"src": F.col("src_id") % 3, "at": F.struct(*TIE, "aread")})
+    return checks.sorted_verdict(ovl, "canonical", "at", "src", [])
+
+
+@query(f"WITH {fx.OVL}, {BLOCK_SQL} SELECT {T}, aread, bread FROM ovl WHERE bread IN (SELECT read_id FROM blk WHERE block = 2)")
+def block_members(spark, d):
+    return joins.in_block(fx.overlaps(spark, d), renumber.blocks(fx.reads(spark, d), BLOCK_BASES), 2, "bread").select(*TIE, "aread", "bread")
+
+
+@query(f"WITH {fx.OVL} SELECT {T}, aread, alen, rlen + 7 AS blen FROM ovl JOIN r ON read_id = bread WHERE bread % 3 = 0")
+def join_other_reads(spark, d):
+    """B reads from a database of their own."""
+    other = fx.reads(spark, d).where("read_id % 3 = 0").withColumn("rlen", F.col("rlen") + 7)
+    return joins.with_lengths(fx.overlaps(spark, d).drop("alen", "blen"), fx.reads(spark, d), other).select(*TIE, "aread", "alen", "blen")
+
+
+def _near_reads(spark, d):
+    """Each sequence of 3 bases or more, and a copy that lacks the base in its middle."""
+    s = fx.sequences(spark, d).where(F.length("seq") >= 3).withColumn("h", F.floor(F.length("seq") / 2).cast("int"))
+    refs = s.select("read_id", F.concat(F.lit("ref"), "read_id").alias("name"), F.length("seq").cast("long").alias("rlen"), "seq", "h")
+    near = F.concat(F.substring(F.col("seq"), F.lit(1), F.col("h")), F.substring(F.col("seq"), F.col("h") + 2, F.length("seq")))
+    return refs, refs.select("read_id", F.concat(F.lit("read"), "read_id").alias("name"), (F.col("rlen") - 1).alias("rlen"), near.alias("seq"))
+
+
+@query(f"""WITH {fx.SEQ} SELECT read_id AS aread, read_id AS bread, FALSE AS is_inverse, CAST(0 AS BIGINT) AS abpos, length(seq) AS aepos, CAST(0 AS BIGINT) AS bbpos, length(seq) - 1 AS bepos,
+  CAST(1 AS BIGINT) AS diffs, CAST((length(seq) + 99) // 100 AS BIGINT) AS tiles, CAST(1 AS BIGINT) AS errors, length(seq) - 1 AS b_length FROM seqs WHERE length(seq) >= 3""")
+def paf_overlaps(spark, d):
+    """PAF lines, half of them without a CIGAR string, to overlaps with ids and traces."""
+    from readloom.sources import text
+
+    refs, reads = _near_reads(spark, d)
+    n, h = F.col("rlen"), F.col("h")
+    cigar = F.concat(h.cast("string"), F.lit("M1D"), (n - h - 1).cast("string"), F.lit("="))
+    zero = F.lit(0).cast("long")
+    rows = refs.select("read_id", F.concat(F.lit("read"), "read_id").alias("qname"), (n - 1).alias("qlen"), zero.alias("qstart"), (n - 1).alias("qend"), F.lit(False).alias("is_inverse"), F.col("name").alias("tname"), n.alias("tlen"), zero.alias("tstart"), n.alias("tend"), (n - 1).alias("matches"), n.alias("alen"), F.lit(60).alias("mapq"), F.when(F.col("read_id") % 2 == 0, cigar).alias("cigar"))
+    lines = rows.select(F.col("read_id").alias("line_no"), text.paf_text(rows).alias("value"))
+    found = convert.from_paf(text.paf_overlaps(text.paf(lines)), refs, reads)
+    sums = {"tiles": F.size("trace").cast("long"), "errors": trace.error_sum(F.col("trace")), "b_length": trace.b_length(F.col("trace"))}
+    return found.select(*convert.SPAN, "diffs", *(c.alias(k) for k, c in sums.items()))
+
+
+@query(f"""WITH {fx.SEQ} SELECT read_id, 'read' || read_id || '/0_9' AS qname, CAST(0 AS INTEGER) AS flag, 'ref' || read_id AS rname, CAST(1 AS BIGINT) AS pos, length(seq) AS ref_length, length(seq) - 1 AS read_length,
+  CAST(1 AS BIGINT) AS errors FROM seqs WHERE length(seq) >= 3""")
+def m4_records(spark, d):
+    """m4 lines to SAM records, names by their stem."""
+    from readloom.functions import cigar
+    from readloom.sources import text
+
+    refs, reads = _near_reads(spark, d)
+    cells = [F.concat(F.lit("read"), "read_id", F.lit("/0_9")), F.col("name"), F.lit("0"), F.lit("0"), F.lit("-100"), F.lit("99"), F.lit("0"), F.col("rlen"), F.col("rlen"), F.lit("0"), F.col("rlen") - 1, F.col("rlen") - 1, F.lit("5")]
+    lines = refs.select(F.col("read_id").alias("line_no"), F.concat_ws(" ", *(c.cast("string") for c in cells)).alias("value"))
+    sam = convert.m4_to_sam(text.m4(lines), refs, reads, ["line_no"])
+    n = cigar.lengths(F.col("cigar"))
+    return sam.select(F.col("line_no").alias("read_id"), "qname", "flag", "rname", "pos", *(n[k].alias(k) for k in ("ref_length", "read_length", "errors")))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar as cg
-from readloom.operators import order
+from readloom.functions.scalar import revcomp
+from readloom.functions.trace import b_length
+from readloom.operators import joins, kernels, order
 
 #: SAM flags of a reversed read and of the roles that a record can have.
 REVERSED, SECONDARY, SUPPLEMENTARY, UNMAPPED = 16, 256, 2048, 4
@@ -34,10 +36,7 @@ def to_sam(ovl: DataFrame, a_names: DataFrame, b_names: DataFrame, by: list[str]
     named = named.join(b_names.select(F.col("read_id").alias("bread"), F.col("name").alias("qname")), "bread")
     text = F.lit("*")
     if "cigar" in ovl.columns:
-        def clip(n):
-            return F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
-
-        text = F.concat(clip(F.col("bbpos")), F.col("cigar"), clip(F.col("blen") - F.col("bepos")))
+        text = clipped(F.col("cigar"))
     tags = F.array(*(F.concat(F.lit(f"{t}:i:"), F.col(c).cast("string")) for t, c in (("ci", "chain_id"), ("cn", "n_chains"), ("cj", "chain_link"), ("cl", "n_links"))))
     return named.select(
         *ovl.columns, "qname", flag().alias("flag"), "rname", (F.col("abpos") + 1).alias("pos"), F.lit(255).alias("mapq"),
@@ -59,3 +58,77 @@ def from_sam(sam: DataFrame, refs: DataFrame, reads: DataFrame) -> DataFrame:
         "aread", "bread", (F.col("flag").bitwiseAND(F.lit(REVERSED)) != 0).alias("is_inverse"), begin.alias("abpos"), (begin + n["ref_length"]).alias("aepos"),
         n["front_clip"].alias("bbpos"), (n["front_clip"] + cg.length(F.col("cigar"), "M=XI")).alias("bepos"), n["errors"].alias("diffs"), "alen", "blen", "cigar",
     )
+
+
+SPAN = ["aread", "bread", "is_inverse", "abpos", "aepos", "bbpos", "bepos"]
+
+
+def traced(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
+    """``keep`` of rows (SPAN, cigar or null), with diffs and trace (refs, reads: read_id, seq).
+
+    A CIGAR string gives the trace, M told apart by the bases; a row without one is aligned between its ends. A trace whose
+    length on B isn't that of the B span is an error.
+    """
+    full = joins.with_sequences(rows, refs, reads)
+    cut = {x: F.substring(F.col(f"{x}seq"), (F.col(f"{x}bpos") + 1).cast("int"), (F.col(f"{x}epos") - F.col(f"{x}bpos")).cast("int")) for x in "ab"}
+    plain = full.withColumns({f"{x}seq": c for x, c in cut.items()})
+    names = list(dict.fromkeys([*SPAN, *keep]))
+    told = kernels.from_cigar(plain.where("cigar is not null"), names, ts)
+    # The spans are cut out already; tiles lie where the A span does.
+    found = kernels.align_spans(full.where("cigar is null"), names, ts).select(*names, "diffs", "trace")
+    both = told.unionByName(found)
+    fits = b_length(F.col("trace")) == F.col("bepos") - F.col("bbpos")
+    checked = F.when(fits, F.col("trace")).otherwise(F.raise_error(F.lit("the trace leaves its B span")).cast(both.schema["trace"].dataType))
+    return both.withColumn("trace", checked).select(*keep, "diffs", "trace")
+
+
+def from_paf(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str] = (), ts: int = 100) -> DataFrame:
+    """Overlaps of PAF rows (see ``text.paf_overlaps``): target and query by name (refs, reads: read_id, name, rlen, seq),
+    lengths checked against theirs, traces as by ``traced``. Rows whose names are unknown, or belong to several, go."""
+    named = joins.by_name(rows, refs, "aname", "aread")[0]
+    named = joins.by_name(named, reads, "bname", "bread")[0]
+    sizes = joins.with_lengths(named.withColumnsRenamed({"alen": "a_said", "blen": "b_said"}), refs, reads)
+    right = (F.col("alen") == F.col("a_said")) & (F.col("blen") == F.col("b_said"))
+    checked = sizes.withColumn("alen", F.when(right, F.col("alen")).otherwise(F.raise_error(F.lit("a stated length isn't the read's")).cast("long")))
+    names = list(dict.fromkeys([*SPAN, "alen", "blen", *keep]))
+    return traced(checked.select(*names, "cigar"), refs, reads, names, ts)
+
+
+def m4_to_sam(rows: DataFrame, refs: DataFrame, reads: DataFrame, by: list[str]) -> DataFrame:
+    """SAM records of m4 rows (see ``text.m4``) with the target as reference: reads by name or, if that is unknown, by its
+    stem; the spans are aligned from end to end, reads are clipped softly, and deletions at the front move the position.
+    Rows behind one of the same name, in the order ``by``, are secondary."""
+    named = joins.by_name_or_stem(rows, reads.select("read_id", "name"), "qname", "bread")
+    named = joins.by_name(named, refs.select("read_id", "name"), "tname", "aread")[0]
+    spans = named.select(*by, "qname", "tname", "aread", "bread", (F.col("qstrand") == 1).alias("is_inverse"), F.col("tstart").alias("abpos"), F.col("tend").alias("aepos"), F.col("qstart").alias("bbpos"), F.col("qend").alias("bepos"))
+    spans = order.secondary_names(spans, "qname", by, ["bread"])
+    names = [*spans.columns, "blen", "bseq"]
+    full = joins.with_sequences(spans, refs, reads).withColumn("blen", F.length("bseq").cast("long"))
+    aligned = kernels.align_spans(full, names).withColumn("clipped", clipped(F.col("cigar")))
+    text = cg.shifted(F.col("clipped"), F.col("abpos") + 1)
+    flags = F.when(F.col("is_secondary"), SECONDARY).otherwise(0) + F.when(F.col("is_inverse"), REVERSED).otherwise(0)
+    return aligned.select(*by, "qname", flags.cast("int").alias("flag"), F.col("tname").alias("rname"), text["pos"].cast("long").alias("pos"), F.lit(0).alias("mapq"), text["cigar"].alias("cigar"), F.col("bseq").alias("seq"))
+
+
+def clipped(cigar, kind: str = "S"):
+    """A CIGAR string between the clips of B (columns bbpos, bepos, blen)."""
+
+    def clip(n):
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(kind))).otherwise("")
+
+    return F.concat(clip(F.col("bbpos")), cigar, clip(F.col("blen") - F.col("bepos")))
+
+
+def stored(sam: DataFrame, reads: DataFrame, strategy: str = "none") -> DataFrame:
+    """``sam`` (with bread, bbpos, bepos, blen and cigar, see ``to_sam``) with seq, and sam_cigar clipped to fit. Primary
+    records hold their read; of the others ``none`` hold no bases, with ``soft`` the read, with ``hard`` the part aligned."""
+    if strategy not in ("none", "soft", "hard"):
+        raise ValueError("strategy must be none, soft or hard")
+    full = sam.join(reads.select(F.col("read_id").alias("bread"), F.col("seq").alias("_seq")), "bread")
+    turned = F.when(F.col("flag").bitwiseAND(F.lit(REVERSED)) != 0, revcomp(F.col("_seq"))).otherwise(F.col("_seq"))
+    main = F.col("flag").bitwiseAND(F.lit(SECONDARY | SUPPLEMENTARY)) == 0
+    part = F.substring(turned, (F.col("bbpos") + 1).cast("int"), (F.col("bepos") - F.col("bbpos")).cast("int"))
+    other = {"none": F.lit("*"), "soft": turned, "hard": part}[strategy]
+    hard = ~main if strategy == "hard" else F.lit(False)
+    text = F.when(hard, clipped(F.col("cigar"), "H")).otherwise(clipped(F.col("cigar")))
+    return full.withColumns({"seq": F.when(main, turned).otherwise(other), "sam_cigar": text}).drop("_seq")

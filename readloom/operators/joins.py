@@ -108,6 +108,26 @@ def without_kills(ovl: DataFrame, kills: DataFrame) -> DataFrame:
     return ovl.join(kills.select(*key).distinct(), key, "left_anti")
 
 
+def in_block(ovl: DataFrame, blocks: DataFrame, block: int, side: str = "aread") -> DataFrame:
+    """Overlaps whose A or B read lies in one block (``blocks``: read_id, block)."""
+    return ovl.join(blocks.where(F.col("block") == block).select(F.col("read_id").alias(side)), side, "left_semi").select(*ovl.columns)
+
+
+def on_reference(intervals: DataFrame, records: DataFrame) -> DataFrame:
+    """(read_id, ifrom, ito, rfrom, rto): intervals of reads (half open) as places of the reference that the reads are known
+    to come from (``records``: rec_no, flag, pos, cigar, where record n is that of read n). Both places are those of bases,
+    the first and the last; on a reversed read they are looked up from its other end."""
+    from readloom.functions.cigar import lengths, ref_position
+
+    n = lengths(F.col("cigar"))["read_length"]
+    back = F.col("flag").bitwiseAND(F.lit(16)) != 0
+    first = F.when(back, n - F.col("ito")).otherwise(F.col("ifrom"))
+    last = F.when(back, n - F.col("ifrom") - 1).otherwise(F.col("ito") - 1)
+    both = intervals.join(records.select(F.col("rec_no").alias("read_id"), "flag", "pos", "cigar"), "read_id")
+    places = {"rfrom": ref_position(F.col("cigar"), F.col("pos"), first), "rto": ref_position(F.col("cigar"), F.col("pos"), last)}
+    return both.select("read_id", "ifrom", "ito", *(c.alias(k) for k, c in places.items()))
+
+
 def bridge_candidates(ovl: DataFrame, masks: DataFrame, tie: list[str], border: int = 500, max_indel: float = 0.3) -> DataFrame:
     """Pairs of overlaps of one group that anchor a masked interval of A from its two sides, where no overlap of the group
     spans it with ``border`` on both sides.

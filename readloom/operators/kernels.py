@@ -18,18 +18,60 @@ from pyspark.sql import types as T
 from readloom.schema import TRACE
 
 
-def align(a: str, b: str) -> str:
-    """A shortest edit script from ``a`` to ``b``: ``=`` and ``X`` consume both, ``D`` a base of A, ``I`` one of B. Global,
-    by dynamic programming a row at a time; a tile has some hundreds of bases."""
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    cost = np.empty((len(x) + 1, len(y) + 1), np.int32)
+#: Cells of a cost table that is kept whole; larger ones are cut in two.
+CELLS = 1 << 18
+
+
+def _costs(x: np.ndarray, y: np.ndarray):
+    """Row after row of the edit distances between the beginnings of two sequences."""
     cols = np.arange(len(y) + 1, dtype=np.int32)
-    cost[0] = cols
+    row = cols.copy()
+    yield row
     for i in range(1, len(x) + 1):
         best = np.empty(len(y) + 1, np.int32)
         best[0] = i
-        best[1:] = np.minimum(cost[i - 1, :-1] + (y != x[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(best - cols) + cols  # insertions run along the row
+        best[1:] = np.minimum(row[:-1] + (y != x[i - 1]), row[1:] + 1)
+        row = np.minimum.accumulate(best - cols) + cols  # insertions run along the row
+        yield row
+
+
+def align(a: str, b: str) -> str:
+    """A shortest edit script from ``a`` to ``b``: ``=`` and ``X`` consume both, ``D`` a base of A, ``I`` one of B.
+
+    Equal ends are taken off. A small rest is solved by a table of costs; a larger one is cut where the distances of its
+    upper half from above and its lower half from below are least together (Hirschberg, 1975), so that memory grows with
+    the length and not with its square.
+    """
+    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    return "".join(_script(x, y))
+
+
+def _script(x: np.ndarray, y: np.ndarray) -> list[str]:
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    head = n if same.all() else int(same.argmin())
+    x, y = x[head:], y[head:]
+    n = min(len(x), len(y))
+    same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
+    tail = n if same.all() else int(same.argmin())
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if not len(x) or not len(y):
+        middle = ["D" * len(x) + "I" * len(y)]
+    elif (len(x) + 1) * (len(y) + 1) <= CELLS or len(x) == 1:
+        middle = [_table(x, y)]
+    else:
+        half = len(x) // 2
+        for above in _costs(x[:half], y):
+            pass
+        for below in _costs(x[half:][::-1], y[::-1]):
+            pass
+        cut = int((above + below[::-1]).argmin())
+        middle = _script(x[:half], y[:cut]) + _script(x[half:], y[cut:])
+    return ["=" * head, *middle, "=" * tail]
+
+
+def _table(x: np.ndarray, y: np.ndarray) -> str:
+    cost = np.stack(list(_costs(x, y)))
     i, j, ops = len(x), len(y), []
     while i or j:
         if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
@@ -190,40 +232,98 @@ def from_cigar(rows: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
     return _spans(rows, keep, [T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE)], make)
 
 
+def md(ops: str, a: str) -> str:
+    """The MD tag of an alignment to ``a``, the aligned part of the reference: runs of matches, the reference's base at each
+    mismatch, and ``^`` before deleted ones."""
+    out, run, i = [], 0, 0
+    for op, g in groupby(ops):
+        n = len(list(g))
+        if op == "=":
+            run += n
+        elif op == "X":
+            for c in a[i : i + n]:
+                out += [str(run), c]
+                run = 0
+        elif op == "D":
+            out += [str(run), "^", a[i : i + n]]
+            run = 0
+        i += n if op != "I" else 0
+    return "".join([*out, str(run)])
+
+
+def sam_tags(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (cigar, aseq and bseq from the alignment's begin on) with nm, the errors, md, and as, matches less errors."""
+
+    def make(r):
+        ops = dense(r["cigar"], r["aseq"], r["bseq"])
+        errors = len(ops) - ops.count("=")
+        return errors, md(ops, r["aseq"]), ops.count("=") - errors
+
+    return _spans(rows, keep, [T.StructField("nm", T.LongType()), T.StructField("md", T.StringType()), T.StructField("as", T.LongType())], make)
+
+
+#: An extension ends where its score, a point a match and EXTEND_COST less an error, is EXTEND_DROP below its best, or its
+#: band of so many bases to either side of the diagonal does; so many bases are tried at a time.
+EXTEND_COST, EXTEND_DROP, EXTEND_BAND = 3, 100, 128
+
+
+def extend(a: str, b: str) -> tuple[int, int]:
+    """How far on ``a`` and ``b`` their best alignment from their begins reaches; in a band, memory by its width."""
+    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    band, low = EXTEND_BAND, np.int64(-(1 << 40))
+    offset = np.arange(-band, band + 1)
+    padded = np.concatenate([np.zeros(band + 1, np.uint8), y, np.zeros(len(x) + band + 1, np.uint8)])
+    score = np.where(offset >= 0, -EXTEND_COST * offset, low)  # by the place on b, less that on a
+    best, at = 0, (0, 0)
+    for i in range(1, len(x) + 1):
+        j = offset + i
+        fit = padded[i : i + 2 * band + 1] == x[i - 1]  # b's base before place j
+        step = np.where(j >= 1, score + np.where(fit, 1, -EXTEND_COST), low)
+        gone = np.concatenate([score[1:], [low]]) - EXTEND_COST  # a base of a without one of b
+        score = np.where((j >= 0) & (j <= len(y)), np.maximum(step, gone), low)
+        score = np.maximum.accumulate(score + EXTEND_COST * offset) - EXTEND_COST * offset
+        score = np.where((j >= 0) & (j <= len(y)), score, low)
+        k = int(score.argmax())
+        if score[k] > best:
+            best, at = int(score[k]), (i, int(j[k]))
+        if score[k] < best - EXTEND_DROP:
+            break
+    return at
+
+
 def extend_seeds(pairs: DataFrame, k: int = 14, min_length: int = 1000, ts: int = 100) -> DataFrame:
     """Alignments of the pairs (aread, bread, is_inverse, aseq, bseq with B oriented) from their seeds.
 
-    ``pairs`` holds ``seeds``: [(diagonal, apos)]. By diagonal, a seed that lies in an alignment found before is skipped;
-    others are extended by the seeds on near diagonals and aligned between the outermost. Kept if the A span has
-    ``min_length``. Of two alignments that share a trace point and most of the shorter A span the longer stays.
+    ``pairs`` holds ``seeds``: [(diagonal, apos)]. In the order of diagonals, a seed that lies on a match of an alignment
+    found before is skipped; from others the alignment is extended to both sides. Kept if the A span has ``min_length``. Of
+    two alignments that share a trace point, where 95 % of the shorter A span lies in the other, the longer stays.
     """
     fields = [T.StructField(n, T.LongType()) for n in ("aread", "bread")] + [T.StructField("is_inverse", T.BooleanType())]
     fields += [T.StructField(n, T.LongType()) for n in ("abpos", "aepos", "bbpos", "bepos", "diffs")] + [T.StructField("trace", TRACE)]
 
     def one(r) -> list[tuple]:
-        seeds = sorted((int(s["diagonal"]), int(s["apos"])) for s in r["seeds"])
+        aseq, bseq = r["aseq"], r["bseq"]
         found: list[tuple] = []
-        for diagonal, apos in seeds:
-            if any(x[0] <= apos < x[1] and x[2] <= apos - diagonal < x[3] for x in found):
-                continue
-            chain = sorted(a for d, a in seeds if abs(d - diagonal) <= ts and apos <= a)
-            end = apos
-            for a in chain:
-                if a - end > 5 * ts:
-                    break
-                end = a
-            e = min(end + k, len(r["aseq"]), len(r["bseq"]) + diagonal)
-            b, be = apos - diagonal, e - diagonal
-            if e - apos < min_length or b < 0:
+        matched: dict[int, list[tuple[int, int]]] = {}  # by diagonal: runs of matches of all that was found
+        for diagonal, apos in sorted((int(s["diagonal"]), int(s["apos"])) for s in r["seeds"]):
+            if any(begin <= apos and apos + k <= end for begin, end in matched.get(diagonal, ())):
                 continue
-            ops = align(r["aseq"][apos:e], r["bseq"][b:be])
-            trace = tiles(ops, apos, ts)
-            found.append((apos, e, b, be, sum(t["err"] for t in trace), trace))
+            bpos = apos - diagonal
+            i, j = extend(aseq[:apos][::-1], bseq[:bpos][::-1])
+            m, n = extend(aseq[apos:], bseq[bpos:])
+            x = (apos - i, apos + m, bpos - j, bpos + n)
+            ops = align(aseq[x[0] : x[1]], bseq[x[2] : x[3]])
+            for begin, size, d in match_runs(ops, x[0], x[2]):
+                matched.setdefault(d, []).append((begin, begin + size))
+            if m + i >= min_length:
+                trace = tiles(ops, x[0], ts)
+                points = set(zip(range((x[0] // ts + 1) * ts, x[1], ts), (x[2] + np.cumsum([t["blen"] for t in trace])).tolist()))
+                found.append((*x, sum(t["err"] for t in trace), trace, points))
         kept: list[tuple] = []
-        for x in sorted(found, key=lambda x: x[0] - x[1]):
-            if not any(min(x[1], y[1]) - max(x[0], y[0]) >= 0.95 * (x[1] - x[0]) and x[0] - x[2] == y[0] - y[2] for y in kept):
+        for x in sorted(found, key=lambda x: (x[0] - x[1], x[:4])):
+            if not any(x[6] & y[6] and min(x[1], y[1]) - max(x[0], y[0]) >= 0.95 * (x[1] - x[0]) for y in kept):
                 kept.append(x)
-        return [(r["aread"], r["bread"], r["is_inverse"], *x) for x in kept]
+        return [(r["aread"], r["bread"], r["is_inverse"], *x[:6]) for x in kept]
 
     def run(parts):
         for p in parts:

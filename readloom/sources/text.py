@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from readloom.functions.scalar import fields, is_inverse, short_name
 
 
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, comment, seq) of FASTA files: a record from each ``>``, its sequence lines joined."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    return records.select(*_fasta_record(F.col("value")))
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+    return records.where(F.trim("value") != "").select(*_fasta_record(F.col("value")))
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
@@ -37,6 +39,26 @@ def fastq(lines: DataFrame) -> DataFrame:
     return rows.select(short_name(head).alias("name"), F.regexp_extract(head, "^\\S*\\s+(.*)$", 1).alias("comment"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
 
+def lines(spark: SparkSession, path: str | list[str], records: int = 4) -> DataFrame:
+    """(line_no, value) of text files: lines numbered in their order, those of each file from a multiple of ``records`` on.
+
+    Lines are numbered within the pieces that files are read in; only the number of lines of each piece, a row each, is
+    summed over all."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    pieces = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    files = pieces.groupBy("file").agg((F.ceil(F.sum("n") / records) * records).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("file", F.coalesce(upto, F.lit(0)).alias("file_at"))
+    inside = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.join(files, "file").select("file", "block", (F.col("file_at") + F.coalesce(inside, F.lit(0)) - F.col("lo")).alias("at"))
+    return read.join(pieces, ["file", "block"]).select((F.col("id") + F.col("at")).cast("long").alias("line_no"), "value")
+
+
+def fastq_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``fastq``, from files."""
+    return fastq(lines(spark, path).where(F.col("value") != ""))
+
+
 def kind(first: Column) -> Column:
     """``fasta``, ``fastq`` or ``empty`` by the first character; anything else is an error."""
     return F.when(first.startswith(">"), "fasta").when(first.startswith("@"), "fastq").when(F.length(first) == 0, "empty").otherwise(F.raise_error(F.lit("neither FASTA nor FASTQ")).cast("string"))
