@@ -27,7 +27,7 @@ MAX_ROWS, FEATURES, FACTORS = 6000, 1 << 18, 8
 #: A feature's value is chi / (chi + HALF), by the chi-square of its bond with the label, or if that is more twice its share
 #: of the texts, 1 at most; FLOOR at least. So rare ones that tell nothing by themselves have little say, and none is left out.
 HALF, FLOOR = 30.0, 0.1
-EPOCHS, BATCH, RATE, DECAY, SEED = 8, 128, 0.05, 2e-3, 7
+EPOCHS, BATCH, RATE, DECAY, SEED = 4, 128, 0.05, 2e-3, 7
 #: Tokens that a worker keeps the terms of.
 KEPT_TOKENS = 100_000
 _WORD = re.compile(r"\w+")
