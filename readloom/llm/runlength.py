@@ -107,7 +107,7 @@ class RunLengthIndex:
             k = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-            self.ranks[m] = rank
+            self.ranks[m] = rank.astype(np.int32)
             if rank[order[-1]] == n - 1 or m >= 2 * n:
                 break
             after = np.zeros(n, np.int64)
