@@ -51,10 +51,13 @@ class Model:
     weight: np.ndarray
     vectors: np.ndarray
     bias: float
+    wide: np.ndarray | None = None
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Scores of texts given as the rows of their features."""
-        return 1 / (1 + np.exp(-_raw(self.bias, self.weight, self.vectors, *_flat(texts))[0]))
+        if self.wide is None:
+            self.wide = self.vectors.astype(np.float64)
+        return 1 / (1 + np.exp(-_raw(self.bias, self.weight, self.wide, *_flat(texts))[0]))
 
 
 def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +67,10 @@ def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of the runs of ``n`` rows; a run may be empty."""
-    ends = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    at = np.cumsum(n)
-    return ends[at] - ends[at - n]
+    out, some = np.zeros((len(n), *values.shape[1:])), n > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(n) - n)[some], axis=0)
+    return out
 
 
 def _raw(bias, weight, vectors, at, n, value=None):
