@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom.operators.filters import self_forward
-from readloom.operators.joins import touching
+from readloom.operators.joins import touching_either
 
 
 def union(intervals: DataFrame) -> DataFrame:
@@ -45,9 +45,10 @@ def quality_runs(quals: DataFrame, most: int = 25, ts: int = 100) -> DataFrame:
     return runs.select("read_id", (F.col("a") * ts).cast("long").alias("ifrom"), ((F.col("b") + 1) * ts).cast("long").alias("ito"))
 
 
-def tandem_pairs(ovl: DataFrame, intervals: DataFrame, key: list[str], closed_end: bool = False) -> DataFrame:
-    """Distinct (aread, bread) of the overlaps that touch an interval of either read."""
-    return touching(ovl, intervals, key, closed_end).select("aread", "bread").distinct()
+def tandem_pairs(ovl: DataFrame, intervals: DataFrame, key: list[str] = (), closed_end: bool = False) -> DataFrame:
+    """Distinct (aread, bread) of the overlaps that touch an interval of either read; rows needn't be told apart by ``key``."""
+    slim = ovl.select("aread", "bread", "abpos", "aepos", "bbpos", "bepos")
+    return touching_either(slim, intervals, closed_end).select("aread", "bread").distinct()
 
 
 def masks_view(intervals: DataFrame, reads: DataFrame, track: str) -> DataFrame:

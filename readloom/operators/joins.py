@@ -36,14 +36,19 @@ def both_in(ovl: DataFrame, ids: DataFrame) -> DataFrame:
 def touching(ovl: DataFrame, intervals: DataFrame, key: list[str], closed_end: bool = False) -> DataFrame:
     """Overlaps whose A span hits an interval of A's read, or whose B span one of B's (``intervals``: read_id, ifrom, ito).
 
-    Two semi joins on the read, one for each end, take the place of one join on either: both are hash or merge joins.
     ``closed_end`` takes ``ito`` as the last place in the interval. ``key`` tells rows of ``ovl`` apart.
     """
+    return touching_either(ovl, intervals, closed_end).dropDuplicates(key)
+
+
+def touching_either(ovl: DataFrame, intervals: DataFrame, closed_end: bool = False) -> DataFrame:
+    """As ``touching``, with rows that both ends touch by twice: two semi joins on the read, one for each end, take the place
+    of one join on either; both are hash or merge joins."""
     end = F.col("ito") + (1 if closed_end else 0)
     i = intervals.select("read_id", "ifrom", end.alias("iend"))
     on_a = ovl.join(i, (F.col("aread") == F.col("read_id")) & (F.col("abpos") < F.col("iend")) & (F.col("ifrom") < F.col("aepos")), "left_semi")
     on_b = ovl.join(i, (F.col("bread") == F.col("read_id")) & (F.col("bbpos") < F.col("iend")) & (F.col("ifrom") < F.col("bepos")), "left_semi")
-    return on_a.unionByName(on_b).dropDuplicates(key)
+    return on_a.unionByName(on_b)
 
 
 def asymmetric(ovl: DataFrame) -> DataFrame:

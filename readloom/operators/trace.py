@@ -20,9 +20,8 @@ def quality_clip(ovl: DataFrame, good: DataFrame, ts: int = 100) -> DataFrame:
     g = good.select(F.col("read_id").alias("aread"), "ifrom", "ito")
     both = cut.join(g, "aread").where((F.col("abpos") < F.col("ito")) & (F.col("ifrom") < F.col("aepos")))
     begin, end = F.greatest("abpos", "ifrom"), F.least("aepos", "ito")
-    skip = ((begin - F.col("abpos")) / ts).cast("int")
-    keep = ((end - begin) / ts).cast("int")
-    inside = F.slice("trace", skip + 1, keep)
-    front = b_length(F.slice(F.col("trace"), F.lit(1), skip))
-    new = {"abpos": begin, "aepos": end, "bbpos": F.col("bbpos") + front, "bepos": F.col("bbpos") + front + b_length(inside), "trace": inside}
+    tiles = {"_skip": ((begin - F.col("abpos")) / ts).cast("int"), "_keep": ((end - begin) / ts).cast("int")}
+    # Columns of their own, each computed once for the several that use them.
+    both = both.withColumns(tiles).withColumns({"_inside": F.slice("trace", F.col("_skip") + 1, F.col("_keep")), "_front": F.col("bbpos") + b_length(F.slice(F.col("trace"), F.lit(1), F.col("_skip")))})
+    new = {"abpos": begin, "aepos": end, "bbpos": F.col("_front"), "bepos": F.col("_front") + b_length(F.col("_inside")), "trace": F.col("_inside")}
     return both.select(*(new.get(c, F.col(c)).alias(c) for c in ovl.columns))
