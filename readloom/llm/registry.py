@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import codes, forest, langid, mixing, packing, runlength, sentences, simhash, sstable, toxicity
+from readloom.llm import codes, dualtree, forest, langid, mixing, packing, quality, runlength, sentences, simhash, sstable, toxicity, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +202,79 @@ def op10_runlength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+QUALITY_FOLDS, QUALITY_HELD = 3, 1
+
+
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from the positives and the texts of rows that aren't held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = F.coalesce(remainder("doc_id", QUALITY_FOLDS) == QUALITY_HELD, F.lit(False))
+    scored = quality.classify(docs, labels.where("quality = 1").select("doc_id"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_dualtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the vectors of 64 components after ten rounds."""
+    return dualtree.lloyd(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, x.v AS v, min((d, c)) AS best
+  FROM (SELECT vec_id, k.v AS v, c.c AS c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept k, c{r} c) x
+  GROUP BY vec_id, x.v)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS MATERIALIZED (SELECT best[2] AS c, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT best, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM a{r}) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.c AS c, coalesce(m.v, c.v) AS v FROM c{r} c
+  LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s{r} GROUP BY c) m ON m.c = c.c)""")
+    last = f"""
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = best[2]"""
+    return ",".join(steps) + last
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors whose vec_id is divisible by 50; where it is divisible by 7, the label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return vafile.hard_negatives(table, F.col("vec_id") % 50 == 0, positives=5, negatives=3, scale=256)
+
+
+OP13_SQL = """
+WITH r AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON len(b.v) = len(a.v) AND b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS MATERIALIZED (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -215,8 +288,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_forest": op9_forest,
         "op10_runlength": op10_runlength,
+        "op11_quality": op11_quality,
+        "op12_dualtree": op12_dualtree,
+        "op13_vafile": op13_vafile,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_codes": OP2_SQL, "op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL, "op7_passages": OP7_PASSAGES_SQL}
+    return {"op2_codes": OP2_SQL, "op5_mixing": OP5_SQL, "op7_sentences": OP7_SQL, "op7_passages": OP7_PASSAGES_SQL, "op12_dualtree": OP12_SQL, "op13_vafile": OP13_SQL}
