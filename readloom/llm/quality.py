@@ -22,8 +22,9 @@ from readloom.plans.store import Scratch
 #: Quantiles at which a measure is cut into bins: close at the ends, where junk lies.
 CUTS = [0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.25, 0.5, 0.75, 0.85, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995, 0.998]
 BINS = len(CUTS) + 1
-#: Weight of the squares of the model, rounds of Newton's method at most, and the gain at which they end.
-RIDGE, ROUNDS, GAIN = 2e-4, 14, 1e-6
+#: Weight of half the squares of the model against the losses of all rows, rounds of Newton's method at most, and the gain at
+#: which they end.
+RIDGE, ROUNDS, GAIN = 10.0, 14, 1e-6
 #: Bins of scores that the class prior is estimated from, and the chance that its bound fails.
 SCORES, FAIL = 400, 0.1
 
@@ -130,8 +131,10 @@ def _minimise(table: DataFrame, bins: Bins, risk) -> np.ndarray:
     """Newton's method on ``risk(positives, all)`` = (value, gradient, slopes); a step that raises the value is halved."""
     w, at, least, step = np.zeros(SIZE), np.zeros(SIZE), math.inf, None
     for _ in range(ROUNDS):
-        value, gradient, slopes = risk(*_evaluate(table, bins, w))
-        value += RIDGE / 2 * (w @ w)
+        positive, every = _evaluate(table, bins, w)
+        value, gradient, slopes = risk(positive, every)
+        ridge = RIDGE / max(1, every.n)
+        value += ridge / 2 * (w @ w)
         if value > least:
             step = step / 2
             w = at + step
@@ -139,7 +142,7 @@ def _minimise(table: DataFrame, bins: Bins, risk) -> np.ndarray:
         gain, at, least = least - value, w, value
         if gain < GAIN:
             break
-        step = -np.linalg.solve(slopes + RIDGE * np.eye(SIZE), gradient + RIDGE * w)
+        step = -np.linalg.solve(slopes + ridge * np.eye(SIZE), gradient + ridge * w)
         w = at + step
     return at
 
