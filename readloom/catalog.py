@@ -468,9 +468,9 @@ def dedup_fuse(spark, d):
 BRIDGE_SQL = f"""near AS MATERIALIZED (SELECT {T}, aread, bread, is_inverse, abpos, aepos, bbpos, bepos, ifrom, ito FROM ovl JOIN tandem ON read_id = aread),
 spanned AS (SELECT DISTINCT aread, bread, is_inverse, ifrom, ito FROM near WHERE abpos <= ifrom - 100 AND aepos >= ito + 100),
 both_ AS (SELECT x.aread, x.bread, x.is_inverse, x.ifrom, x.ito, x.src_id AS src_id1, y.src_id AS src_id2, x.src_line AS src_line1, y.src_line AS src_line2,
-    y.abpos - x.aepos AS adif, y.bbpos - x.bepos AS bdif
+    y.aepos - x.abpos AS adif, y.bepos - x.bbpos AS bdif
   FROM near x JOIN near y ON x.aread = y.aread AND x.bread = y.bread AND x.is_inverse = y.is_inverse AND x.ifrom = y.ifrom AND x.ito = y.ito
-  WHERE x.abpos <= x.ifrom - 100 AND x.aepos >= x.ifrom AND x.aepos < x.ito + 100 AND y.aepos >= y.ito + 100 AND y.abpos <= y.ito AND y.abpos > y.ifrom - 100)
+  WHERE x.abpos <= x.ifrom - 100 AND x.aepos >= x.ifrom + 100 AND y.abpos <= y.ito - 100 AND y.aepos >= y.ito + 100)
 SELECT b.* FROM both_ b WHERE bdif > 0 AND adif > 0 AND abs(adif - bdif) / CAST(least(adif, bdif) AS DOUBLE) <= 0.5
   AND NOT EXISTS (SELECT 1 FROM spanned s WHERE s.aread = b.aread AND s.bread = b.bread AND s.is_inverse = b.is_inverse AND s.ifrom = b.ifrom AND s.ito = b.ito)"""
 
@@ -783,3 +783,6 @@ def m4_records(spark, d):
     sam = convert.m4_to_sam(text.m4(lines), refs, reads, ["line_no"])
     n = cigar.lengths(F.col("cigar"))
     return sam.select(F.col("line_no").alias("read_id"), "qname", "flag", "rname", "pos", *(n[k].alias(k) for k in ("ref_length", "read_length", "errors")))
+
+
+from readloom import catalog_bases  # noqa: E402, F401  (registers its queries here)

@@ -36,9 +36,15 @@ def tile_borders(abpos: Column, aepos: Column, ts: int) -> Column:
 
 def points(abpos: Column, aepos: Column, bbpos: Column, trace: Column, ts: int) -> Column:
     """[(apos, bpos)]: the inner tile borders on A, and where they fall on B."""
-    n = F.size(trace)
-    inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(((first_tile(abpos, ts) + i) * ts).alias("apos"), (bbpos + b_length(F.slice(trace, F.lit(1), i))).alias("bpos")))
-    return F.when(n > 1, inner).otherwise(F.array().cast("array<struct<apos:bigint,bpos:bigint>>"))
+    n, none = F.size(trace), F.array().cast("array<struct<apos:bigint,bpos:bigint>>")
+    start = F.struct(bbpos.cast("long").alias("at"), none.alias("out"))
+
+    def step(s, t):
+        at = s["at"] + t["blen"]
+        point = F.struct(((first_tile(abpos, ts) + F.size(s["out"]) + 1) * ts).cast("long").alias("apos"), at.alias("bpos"))
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array(point)).alias("out"))
+
+    return F.when(n > 1, F.aggregate(F.slice(trace, F.lit(1), n - 1), start, step, lambda s: s["out"])).otherwise(none)
 
 
 def fits(trace: Column, most: int) -> Column:

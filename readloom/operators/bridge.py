@@ -1,42 +1,69 @@
-"""Bridging of tandem intervals: overlaps that stop at an interval from both sides are joined by an alignment across it."""
+"""Bridging of tandem intervals: overlaps that end in an interval from both sides are joined by an alignment across it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from readloom.functions import edits
 from readloom.operators import joins, kernels, transform
-from readloom.operators.convert import SPAN
+from readloom.operators.joins import BRIDGED
 from readloom.plans.store import Scratch
+from readloom.schema import TRACE
 
+SPAN = kernels.SPAN
 
-def bridge(ovl: DataFrame, masks: DataFrame, reads: DataFrame, tie: list[str], border: int = 500, max_indel: float = 0.3, max_window: float = 0.4, ts: int = 100, rounds: int = 100) -> DataFrame:
-    """The new rows (SPAN, alen, blen, diffs, trace) that bridge the intervals of ``masks``, and their twins seen from B
-    (``reads``: read_id, rlen, seq).
 
-    Pairs of overlaps as by ``joins.bridge_candidates`` are aligned across the gap, from the end of the left one to the
-    begin of the right one; kept if no 500 operations hold a larger share of errors than ``max_window``. New rows span
-    their interval, or join others, so rounds go on over old and new rows until none is new.
+def _across(spans: DataFrame, reads: DataFrame, ts: int, max_window: float) -> DataFrame:
+    """Spans aligned from end to end, where no 500 operations hold a larger share of errors than ``max_window``: with diffs, trace,
+    and the twin's trace, which is the same script cut in B's tiles."""
+    full = kernels.parts(joins.with_sequences(joins.with_lengths(spans, reads), reads))
+    begin = F.when(F.col("is_inverse"), F.col("blen") - F.col("bepos")).otherwise(F.col("bbpos"))
+
+    def make(a, b, ab, begin, inverse):
+        runs = edits.align(a, b)
+        twin = edits.tiles(edits.turned(runs, inverse), begin, ts)
+        return edits.errors(runs), edits.tiles(runs, ab, ts), twin, edits.window_error(runs)
+
+    fields = [T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE), T.StructField("twin", TRACE), T.StructField("window", T.DoubleType())]
+    found = kernels.each_row(full.withColumn("_begin", begin), [*SPAN, "alen", "blen"], fields, ["aseq", "bseq", "abpos", "_begin", "is_inverse"], make)
+    return found.where(F.col("window") <= max_window).drop("window")
+
+
+def bridge(ovl: DataFrame, masks: DataFrame, reads: DataFrame, border: int = 500, max_indel: float = 0.3, max_window: float = 0.4, ts: int = 100, rounds: int = 100) -> DataFrame:
+    """The new rows (SPAN, alen, blen, diffs, trace) that bridge the intervals of ``masks`` (read_id, ifrom, ito), and their twins
+    seen from B (``reads``: read_id, rlen, seq).
+
+    Where no overlap of a group (aread, bread, is_inverse) spans an interval with ``border`` on both sides, each pair of anchors
+    (``joins.bridge_pairs``) is aligned from the left one's begin to the right one's end; so a new row spans its interval.
+    It may anchor another one, so rounds go on until none is new; each joins only new anchors with all others, and drops
+    intervals that are spanned now. Twins belong to another group and take no part. An error if rows are still new
+    after ``rounds`` rounds.
     """
     scratch = Scratch(ovl.sparkSession, "bridge")
-    names = [*SPAN, "alen", "blen"]
-    every = ovl.select(*SPAN, F.xxhash64(*tie, *SPAN).alias("row"))
-    out = None
+    fresh = joins.bridge_roles(ovl.select(*SPAN).distinct(), masks, [], border).withColumn("fresh", F.lit(True))
+    held, out = None, None
     for k in range(rounds):
-        pairs = joins.bridge_candidates(every, masks, ["row"], border, max_indel)
-        gaps = pairs.where("adif > 0").select("aread", "bread", "is_inverse", F.col("abegin").alias("abpos"), F.col("aend").alias("aepos"), F.col("bbegin").alias("bbpos"), F.col("bend").alias("bepos")).distinct()
-        full = joins.with_lengths(joins.with_sequences(gaps, reads), reads)
-        found = kernels.align_spans(full, [*names, "aseq", "bseq"], ts).where(F.col("window_error") <= max_window).drop("cigar", "window_error")
-        if out is not None:
-            found = found.join(out.select(*SPAN), SPAN, "left_anti")
-        found = scratch.cut(found, f"found{k}")
-        if not found.limit(1).count():
+        every = fresh if held is None else held.withColumn("fresh", F.lit(False)).unionByName(fresh)
+        every = scratch.cut(every, f"roles{k}")
+        spanned = every.where("role = 'span'").select(*BRIDGED).distinct()
+        held = scratch.cut(every.where("role <> 'span'").join(spanned, BRIDGED, "left_anti"), f"open{k}")
+        left, right = held.where("role = 'left'"), held.where("role = 'right'")
+        pairs = joins.bridge_pairs(left.where("fresh"), right, [], max_indel)
+        if k:
+            pairs = pairs.unionByName(joins.bridge_pairs(left.where("not fresh"), right.where("fresh"), [], max_indel))
+        ends = {"abpos": "abegin", "aepos": "aend", "bbpos": "bbegin", "bepos": "bend"}
+        spans = pairs.select("aread", "bread", "is_inverse", *(F.col(old).alias(new) for new, old in ends.items())).distinct()
+        new = scratch.cut(_across(spans, reads, ts, max_window), f"new{k}")
+        scratch.drop(f"roles{k}", *([f"open{k - 1}"] if k else []))
+        out = new if out is None else out.unionByName(new)
+        if new.isEmpty():
             break
-        turned = transform.swapped(found.drop("aseq", "bseq", "diffs", "trace").withColumns({f"_{c}": F.col(c) for c in names}))
-        traces = kernels.swap_roles(found, names, ts)
-        same = [F.col(f"_{c}") == traces[c] for c in names]
-        twins = turned.join(traces, same).select(*(turned[c] for c in names), traces["diffs"], traces["trace"])
-        new = scratch.cut(found.select(*names, "diffs", "trace").unionByName(twins).dropDuplicates(SPAN), f"new{k}")
-        out = new if out is None else out.unionByName(new).dropDuplicates(SPAN)
-        every = every.unionByName(new.select(*SPAN).withColumn("row", F.xxhash64(*SPAN)))
-    return out if out is not None else found.select(*names, "diffs", "trace")
+        fresh = joins.bridge_roles(new, masks, [], border).withColumn("fresh", F.lit(True))
+    else:
+        raise RuntimeError(f"bridging did not settle in {rounds} rounds")
+    out = out.dropDuplicates(SPAN)
+    names = [*SPAN, "alen", "blen", "diffs", "trace"]
+    twins = transform.swapped(out.drop("trace")).withColumnRenamed("twin", "trace")
+    return out.select(*names).unionByName(twins.select(*names))

@@ -53,45 +53,80 @@ def from_sam(sam: DataFrame, refs: DataFrame, reads: DataFrame) -> DataFrame:
     n = cg.lengths(F.col("cigar"))
     rows = good.join(refs.select(F.col("name").alias("rname"), F.col("read_id").alias("aread"), F.col("rlen").alias("alen")), "rname")
     rows = rows.join(reads.select(F.col("name").alias("qname"), F.col("read_id").alias("bread"), F.col("rlen").alias("blen")), "qname")
-    begin = F.col("pos") - 1
+    begin = F.col("pos") - 1 - n["front_del"]  # deletions before the first base lie before its place
     return rows.select(
         "aread", "bread", (F.col("flag").bitwiseAND(F.lit(REVERSED)) != 0).alias("is_inverse"), begin.alias("abpos"), (begin + n["ref_length"]).alias("aepos"),
         n["front_clip"].alias("bbpos"), (n["front_clip"] + cg.length(F.col("cigar"), "M=XI")).alias("bepos"), n["errors"].alias("diffs"), "alen", "blen", "cigar",
     )
 
 
-SPAN = ["aread", "bread", "is_inverse", "abpos", "aepos", "bbpos", "bepos"]
+SPAN = kernels.SPAN
 
 
-def traced(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
+def sam_overlaps(sam: DataFrame, refs: DataFrame, reads: DataFrame, ts: int = 100) -> DataFrame:
+    """``from_sam`` with traces: SPAN, alen, blen, diffs and trace (refs, reads: read_id, name, rlen, seq). Tiles are cut from the
+    runs of the CIGAR string, M told apart by the bases. An error if a CIGAR string, clips included, isn't of its read's
+    length, or leaves the reference."""
+    rows = from_sam(sam, refs, reads)
+    whole = F.col("bepos") + cg.lengths(F.col("cigar"))["back_clip"] == F.col("blen")
+    inside = (F.col("abpos") >= 0) & (F.col("aepos") <= F.col("alen"))
+    wrong = F.when(~whole, "a CIGAR string isn't of its read's length").when(~inside, "an alignment leaves its reference")
+    rows = rows.withColumn("cigar", F.when(wrong.isNull(), F.col("cigar")).otherwise(F.raise_error(wrong).cast("string")))
+    return traced(rows.drop("diffs"), refs, reads, [*SPAN, "alen", "blen"], ts)
+
+
+def sam_records(ovl: DataFrame, refs: DataFrame, reads: DataFrame, by: list[str], strategy: str = "none", top: int | None = None, ts: int = 100) -> DataFrame:
+    """Whole SAM records of overlaps with traces (refs, reads: read_id, name, rlen, seq; A is the reference): the columns of
+    ``sam_text``, and ``by``.
+
+    Scripts, NM, MD and AS come from one pass over the tiles. Chains are numbered, or the best ``top`` rows of a read taken,
+    as by ``to_sam``; bases are stored by ``strategy``, see ``stored``. Rows are sent to their A read for its bases, and to their
+    B read once for numbers, names and bases together.
+    """
+    known = [*dict.fromkeys([*by, *ovl.columns])]
+    with_a = ovl.drop("alen", "blen").join(refs.select(F.col("read_id").alias("aread"), F.col("seq").alias("aseq")), "aread")
+    with_b = with_a.join(reads.select(F.col("read_id").alias("bread"), F.col("rlen").alias("blen"), F.col("seq").alias("bseq")), "bread")
+    with_b = with_b.withColumn("bseq", F.when(F.col("is_inverse"), revcomp(F.col("bseq"))).otherwise(F.col("bseq")))
+    names = [*dict.fromkeys([*(c for c in known if c not in ("trace", "alen", "blen")), "blen"])]
+    told = kernels.scripts(with_b, names, ts)
+    sam = to_sam(told, refs.select("read_id", "name"), reads.select("read_id", "name"), by, top)
+    full = stored(sam, reads, strategy)
+    more = F.array(F.concat(F.lit("NM:i:"), F.col("nm").cast("string")), F.concat(F.lit("MD:Z:"), "md"), F.concat(F.lit("AS:i:"), F.col("as").cast("string")))
+    fields = ["qname", "flag", "rname", "pos", "mapq", F.col("sam_cigar").alias("cigar"), "rnext", "pnext", "tlen", "seq", F.lit("*").alias("qual"), F.concat("tags", more).alias("tags")]
+    return full.select(*by, *fields)
+
+
+def traced(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str], ts: int = 100, correct: bool = False) -> DataFrame:
     """``keep`` of rows (SPAN, cigar or null), with diffs and trace (refs, reads: read_id, seq).
 
-    A CIGAR string gives the trace, M told apart by the bases; a row without one is aligned between its ends. A trace whose
-    length on B isn't that of the B span is an error.
+    A CIGAR string gives the trace, M told apart by the bases; a row without one is aligned between its ends or, with
+    ``correct``, extended from an anchor in its span, which may move both ends. A trace whose length on B isn't that of the
+    B span is an error.
     """
     full = joins.with_sequences(rows, refs, reads)
-    cut = {x: F.substring(F.col(f"{x}seq"), (F.col(f"{x}bpos") + 1).cast("int"), (F.col(f"{x}epos") - F.col(f"{x}bpos")).cast("int")) for x in "ab"}
-    plain = full.withColumns({f"{x}seq": c for x, c in cut.items()})
     names = list(dict.fromkeys([*SPAN, *keep]))
-    told = kernels.from_cigar(plain.where("cigar is not null"), names, ts)
-    # The spans are cut out already; tiles lie where the A span does.
-    found = kernels.align_spans(full.where("cigar is null"), names, ts).select(*names, "diffs", "trace")
-    both = told.unionByName(found)
+    told = kernels.from_cigar(kernels.parts(full.where("cigar is not null")), names, ts)
+    without = full.where("cigar is null")
+    if correct:
+        found = kernels.correct_spans(without, names, ts)
+    else:
+        found = kernels.align_spans(without, names, ts)
+    both = told.unionByName(found.select(*names, "diffs", "trace"))
     fits = b_length(F.col("trace")) == F.col("bepos") - F.col("bbpos")
     checked = F.when(fits, F.col("trace")).otherwise(F.raise_error(F.lit("the trace leaves its B span")).cast(both.schema["trace"].dataType))
     return both.withColumn("trace", checked).select(*keep, "diffs", "trace")
 
 
-def from_paf(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str] = (), ts: int = 100) -> DataFrame:
+def from_paf(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str] = (), ts: int = 100, correct: bool = False) -> DataFrame:
     """Overlaps of PAF rows (see ``text.paf_overlaps``): target and query by name (refs, reads: read_id, name, rlen, seq),
-    lengths checked against theirs, traces as by ``traced``. Rows whose names are unknown, or belong to several, go."""
+    lengths checked against theirs, traces as by ``traced``, with ``correct`` those without a CIGAR string corrected. Rows whose names are unknown, or belong to several, go."""
     named = joins.by_name(rows, refs, "aname", "aread")[0]
     named = joins.by_name(named, reads, "bname", "bread")[0]
     sizes = joins.with_lengths(named.withColumnsRenamed({"alen": "a_said", "blen": "b_said"}), refs, reads)
     right = (F.col("alen") == F.col("a_said")) & (F.col("blen") == F.col("b_said"))
     checked = sizes.withColumn("alen", F.when(right, F.col("alen")).otherwise(F.raise_error(F.lit("a stated length isn't the read's")).cast("long")))
     names = list(dict.fromkeys([*SPAN, "alen", "blen", *keep]))
-    return traced(checked.select(*names, "cigar"), refs, reads, names, ts)
+    return traced(checked.select(*names, "cigar"), refs, reads, names, ts, correct)
 
 
 def m4_to_sam(rows: DataFrame, refs: DataFrame, reads: DataFrame, by: list[str]) -> DataFrame:

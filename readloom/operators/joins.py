@@ -133,21 +133,32 @@ def on_reference(intervals: DataFrame, records: DataFrame) -> DataFrame:
     return both.select("read_id", "ifrom", "ito", *(c.alias(k) for k, c in places.items()))
 
 
-def bridge_candidates(ovl: DataFrame, masks: DataFrame, tie: list[str], border: int = 500, max_indel: float = 0.3) -> DataFrame:
-    """Pairs of overlaps of one group that anchor a masked interval of A from its two sides, where no overlap of the group
-    spans it with ``border`` on both sides.
+def bridge_roles(ovl: DataFrame, masks: DataFrame, keep: list[str], border: int = 500) -> DataFrame:
+    """Overlaps beside the masked intervals of their A read (``masks``: read_id, ifrom, ito) that they matter to, with ``role``:
+    ``span`` holds the interval with ``border`` on both sides; ``left`` goes through the interval's begin with ``border`` on
+    both sides of it, ``right`` through its end."""
+    m = masks.select(F.col("read_id").alias("aread"), "ifrom", "ito").distinct()
+    near = ovl.select(*GROUP, *keep, "abpos", "aepos", "bbpos", "bepos").join(m, "aread")
+    early, late = F.col("abpos") <= F.col("ifrom") - border, F.col("aepos") >= F.col("ito") + border
+    role = F.when(early & late, "span").when(early & (F.col("aepos") >= F.col("ifrom") + border), "left")
+    return near.withColumn("role", role.when(late & (F.col("abpos") <= F.col("ito") - border), "right")).where("role is not null")
 
-    The left anchor ends in the interval's front and begins before it, the right one begins in it and ends behind it. Kept
-    if the gap on B is positive and the indel error of the two gaps is at most ``max_indel``.
-    """
-    m = masks.select(F.col("read_id").alias("aread"), "ifrom", "ito")
-    near = ovl.select(*GROUP, *tie, "abpos", "aepos", "bbpos", "bepos").join(m, "aread")
-    place = [*GROUP, "ifrom", "ito"]
-    spanned = near.where((F.col("abpos") <= F.col("ifrom") - border) & (F.col("aepos") >= F.col("ito") + border)).select(*place).distinct()
-    left = near.where((F.col("abpos") <= F.col("ifrom") - border) & (F.col("aepos") >= F.col("ifrom")) & (F.col("aepos") < F.col("ito") + border))
-    right = near.where((F.col("aepos") >= F.col("ito") + border) & (F.col("abpos") <= F.col("ito")) & (F.col("abpos") > F.col("ifrom") - border))
-    l = left.select(*place, *(F.col(c).alias(f"{c}1") for c in tie), F.col("aepos").alias("abegin"), F.col("bepos").alias("bbegin"))
-    r = right.select(*place, *(F.col(c).alias(f"{c}2") for c in tie), F.col("abpos").alias("aend"), F.col("bbpos").alias("bend"))
-    both = l.join(r, place).withColumns({"adif": F.col("aend") - F.col("abegin"), "bdif": F.col("bend") - F.col("bbegin")})
-    both = both.where("bdif > 0").withColumn("indel", indel_error(F.col("adif"), F.col("bdif"))).where(F.col("indel") <= max_indel)
-    return both.join(spanned, place, "left_anti")
+
+BRIDGED = [*GROUP, "ifrom", "ito"]
+
+
+def bridge_pairs(left: DataFrame, right: DataFrame, tie: list[str], max_indel: float = 0.3) -> DataFrame:
+    """Pairs of a left and a right anchor of one interval: ``tie`` of both, with 1 and 2 behind, and the span from the left one's
+    begin to the right one's end, as adif on A and bdif on B. Kept if bdif is positive and their indel error is at most
+    ``max_indel``."""
+    l = left.select(*BRIDGED, *(F.col(c).alias(f"{c}1") for c in tie), F.col("abpos").alias("abegin"), F.col("bbpos").alias("bbegin"))
+    r = right.select(*BRIDGED, *(F.col(c).alias(f"{c}2") for c in tie), F.col("aepos").alias("aend"), F.col("bepos").alias("bend"))
+    both = l.join(r, BRIDGED).withColumns({"adif": F.col("aend") - F.col("abegin"), "bdif": F.col("bend") - F.col("bbegin")})
+    return both.where("bdif > 0").withColumn("indel", indel_error(F.col("adif"), F.col("bdif"))).where(F.col("indel") <= max_indel)
+
+
+def bridge_candidates(ovl: DataFrame, masks: DataFrame, tie: list[str], border: int = 500, max_indel: float = 0.3) -> DataFrame:
+    """``bridge_pairs`` of the overlaps of each (aread, bread, is_inverse), for intervals that none of its overlaps spans."""
+    roles = bridge_roles(ovl, masks, tie, border)
+    pairs = bridge_pairs(roles.where("role = 'left'"), roles.where("role = 'right'"), tie, max_indel)
+    return pairs.join(roles.where("role = 'span'").select(*BRIDGED).distinct(), BRIDGED, "left_anti")

@@ -1,13 +1,12 @@
-"""Alignment of sequences in Arrow batches: dense traces, their statistics, tiles and CIGAR strings.
+"""Operators that need the bases: alignment, recomputed traces, their statistics, tiles and CIGAR strings, extension of seeds.
 
-One function, ``align``, gives the operations between two sequences; the rest are rearrangements of them. Rows are
-independent, so all operators are ``mapInPandas`` over rows that a join has given their sequences.
+``functions.edits`` gives the scripts between two sequences. Rows are independent, so operators are ``mapInPandas`` over rows that
+a join has given their sequences.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import groupby
+import bisect
 
 import numpy as np
 import pandas as pd
@@ -15,318 +14,303 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.functions import edits
+from readloom.functions.scalar import mirror, revcomp
 from readloom.schema import TRACE
 
+SPAN = ["aread", "bread", "is_inverse", "abpos", "aepos", "bbpos", "bepos"]
+_TRACED = [T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE)]
 
-#: Cells of a cost table that is kept whole; larger ones are cut in two.
-CELLS = 1 << 18
 
+def _longs(names: list[str]) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
 
-def _costs(x: np.ndarray, y: np.ndarray):
-    """Row after row of the edit distances between the beginnings of two sequences."""
-    cols = np.arange(len(y) + 1, dtype=np.int32)
-    row = cols.copy()
-    yield row
-    for i in range(1, len(x) + 1):
-        best = np.empty(len(y) + 1, np.int32)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + (y != x[i - 1]), row[1:] + 1)
-        row = np.minimum.accumulate(best - cols) + cols  # insertions run along the row
-        yield row
 
-
-def align(a: str, b: str) -> str:
-    """A shortest edit script from ``a`` to ``b``: ``=`` and ``X`` consume both, ``D`` a base of A, ``I`` one of B.
-
-    Equal ends are taken off. A small rest is solved by a table of costs; a larger one is cut where the distances of its
-    upper half from above and its lower half from below are least together (Hirschberg, 1975), so that memory grows with
-    the length and not with its square.
-    """
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    return "".join(_script(x, y))
-
-
-def _script(x: np.ndarray, y: np.ndarray) -> list[str]:
-    n = min(len(x), len(y))
-    same = x[:n] == y[:n]
-    head = n if same.all() else int(same.argmin())
-    x, y = x[head:], y[head:]
-    n = min(len(x), len(y))
-    same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
-    tail = n if same.all() else int(same.argmin())
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if not len(x) or not len(y):
-        middle = ["D" * len(x) + "I" * len(y)]
-    elif (len(x) + 1) * (len(y) + 1) <= CELLS or len(x) == 1:
-        middle = [_table(x, y)]
-    else:
-        half = len(x) // 2
-        for above in _costs(x[:half], y):
-            pass
-        for below in _costs(x[half:][::-1], y[::-1]):
-            pass
-        cut = int((above + below[::-1]).argmin())
-        middle = _script(x[:half], y[:cut]) + _script(x[half:], y[cut:])
-    return ["=" * head, *middle, "=" * tail]
-
-
-def _table(x: np.ndarray, y: np.ndarray) -> str:
-    cost = np.stack(list(_costs(x, y)))
-    i, j, ops = len(x), len(y), []
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
-            ops.append("=" if x[i - 1] == y[j - 1] else "X")
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            ops.append("D")
-            i -= 1
-        else:
-            ops.append("I")
-            j -= 1
-    return "".join(reversed(ops))
-
-
-def cigar(ops: str) -> str:
-    return "".join(f"{len(list(g))}{op}" for op, g in groupby(ops))
-
-
-def dense(cigar_text: str, a: str = "", b: str = "") -> str:
-    """The operations of a CIGAR string without clips; M is told apart by the bases, which it needs."""
-    out, i, j = [], 0, 0
-    for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDX=SH])", cigar_text)):
-        if op in "SH":
-            continue
-        if op == "M":
-            if len(a) < i + n or len(b) < j + n:
-                raise ValueError("M needs the bases")
-            out.append("".join("=" if p == q else "X" for p, q in zip(a[i : i + n], b[j : j + n])))
-        else:
-            out.append(op * n)
-        i += n if op in "M=XD" else 0
-        j += n if op in "M=XI" else 0
-    return "".join(out)
-
-
-def tiles(ops: str, abpos: int, ts: int) -> list[dict[str, int]]:
-    """The trace of an alignment that begins at ``abpos``: errors and B length of each tile."""
-    out, err, blen, a = [], 0, 0, abpos
-    for op in ops:
-        if op != "I" and a > abpos and a % ts == 0:
-            out.append({"err": err, "blen": blen})
-            err = blen = 0
-        err += op != "="
-        blen += op != "D"
-        a += op != "I"
-    if a > abpos or blen:
-        out.append({"err": err, "blen": blen})
-    return out
-
-
-def from_tiles(a: str, b: str, abpos: int, bbpos: int, aepos: int, trace: list, ts: int) -> str:
-    """The dense trace of a tile-encoded overlap: each tile aligned by itself."""
-    ops, at, bt = [], abpos, bbpos
-    for t in trace:
-        end = min(aepos, (at // ts + 1) * ts)
-        ops.append(align(a[at:end], b[bt : bt + t["blen"]]))
-        at, bt = end, bt + t["blen"]
-    return "".join(ops)
-
-
-def stats(ops: str) -> dict[str, int]:
-    return {"matches": ops.count("="), "mismatches": ops.count("X"), "insertions": ops.count("I"), "deletions": ops.count("D")}
-
-
-def window_error(ops: str, size: int = 500) -> float:
-    """The largest share of errors in any window of ``size`` operations; of all, if there are fewer."""
-    e = np.concatenate([[0], np.cumsum(np.frombuffer(ops.encode(), np.uint8) != ord("="))])
-    n = min(size, len(ops))
-    return float((e[n:] - e[:-n]).max() / n) if n else 0.0
-
-
-def match_runs(ops: str, abpos: int, bbpos: int) -> list[tuple[int, int, int]]:
-    """(apos, length, diagonal) of each run of matches."""
-    out, a, b = [], abpos, bbpos
-    for op, g in groupby(ops):
-        n = len(list(g))
-        if op == "=":
-            out.append((a, n, a - b))
-        a += n if op != "I" else 0
-        b += n if op != "D" else 0
-    return out
-
-
-def _spans(df: DataFrame, keep: list[str], fields: list[T.StructField], make) -> DataFrame:
-    """``make(row)`` over rows, beside the columns ``keep``."""
+def each_row(df: DataFrame, keep: list[str], fields: list[T.StructField], uses: list[str], make) -> DataFrame:
+    """``make`` of the columns ``uses`` of each row, beside the columns ``keep``."""
 
     def run(parts):
         for p in parts:
-            rows = [make(r) for r in p.to_dict("records")]
-            out = pd.DataFrame(rows, columns=[f.name for f in fields], index=p.index)
+            rows = [make(*r) for r in zip(*(p[c] for c in uses))]
+            out = pd.DataFrame(rows, columns=[f.name for f in fields], index=p.index, dtype=object)
             yield pd.concat([p[keep], out], axis=1)
 
     schema = T.StructType([df.schema[c] for c in keep] + fields)
-    return df.mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*keep, *uses])).mapInPandas(run, schema)
 
 
-def deep_check(ovl: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
-    """Rows (with aseq, bseq and trace) and the statistics of their recomputed traces: null, with ``error``, where a trace
-    doesn't fit its sequences."""
-    names = ["matches", "mismatches", "insertions", "deletions"]
+def parts(rows: DataFrame) -> DataFrame:
+    """Rows with aseq and bseq cut to their spans, so that only what is aligned reaches Python."""
+    cut = {f"{x}seq": F.substring(F.col(f"{x}seq"), (F.col(f"{x}bpos") + 1).cast("int"), (F.col(f"{x}epos") - F.col(f"{x}bpos")).cast("int")) for x in "ab"}
+    return rows.withColumns(cut)
 
-    def make(r):
-        try:
-            if sum(t["blen"] for t in r["trace"]) != r["bepos"] - r["bbpos"] or r["aepos"] > len(r["aseq"]) or r["bepos"] > len(r["bseq"]):
-                raise ValueError("the trace leaves its reads")
-            s = stats(from_tiles(r["aseq"], r["bseq"], r["abpos"], r["bbpos"], r["aepos"], r["trace"], ts))
-            return (*(s[n] for n in names), None)
-        except ValueError as e:
-            return (None, None, None, None, str(e))
 
-    out = _spans(ovl, keep, [*(T.StructField(n, T.DoubleType()) for n in names), T.StructField("error", T.StringType())], make)
-    return out.select(*keep, *(F.col(n).cast("long").alias(n) for n in names), "error")
+_TILED = ["aseq", "bseq", "abpos", "aepos", "trace"]
+
+
+def deep_check(ovl: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
+    """Overlaps (with aseq, bseq and trace) and the statistics of their recomputed traces. ``error`` tells what is wrong, and the
+    statistics are null where the trace can't be followed: ``span`` if a span leaves its read, ``tiles`` if the trace
+    hasn't a tile for each of A's, ``length`` if it doesn't cover the B span; ``count`` if a tile can't be aligned with as few
+    errors as it states, ``differences`` if diffs, where the table has it, is less than the errors found."""
+    names = ["matches", "mismatches", "insertions", "deletions"]
+    inside = (F.col("abpos") >= 0) & (F.col("abpos") < F.col("aepos")) & (F.col("aepos") <= F.length("aseq")) & (F.col("bbpos") >= 0) & (F.col("bbpos") <= F.col("bepos")) & (F.col("bepos") <= F.length("bseq"))
+    said = F.col("diffs") if "diffs" in ovl.columns else F.lit(None).cast("long")
+    rows = parts(ovl.withColumns({"_inside": inside, "_diffs": said}))
+
+    def make(a, b, ab, ae, trace, ok, diffs):
+        if not ok or trace is None:
+            return (*[None] * 4, "span")
+        if len(trace) != (ae - 1) // ts - ab // ts + 1:
+            return (*[None] * 4, "tiles")
+        if sum(t["blen"] for t in trace) != len(b) or any(t["blen"] < 0 for t in trace):
+            return (*[None] * 4, "length")
+        runs, at, bt, fewer = [], ab, 0, False
+        for t in trace:
+            end = min(ae, (at // ts + 1) * ts)
+            tile = edits.align(a[at - ab : end - ab], b[bt : bt + t["blen"]])
+            fewer |= edits.errors(tile) > t["err"]
+            runs += tile
+            at, bt = end, bt + t["blen"]
+        s = edits.stats(runs)
+        less = not pd.isna(diffs) and diffs < edits.errors(runs)
+        return (*(s[n] for n in names), "count" if fewer else "differences" if less else None)
+
+    return each_row(rows, keep, [*_longs(names), T.StructField("error", T.StringType())], [*_TILED, "_inside", "_diffs"], make)
 
 
 def change_spacing(ovl: DataFrame, keep: list[str], ts: int, new_ts: int) -> DataFrame:
     """Traces recomputed and cut in tiles of another spacing; differences are the errors of the new trace."""
 
-    def make(r):
-        trace = tiles(from_tiles(r["aseq"], r["bseq"], r["abpos"], r["bbpos"], r["aepos"], r["trace"], ts), r["abpos"], new_ts)
-        return sum(t["err"] for t in trace), trace
+    def make(a, b, ab, ae, trace):
+        new = edits.tiles(edits.from_tiles(a, b, ab, ae, trace, ts), ab, new_ts)
+        return sum(t["err"] for t in new), new
 
-    return _spans(ovl, keep, [T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE)], make)
+    return each_row(parts(ovl), keep, _TRACED, _TILED, make)
 
 
-def swap_roles(ovl: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
-    """Traces from B's view: the operations with A and B exchanged, and turned round where B is reversed. ``keep`` holds
-    the columns of the input; join it with ``transform.swapped`` for the coordinates."""
+def swap_roles(ovl: DataFrame, keep: list[str] = (), ts: int = 100) -> DataFrame:
+    """Overlaps (SPAN, alen, blen, trace; aseq and bseq, B oriented) seen from B: SPAN, alen, blen, diffs and trace of the twin, and
+    the columns ``keep`` as they are.
 
-    def make(r):
-        ops = from_tiles(r["aseq"], r["bseq"], r["abpos"], r["bbpos"], r["aepos"], r["trace"], ts).translate(str.maketrans("ID", "DI"))
-        begin = r["blen"] - r["bepos"] if r["is_inverse"] else r["bbpos"]
-        trace = tiles(ops[::-1] if r["is_inverse"] else ops, begin, ts)
-        return sum(t["err"] for t in trace), trace
+    The tiles are aligned as they are, so that errors stay where they were; the script is exchanged, and read from the other end
+    where B is reversed, before it is cut in B's tiles.
+    """
+    ab, ae = mirror(F.col("bbpos"), F.col("bepos"), F.col("blen"), F.col("is_inverse"))
+    bb, be = mirror(F.col("abpos"), F.col("aepos"), F.col("alen"), F.col("is_inverse"))
+    rows = parts(ovl).withColumns({"_ab": ab, "_ae": ae, "_bb": bb, "_be": be})
+
+    def make(a, b, ab, ae, trace, inverse, begin):
+        new = edits.tiles(edits.turned(edits.from_tiles(a, b, ab, ae, trace, ts), inverse), begin, ts)
+        return sum(t["err"] for t in new), new
 
-    return _spans(ovl, keep, [T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE)], make)
+    names = list(dict.fromkeys([*keep, "aread", "bread", "is_inverse", "_ab", "_ae", "_bb", "_be", "alen", "blen"]))
+    found = each_row(rows, names, _TRACED, [*_TILED, "is_inverse", "_ab"], make)
+    twin = {"aread": "bread", "bread": "aread", "is_inverse": "is_inverse", "abpos": "_ab", "aepos": "_ae", "bbpos": "_bb", "bepos": "_be", "alen": "blen", "blen": "alen"}
+    return found.select(*keep, *(F.col(old).alias(new) for new, old in twin.items() if new not in keep), "diffs", "trace")
 
 
 def align_spans(rows: DataFrame, keep: list[str], ts: int = 100, window: int = 500) -> DataFrame:
-    """Rows (aseq, abpos, aepos, bseq, bbpos, bepos) aligned from end to end: CIGAR, differences, trace and the worst
-    window. For rows without an alignment of their own, and for the gap that a bridge closes."""
+    """Rows (aseq, abpos, aepos, bseq, bbpos, bepos) aligned from end to end: CIGAR, differences, trace and the worst window."""
 
-    def make(r):
-        ops = align(r["aseq"][r["abpos"] : r["aepos"]], r["bseq"][r["bbpos"] : r["bepos"]])
-        return cigar(ops), len(ops) - ops.count("="), tiles(ops, r["abpos"], ts), window_error(ops, window)
+    def make(a, b, ab):
+        runs = edits.align(a, b)
+        return edits.cigar(runs), edits.errors(runs), edits.tiles(runs, ab, ts), edits.window_error(runs, window)
 
-    fields = [T.StructField("cigar", T.StringType()), T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE), T.StructField("window_error", T.DoubleType())]
-    return _spans(rows, keep, fields, make)
+    fields = [T.StructField("cigar", T.StringType()), *_TRACED, T.StructField("window_error", T.DoubleType())]
+    names = [c for c in keep if c not in ("aseq", "bseq")]
+    both = {f"_{c}": F.col(c) for c in ("aseq", "bseq") if c in keep}
+    found = each_row(parts(rows.withColumns(both)), [*names, *both], fields, ["aseq", "bseq", "abpos"], make)
+    return found.withColumnsRenamed({c: c[1:] for c in both}) if both else found
 
 
 def from_cigar(rows: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
-    """Rows (cigar, abpos; aseq, bseq from the alignment's begin on where M occurs, else null) with their trace."""
-
-    def make(r):
-        ops = dense(r["cigar"], r.get("aseq") or "", r.get("bseq") or "")
-        trace = tiles(ops, r["abpos"], ts)
-        return sum(t["err"] for t in trace), trace
-
-    return _spans(rows, keep, [T.StructField("diffs", T.LongType()), T.StructField("trace", TRACE)], make)
-
-
-def md(ops: str, a: str) -> str:
-    """The MD tag of an alignment to ``a``, the aligned part of the reference: runs of matches, the reference's base at each
-    mismatch, and ``^`` before deleted ones."""
-    out, run, i = [], 0, 0
-    for op, g in groupby(ops):
-        n = len(list(g))
-        if op == "=":
-            run += n
-        elif op == "X":
-            for c in a[i : i + n]:
-                out += [str(run), c]
-                run = 0
-        elif op == "D":
-            out += [str(run), "^", a[i : i + n]]
-            run = 0
-        i += n if op != "I" else 0
-    return "".join([*out, str(run)])
+    """Rows (cigar, abpos; aseq, bseq from the alignment's begin on where M occurs, else null) with their trace, cut from the
+    runs of the CIGAR string."""
+    bases = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("aseq", "bseq")}
+
+    def make(text, ab, a, b):
+        new = edits.tiles(edits.parse(text, a or "", b or ""), ab, ts)
+        return sum(t["err"] for t in new), new
+
+    return each_row(rows.withColumns(bases), keep, _TRACED, ["cigar", "abpos", "aseq", "bseq"], make)
 
 
 def sam_tags(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Rows (cigar, aseq and bseq from the alignment's begin on) with nm, the errors, md, and as, matches less errors."""
 
-    def make(r):
-        ops = dense(r["cigar"], r["aseq"], r["bseq"])
-        errors = len(ops) - ops.count("=")
-        return errors, md(ops, r["aseq"]), ops.count("=") - errors
-
-    return _spans(rows, keep, [T.StructField("nm", T.LongType()), T.StructField("md", T.StringType()), T.StructField("as", T.LongType())], make)
-
-
-#: An extension ends where its score, a point a match and EXTEND_COST less an error, is EXTEND_DROP below its best, or its
-#: band of so many bases to either side of the diagonal does; so many bases are tried at a time.
-EXTEND_COST, EXTEND_DROP, EXTEND_BAND = 3, 100, 128
-
-
-def extend(a: str, b: str) -> tuple[int, int]:
-    """How far on ``a`` and ``b`` their best alignment from their begins reaches; in a band, memory by its width."""
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    band, low = EXTEND_BAND, np.int64(-(1 << 40))
-    offset = np.arange(-band, band + 1)
-    padded = np.concatenate([np.zeros(band + 1, np.uint8), y, np.zeros(len(x) + band + 1, np.uint8)])
-    score = np.where(offset >= 0, -EXTEND_COST * offset, low)  # by the place on b, less that on a
-    best, at = 0, (0, 0)
-    for i in range(1, len(x) + 1):
-        j = offset + i
-        fit = padded[i : i + 2 * band + 1] == x[i - 1]  # b's base before place j
-        step = np.where(j >= 1, score + np.where(fit, 1, -EXTEND_COST), low)
-        gone = np.concatenate([score[1:], [low]]) - EXTEND_COST  # a base of a without one of b
-        score = np.where((j >= 0) & (j <= len(y)), np.maximum(step, gone), low)
-        score = np.maximum.accumulate(score + EXTEND_COST * offset) - EXTEND_COST * offset
-        score = np.where((j >= 0) & (j <= len(y)), score, low)
-        k = int(score.argmax())
-        if score[k] > best:
-            best, at = int(score[k]), (i, int(j[k]))
-        if score[k] < best - EXTEND_DROP:
-            break
-    return at
-
-
-def extend_seeds(pairs: DataFrame, k: int = 14, min_length: int = 1000, ts: int = 100) -> DataFrame:
-    """Alignments of the pairs (aread, bread, is_inverse, aseq, bseq with B oriented) from their seeds.
-
-    ``pairs`` holds ``seeds``: [(diagonal, apos)]. In the order of diagonals, a seed that lies on a match of an alignment
-    found before is skipped; from others the alignment is extended to both sides. Kept if the A span has ``min_length``. Of
-    two alignments that share a trace point, where 95 % of the shorter A span lies in the other, the longer stays.
+    def make(text, a, b):
+        runs = edits.parse(text, a, b)
+        n = edits.errors(runs)
+        return n, edits.md(runs, a), edits.stats(runs)["matches"] - n
+
+    return each_row(rows, keep, [*_longs(["nm"]), T.StructField("md", T.StringType()), *_longs(["as"])], ["cigar", "aseq", "bseq"], make)
+
+
+def scripts(ovl: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
+    """Overlaps (with aseq, bseq and trace) with their CIGAR string, nm, md and as, all from one pass over their tiles."""
+
+    def make(a, b, ab, ae, trace):
+        runs = edits.from_tiles(a, b, ab, ae, trace, ts)
+        n = edits.errors(runs)
+        return edits.cigar(runs), n, edits.md(runs, a), edits.stats(runs)["matches"] - n
+
+    fields = [T.StructField("cigar", T.StringType()), *_longs(["nm"]), T.StructField("md", T.StringType()), *_longs(["as"])]
+    return each_row(parts(ovl), keep, fields, _TILED, make)
+
+
+def _codes(seq: str, k: int) -> np.ndarray:
+    """The k-mer at each place as a number; -1 where a base isn't one of ACGT."""
+    of = np.full(256, -1, np.int64)
+    of[list(b"ACGT")] = range(4)
+    base = of[np.frombuffer(seq.encode(), np.uint8)]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    code, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(k):
+        code = code * 4 + base[i : i + n]
+        bad |= base[i : i + n] < 0
+    return np.where(bad, -1, code)
+
+
+#: Seeds of a pair that are listed at a time.
+SEEDS = 1 << 20
+
+
+def seeds_by_diagonal(a: str, b: str, k: int):
+    """(diagonal, ascending places on A) of the k-mers that two sequences share, by ascending diagonal. Up to SEEDS are listed
+    and sorted; if k-mers repeat so often that there are more, diagonals are searched one after another, so that only
+    the seeds of one are held."""
+    x, y = _codes(a, k), _codes(b, k)
+    order = np.argsort(y, kind="stable")
+    first, last = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    n = np.where(x >= 0, last - first, 0)
+    if n.sum() <= SEEDS:
+        pa = np.repeat(np.arange(len(x)), n)
+        d = pa - order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(pa))] if len(pa) else pa
+        sort = np.lexsort((pa, d))
+        pa, d = pa[sort], d[sort]
+        ends = np.flatnonzero(np.diff(d, append=d[-1:] + 1)) + 1
+        for s, e in zip([0, *ends[:-1]], ends):
+            yield int(d[s]), pa[s:e]
+        return
+    both = np.intersect1d(x[x >= 0], y[y >= 0])
+    pa, pb = np.flatnonzero(np.isin(x, both)), np.flatnonzero(np.isin(y, both))
+    if not len(pa):
+        return
+    have = np.full(len(y), -2, np.int64)
+    have[pb] = y[pb]
+    for d in range(int(pa[0] - pb[-1]), int(pa[-1] - pb[0]) + 1):
+        part = pa[np.searchsorted(pa, pb[0] + d) : np.searchsorted(pa, pb[-1] + d, side="right")]
+        hits = part[have[part - d] == x[part]]
+        if len(hits):
+            yield d, hits
+
+
+class Covered:
+    """Runs of matches of a diagonal as disjoint ascending intervals."""
+
+    def __init__(self):
+        self.begin: list[int] = []
+        self.end: list[int] = []
+
+    def add(self, begin: int, end: int) -> None:
+        i, j = bisect.bisect_left(self.end, begin), bisect.bisect_right(self.begin, end)
+        if i < j:
+            begin, end = min(begin, self.begin[i]), max(end, self.end[j - 1])
+        self.begin[i:j], self.end[i:j] = [begin], [end]
+
+    def holds(self, begin: int, end: int) -> bool:
+        i = bisect.bisect_right(self.begin, begin) - 1
+        return i >= 0 and end <= self.end[i]
+
+
+def through(a: str, b: str, apos: int, bpos: int, itself: bool = False) -> tuple[int, int, int, int, edits.Runs]:
+    """The alignment that extends from a pair of places to both sides: abpos, aepos, bbpos, bepos and its script. ``itself``:
+    both are one read, and no place is aligned with itself."""
+    d = apos - bpos
+    low, high = (1 - d, None) if itself and d > 0 else (None, -d - 1) if itself else (None, None)
+    back = edits.extend(a[:apos][::-1], b[:bpos][::-1], None if high is None else -high, None if low is None else -low)
+    ahead = edits.extend(a[apos:], b[bpos:], low, high)
+    (i, j), (m, n) = edits.spans(back), edits.spans(ahead)
+    return apos - i, apos + m, bpos - j, bpos + n, edits.merged([*back[::-1], *ahead])
+
+
+def pair_alignments(a: str, b: str, itself: bool, k: int, min_length: int, ts: int) -> list[tuple]:
+    """(abpos, aepos, bbpos, bepos, errors, trace) of the alignments between two sequences that start from their seeds.
+
+    Seeds come by diagonal and place; one that lies on a match of an alignment found before is skipped. An alignment is kept
+    if its A span has ``min_length``. Of two that share a trace point, where 95 % of the shorter A span lies in the other,
+    the longer stays, the first if they are even. ``itself``: places aren't aligned with themselves.
     """
-    fields = [T.StructField(n, T.LongType()) for n in ("aread", "bread")] + [T.StructField("is_inverse", T.BooleanType())]
-    fields += [T.StructField(n, T.LongType()) for n in ("abpos", "aepos", "bbpos", "bepos", "diffs")] + [T.StructField("trace", TRACE)]
-
-    def one(r) -> list[tuple]:
-        aseq, bseq = r["aseq"], r["bseq"]
-        found: list[tuple] = []
-        matched: dict[int, list[tuple[int, int]]] = {}  # by diagonal: runs of matches of all that was found
-        for diagonal, apos in sorted((int(s["diagonal"]), int(s["apos"])) for s in r["seeds"]):
-            if any(begin <= apos and apos + k <= end for begin, end in matched.get(diagonal, ())):
+    covered: dict[int, Covered] = {}
+    found: list[tuple] = []
+    for d, places in seeds_by_diagonal(a, b, k):
+        for gone in [x for x in covered if x < d]:
+            del covered[gone]
+        if itself and d == 0:
+            continue
+        for apos in places.tolist():
+            if d in covered and covered[d].holds(apos, apos + k):
                 continue
-            bpos = apos - diagonal
-            i, j = extend(aseq[:apos][::-1], bseq[:bpos][::-1])
-            m, n = extend(aseq[apos:], bseq[bpos:])
-            x = (apos - i, apos + m, bpos - j, bpos + n)
-            ops = align(aseq[x[0] : x[1]], bseq[x[2] : x[3]])
-            for begin, size, d in match_runs(ops, x[0], x[2]):
-                matched.setdefault(d, []).append((begin, begin + size))
-            if m + i >= min_length:
-                trace = tiles(ops, x[0], ts)
-                points = set(zip(range((x[0] // ts + 1) * ts, x[1], ts), (x[2] + np.cumsum([t["blen"] for t in trace])).tolist()))
-                found.append((*x, sum(t["err"] for t in trace), trace, points))
-        kept: list[tuple] = []
-        for x in sorted(found, key=lambda x: (x[0] - x[1], x[:4])):
-            if not any(x[6] & y[6] and min(x[1], y[1]) - max(x[0], y[0]) >= 0.95 * (x[1] - x[0]) for y in kept):
-                kept.append(x)
-        return [(r["aread"], r["bread"], r["is_inverse"], *x[:6]) for x in kept]
+            ab, ae, bb, be, runs = through(a, b, apos, apos - d, itself)
+            for begin, size, at in edits.match_runs(runs, ab, bb):
+                if at >= d:
+                    covered.setdefault(at, Covered()).add(begin, begin + size)
+            if ae - ab >= min_length:
+                trace = edits.tiles(runs, ab, ts)
+                points = set(zip(range((ab // ts + 1) * ts, ae, ts), (bb + np.cumsum([t["blen"] for t in trace])).tolist()))
+                found.append((ab, ae, bb, be, edits.errors(runs), trace, points))
+    kept: list[tuple] = []
+    through_point: dict[tuple[int, int], list[tuple]] = {}
+    for x in sorted(found, key=lambda x: (x[0] - x[1], x[:5])):
+        near = (y for p in x[6] for y in through_point.get(p, ()))
+        if not any(min(x[1], y[1]) - max(x[0], y[0]) >= 0.95 * (x[1] - x[0]) for y in near):
+            kept.append(x)
+            for p in x[6]:
+                through_point.setdefault(p, []).append(x)
+    return [x[:6] for x in kept]
+
+
+def tandem_alignments(pairs: DataFrame, reads: DataFrame, k: int = 14, min_length: int = 1000, ts: int = 100) -> DataFrame:
+    """Alignments (SPAN, diffs, trace) of each pair (aread, bread) on both strands of B, as by ``pair_alignments``; of a read with
+    itself too (reads: read_id, seq). A pair listed several times counts once; one with an unknown read has none.
+
+    Each pair and strand is a row of its own, so that the pairs of a frequent read are spread over all tasks.
+    """
+    strands = pairs.select("aread", "bread").distinct().withColumn("is_inverse", F.explode(F.array(F.lit(False), F.lit(True))))
+    full = strands.join(reads.select(F.col("read_id").alias("aread"), F.col("seq").alias("aseq")), "aread")
+    full = full.join(reads.select(F.col("read_id").alias("bread"), F.col("seq").alias("bseq")), "bread")
+    full = full.withColumn("bseq", F.when(F.col("is_inverse"), revcomp(F.col("bseq"))).otherwise(F.col("bseq")))
+    full = full.where(F.length("aseq") >= min_length).repartition("aread", "bread", "is_inverse")
 
-    def run(parts):
-        for p in parts:
-            yield pd.DataFrame([x for r in p.to_dict("records") for x in one(r)], columns=[f.name for f in fields])
+    def make(a, b, aread, bread, inverse):
+        return [[{"abpos": x[0], "aepos": x[1], "bbpos": x[2], "bepos": x[3], "diffs": x[4], "trace": x[5]} for x in pair_alignments(a, b, aread == bread and not inverse, k, min_length, ts)]]
+
+    one = T.StructType([*_longs(["abpos", "aepos", "bbpos", "bepos", "diffs"]), T.StructField("trace", TRACE)])
+    names = ["aread", "bread", "is_inverse"]
+    found = each_row(full, names, [T.StructField("found", T.ArrayType(one))], ["aseq", "bseq", *names], make)
+    return found.select(*names, F.inline("found"))
+
+
+def correct_spans(rows: DataFrame, keep: list[str], ts: int = 100, k: int = 14) -> DataFrame:
+    """Rows (aseq, bseq, and spans that are only roughly right) with the spans, diffs and trace of the alignment that extends to both
+    sides from an anchor in the stated spans: both ends may move in or out.
+
+    The anchor is the seed of ``k`` bases within the stated spans that lies nearest to their corners' diagonal, by its place at
+    the middle if several do; without a seed the spans are aligned from end to end as they are.
+    """
+    names = [c for c in keep if c not in ("abpos", "aepos", "bbpos", "bepos")]
+
+    def make(a, b, ab, ae, bb, be):
+        x, y = a[ab:ae], b[bb:be]
+        best = min(((abs(2 * d - len(x) + len(y)), abs(2 * int(p) - len(x)), d, int(p)) for d, at in seeds_by_diagonal(x, y, k) for p in at[[np.abs(2 * at - len(x)).argmin()]]), default=None)
+        if best:
+            ab, ae, bb, be, runs = through(a, b, ab + best[3], bb + best[3] - best[2])
+        else:
+            runs = edits.align(x, y)
+        trace = edits.tiles(runs, ab, ts)
+        return ab, ae, bb, be, edits.errors(runs), trace
 
-    return pairs.mapInPandas(run, T.StructType(fields))
+    return each_row(rows, names, [*_longs(["abpos", "aepos", "bbpos", "bepos"]), *_TRACED], ["aseq", "bseq", "abpos", "aepos", "bbpos", "bepos"], make)

@@ -17,17 +17,3 @@ def coverage(reads: DataFrame, genome: int, block_bases: int) -> DataFrame:
     sized = total.select("bases", cov.alias("coverage"), F.greatest(F.lit(1), F.ceil(F.col("bases") / F.lit(float(block_bases)))).cast("long").alias("blocks"))
     rounds = [F.floor(F.lit(g * 2 * f) * F.col("coverage") / F.col("blocks")).cast("long").alias(f"repeat{i}") for i, (g, f) in enumerate(REPEAT_ROUNDS, 1)]
     return sized.select("*", *rounds)
-
-
-def batch_plan(lines: DataFrame) -> DataFrame:
-    """(batch_idx, label, cmd_idx, command) from (line_no, line): a line that starts with ``#`` opens a batch and labels
-    it; other lines that aren't blank are its commands. Lines before the first label form batch 0 without a label."""
-    from pyspark.sql.window import Window
-
-    order = Window.orderBy("line_no")
-    head = F.col("line").startswith("#")
-    numbered = lines.withColumn("batch_idx", F.sum(head.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    labels = numbered.where(head).select("batch_idx", F.trim(F.expr("substring(line, 2)")).alias("label"))
-    commands = numbered.where(~head & (F.trim("line") != ""))
-    commands = commands.withColumn("cmd_idx", F.row_number().over(Window.partitionBy("batch_idx").orderBy("line_no")) - 1)
-    return commands.join(labels, "batch_idx", "left").select("batch_idx", "label", F.col("cmd_idx").cast("long").alias("cmd_idx"), F.col("line").alias("command"))

@@ -55,8 +55,8 @@ def lines(spark: SparkSession, path: str | list[str], records: int = 4) -> DataF
 
 
 def fastq_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """As ``fastq``, from files."""
-    return fastq(lines(spark, path).where(F.col("value") != ""))
+    """As ``fastq``, from files; a read may be without bases. Empty lines behind the last record are left out."""
+    return fastq(lines(spark, path).where((F.col("value") != "") | (F.col("line_no") % 4 != 0)))
 
 
 def kind(first: Column) -> Column:
@@ -70,7 +70,7 @@ def paf(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.withColumn("f", f).where(F.size("f") >= 12)
     longs = {"qlen": 1, "qstart": 2, "qend": 3, "tlen": 6, "tstart": 7, "tend": 8, "matches": 9, "alen": 10, "mapq": 11}
-    tag = F.try_element_at(F.filter(F.slice("f", 13, 1 << 20), lambda t: t.startswith("cg:Z:")), F.lit(1))
+    tag = F.try_element_at(F.filter(F.slice("f", F.lit(13), F.size("f")), lambda t: t.startswith("cg:Z:")), F.lit(1))
     return rows.select(
         "line_no", F.col("f")[0].alias("qname"), F.col("f")[5].alias("tname"), is_inverse(F.col("f")[4]).alias("is_inverse"),
         *(F.col("f")[i].cast("long").alias(n) for n, i in longs.items()), F.substr(tag, F.lit(6)).alias("cigar"),
@@ -105,7 +105,7 @@ def sam(lines: DataFrame) -> DataFrame:
     """SAM records from (line_no, value); header lines are left out."""
     names = [("qname", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string")]
     f = F.split("value", "\t")
-    return lines.where(~F.col("value").startswith("@")).withColumn("f", f).where(F.size("f") >= 11).select("line_no", *(F.col("f")[i].cast(t).alias(n) for i, (n, t) in enumerate(names)), F.slice("f", 12, 1 << 20).alias("tags"))
+    return lines.where(~F.col("value").startswith("@")).withColumn("f", f).where(F.size("f") >= 11).select("line_no", *(F.col("f")[i].cast(t).alias(n) for i, (n, t) in enumerate(names)), F.slice("f", F.lit(12), F.size("f")).alias("tags"))
 
 
 def sam_text(rows: DataFrame) -> DataFrame:

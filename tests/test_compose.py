@@ -1,13 +1,12 @@
 """Operators that are composed of others: exports, conversions with traces, long alignments, bridging."""
 
 import random
-import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.functions import cigar
-from readloom.operators import bridge, convert, export, joins, kernels
+from readloom.functions import cigar, edits
+from readloom.operators import bridge, convert, export
 from readloom.sources import text
 
 
@@ -15,53 +14,6 @@ def mutated(rng, a, share):
     return "".join(c if (x := rng.random()) > share else rng.choice("ACGT") if x > share / 2 else rng.choice(["", c + rng.choice("ACGT")]) for c in a)
 
 
-def test_long_alignments_cost_as_a_table_says(monkeypatch):
-    rng = random.Random(2)
-    pairs = [(a := "".join(rng.choices("ACGT", k=rng.randrange(1, 400))), mutated(rng, a, rng.choice([0, 0.02, 0.3]))) for _ in range(40)]
-    pairs += [("A" * 50, "C" * 70), ("", "ACG"), ("ACG", ""), ("AC" * 30, "CA" * 35)]
-    for a, b in pairs:
-        whole = kernels.align(a, b)
-        monkeypatch.setattr(kernels, "CELLS", 64)
-        cut = kernels.align(a, b)
-        monkeypatch.undo()
-        for ops in (whole, cut):
-            assert sum(o != "I" for o in ops) == len(a) and sum(o != "D" for o in ops) == len(b)
-            assert kernels.dense(kernels.cigar(ops).replace("=", "M").replace("X", "M"), a, b).count("=") == ops.count("=")
-        assert len(whole) - whole.count("=") == len(cut) - cut.count("=")
-
-
-def test_long_alignment_memory():
-    rng = random.Random(4)
-    a = "".join(rng.choices("ACGT", k=6_000))
-    b = mutated(rng, a, 0.1)
-    tracemalloc.start()
-    ops = kernels.align(a, b)
-    assert tracemalloc.get_traced_memory()[1] < 20 << 20
-    tracemalloc.stop()
-    assert len(ops) - ops.count("=") <= 0.1 * len(a)
-
-
-def test_extension_goes_beyond_seeds(spark):
-    rng = random.Random(9)
-    core = "".join(rng.choices("ACGT", k=1500))
-    a, b = "".join(rng.choices("ACGT", k=300)) + core + "".join(rng.choices("ACGT", k=200)), mutated(rng, core, 0.08)
-    at = 300 + 700
-    reads = spark.createDataFrame([(1, a), (2, b)], "read_id long, seq string")
-    s = joins.seeds(reads, spark.createDataFrame([(1, 2)], "aread long, bread long"), 14)
-    one = s.where(F.col("apos") >= at).orderBy("apos").limit(1).groupBy("aread", "bread").agg(F.collect_list(F.struct("diagonal", "apos")).alias("seeds"))
-    (got,) = kernels.extend_seeds(joins.with_sequences(one.withColumn("is_inverse", F.lit(False)), reads), 14, 1000).collect()
-    assert abs(got.abpos - 300) < 30 and abs(got.aepos - 1800) < 30 and got.bbpos < 30 and got.bepos > len(b) - 30
-    every = s.groupBy("aread", "bread").agg(F.collect_list(F.struct("diagonal", "apos")).alias("seeds"))
-    assert kernels.extend_seeds(joins.with_sequences(every.withColumn("is_inverse", F.lit(False)), reads), 14, 1000).count() == 1
-
-
-def test_md_and_tags(spark):
-    assert kernels.md("==X=DD=I=", "ACGTACGG") == "2G1^AC2"
-    rows = spark.createDataFrame([("2M1X1I2D3=", "ACGTTACG", "ACTGACG")], "cigar string, aseq string, bseq string")
-    got = kernels.sam_tags(rows, ["cigar"]).first()
-    assert (got.nm, got.md, got["as"]) == (4, "2G0^TT3", 1)
-
-
 def test_stored_bases(spark):
     rows = [(1, 0, 2, 6, 8, "4="), (1, 256, 2, 6, 8, "4="), (2, 16 | 2048, 1, 4, 4, "3=")]
     sam = spark.createDataFrame(rows, "bread long, flag int, bbpos long, bepos long, blen long, cigar string")
@@ -111,16 +63,46 @@ def test_exports(spark, tmp_path):
 
 
 def test_bridge(spark):
+    """Against the same rounds over lists, on both strands; a gap of another length or of unlike bases isn't bridged."""
     rng = random.Random(12)
-    a = "".join(rng.choices("ACGT", k=3000))
+    a = "".join(rng.choices("ACGT", k=6000))
     b = mutated(rng, a, 0.02)
-    reads = spark.createDataFrame([(1, len(a), a), (2, len(b), b)], "read_id long, rlen long, seq string")
+    c = a[:2500] + "".join(rng.choices("ACGT", k=1000)) + a[3500:]
+    rc = b[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seqs = {1: a, 2: b, 3: rc, 4: c}
+    reads = spark.createDataFrame([(i, len(s), s) for i, s in seqs.items()], "read_id long, rlen long, seq string")
+    masks = [(1, 2000, 2600), (1, 2900, 3300), (1, 4500, 4600)]
+    spans = [(0, 2550), (100, 2540), (1600, 3350), (1700, 3450), (2500, 3820), (2600, 5000), (4050, 6000)]
     shift = len(b) - len(a)
-    rows = [(1, 2, False, 0, 1100, 0, 1100, 3000, len(b), 0), (1, 2, False, 1900, 3000, 1900 + shift, len(b), 3000, len(b), 1)]
-    ovl = spark.createDataFrame(rows, "aread long, bread long, is_inverse boolean, abpos long, aepos long, bbpos long, bepos long, alen long, blen long, src_id long")
-    masks = spark.createDataFrame([(1, 1000, 2000)], "read_id long, ifrom long, ito long")
-    got = {r.aread: r for r in bridge.bridge(ovl, masks, reads, ["src_id"]).collect()}
-    assert (got[1].abpos, got[1].aepos, got[1].bbpos, got[1].bepos) == (1100, 1900, 1100, 1900 + shift)
-    assert (got[2].abpos, got[2].aepos, got[2].bbpos, got[2].bepos) == (1100, 1900 + shift, 1100, 1900) and got[2].diffs == got[1].diffs < 40
-    assert sum(t.blen for t in got[1].trace) == 800 + shift and sum(t.blen for t in got[2].trace) == 800
-    assert bridge.bridge(ovl, masks.where("ito < 0"), reads, ["src_id"]).collect() == []
+    rows = [(1, x, x == 3, s, e, s + shift * (s > 3000), e + shift * (e > 3000), len(a), len(seqs[x])) for x in (2, 3, 4) for s, e in spans]
+    rows = [(*r[:5], min(r[5], len(seqs[r[1]])), min(r[6], len(seqs[r[1]])), *r[7:]) for r in rows] + [(1, 2, False, 0, 2600, 0, 5500, len(a), len(b))]
+    ovl = spark.createDataFrame(rows, "aread long, bread long, is_inverse boolean, abpos long, aepos long, bbpos long, bepos long, alen long, blen long")
+    got = bridge.bridge(ovl, spark.createDataFrame(masks, "read_id long, ifrom long, ito long"), reads, border=500).collect()
+
+    every, want = {r[:7] for r in rows}, set()
+    while True:
+        new = set()
+        for _, lo, hi in masks:
+            for group in {r[:3] for r in every}:
+                own = [r for r in every if r[:3] == group]
+                if any(r[3] <= lo - 500 and r[4] >= hi + 500 for r in own):
+                    continue
+                for x in own:
+                    for y in own:
+                        if x[3] <= lo - 500 and x[4] >= lo + 500 and y[3] <= hi - 500 and y[4] >= hi + 500:
+                            n, m = y[4] - x[3], y[6] - x[5]
+                            s = b if group[2] else seqs[group[1]]
+                            if m > 0 and abs(n - m) / min(n, m) <= 0.3 and edits.window_error(edits.align(a[x[3] : y[4]], s[x[5] : y[6]])) <= 0.4:
+                                new.add((*group, x[3], y[4], x[5], y[6]))
+        if not new - every:
+            break
+        want |= new
+        every |= new
+    assert {tuple(r[c] for c in bridge.SPAN) for r in got if r.aread == 1} == want and len({r[1] for r in want}) >= 2
+    seen = {(r.bread, r.aread, r.is_inverse, r.alen - r.aepos if r.is_inverse else r.abpos) for r in got if r.aread != 1}
+    assert seen == {(*w[:3], w[5]) for w in want}
+    assert len(got) == 2 * len(want) and all(sum(t.blen for t in r.trace) == r.bepos - r.bbpos and sum(t.err for t in r.trace) == r.diffs for r in got)
+    none = spark.createDataFrame(masks, "read_id long, ifrom long, ito long").where("ito < 0")
+    assert bridge.bridge(ovl, none, reads).collect() == []
+    with pytest.raises(RuntimeError):
+        bridge.bridge(ovl, spark.createDataFrame(masks, "read_id long, ifrom long, ito long"), reads, rounds=1)

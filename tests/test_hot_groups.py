@@ -2,8 +2,10 @@
 
 import random
 from collections import defaultdict
+from hashlib import md5
 
 from readloom.operators import dedup, order
+from readloom.schema import CONTENT
 
 
 def test_primary_of_a_hot_read(spark):
@@ -22,34 +24,53 @@ def test_primary_of_a_hot_read(spark):
     assert len(marks) == len(rows) and {r.src_id for r in marks if r.is_primary} == want
 
 
-def all_pairs(rows, ts):
-    """Fusion by the set of all pairs that share a point."""
-    key = lambda r: (r["abpos"], r["aepos"], r["bbpos"], r["bepos"], r["diffs"])
-    live, gone = sorted(rows, key=key), []
+def node(r):
+    t = ",".join(f"{x['err']}:{x['blen']}" for x in r["trace"])
+    return md5("|".join([*(str(r[c]).lower() for c in CONTENT), t]).encode()).hexdigest()
+
+
+def points(r, ts):
+    """Inner trace points (apos, bpos) -> tiles before them."""
+    a, b, out = r["abpos"] // ts * ts, r["bbpos"], {}
+    for i, t in enumerate(r["trace"][:-1]):
+        a, b = a + ts, b + t["blen"]
+        out[a, b] = i + 1
+    return out
+
+
+def plain_fusion(rows, ts):
+    """The rounds of ``dedup.fuse`` over the rows of one group."""
+    live, gone = {node(r): r for r in rows}, []
     while True:
-        points, seen, pairs = [dedup._points(r, ts) for r in live], defaultdict(list), set()
-        for i, p in enumerate(points):
-            for at in p:
-                pairs.update((j, i) for j in seen[at])
-                seen[at].append(i)
-        dead, used, new = set(), set(), []
-        for i, j in sorted(pairs):
-            if {i, j} & (dead | used):
-                continue
-            x, y = live[i], live[j]
-            if x["abpos"] <= y["abpos"] and y["aepos"] <= x["aepos"]:
-                dead.add(j)
-            elif y["abpos"] <= x["abpos"] and x["aepos"] <= y["aepos"]:
-                dead.add(i)
-            else:
-                at = min(points[i].keys() & points[j].keys())
-                trace = [*x["trace"][: points[i][at]], *y["trace"][points[j][at] :]]
-                new.append({**x, "aepos": y["aepos"], "bepos": y["bepos"], "trace": trace, "diffs": sum(t["err"] for t in trace)})
-                used |= {i, j}
-        if not dead and not new:
-            return live, gone
-        gone += [live[i] for i in sorted(dead | used)]
-        live = sorted([r for i, r in enumerate(live) if i not in dead | used] + new, key=key)
+        at = {n: points(r, ts) for n, r in live.items()}
+        through = defaultdict(list)
+        for n in live:
+            for p in at[n]:
+                through[p].append(n)
+        key = lambda n: (live[n]["abpos"], -live[n]["aepos"], live[n]["bbpos"], live[n]["bepos"], live[n]["diffs"], n)
+        dead = {n for line in through.values() for n in line for o in line if key(o) < key(n) and live[o]["aepos"] >= live[n]["aepos"]}
+        edges = {}
+        for (apos, _), line in through.items():
+            left = sorted((n for n in line if n not in dead), key=key)
+            for u, v in zip(left, left[1:]):
+                edges[u, v] = min(apos, edges.get((u, v), apos))
+        best = {}
+        for u, v in edges:
+            e = (md5((u + v).encode()).hexdigest(), u, v)
+            for n in (u, v):
+                best[n] = min(e, best.get(n, e))
+        chosen = [(u, v) for u, v in edges if best[u] == best[v]]
+        if not dead and not chosen:
+            return list(live.values()), gone
+        new = []
+        for u, v in chosen:
+            x, y, apos = live[u], live[v], edges[u, v]
+            (i,), (j,) = ([k for p, k in at[n].items() if p[0] == apos] for n in (u, v))
+            trace = [*x["trace"][:i], *y["trace"][j:]]
+            new.append({**x, "aepos": y["aepos"], "bepos": y["bepos"], "trace": trace, "diffs": sum(t["err"] for t in trace)})
+        ended = dead | {n for e in chosen for n in e}
+        gone += [live[n] for n in ended]
+        live = {n: r for n, r in live.items() if n not in ended} | {node(r): r for r in new}
 
 
 def overlap(rng, n, reach, shifts, bread=2):
@@ -61,30 +82,30 @@ def overlap(rng, n, reach, shifts, bread=2):
     return {"aread": 1, "bread": bread, "is_inverse": False, "abpos": a, "aepos": (a // 100 + tiles) * 100, "bbpos": b, "bepos": b + sum(blens), "diffs": n, "trace": trace}
 
 
-def test_fusion_like_all_pairs():
-    for seed in range(60):
-        rng = random.Random(seed)
-        rows = [overlap(rng, n, 200, 1 + seed % 3) for n in range(40)]
-        assert dedup.fuse_group(rows, 100) == all_pairs(rows, 100)
-
-
-def test_thousands_through_one_point():
-    row = lambda a, b: {"aread": 1, "bread": 2, "is_inverse": False, "abpos": a, "aepos": b, "bbpos": a, "bepos": b, "diffs": 0, "trace": [{"err": 0, "blen": 100}] * (-(-b // 100) - a // 100)}
-    live, gone = dedup.fuse_group([row(100 * i, 2_000_00 + 100 * i) for i in range(1, 600)] + [row(0, 10_000_00)], 100)
-    assert [(r["abpos"], r["aepos"]) for r in live] == [(0, 10_000_00)] and len(gone) == 599
+SCHEMA = "aread long, bread long, is_inverse boolean, abpos long, aepos long, bbpos long, bepos long, diffs long, trace array<struct<err:int,blen:int>>"
 
 
-def test_a_hot_pair_in_components(spark):
-    rng = random.Random(7)
-    rows = [overlap(rng, n, 3000, 4, 2 if n % 3 else n) for n in range(1500)]
-    schema = "aread long, bread long, is_inverse boolean, abpos long, aepos long, bbpos long, bepos long, diffs long, trace array<struct<err:int,blen:int>>"
-    o = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
-    text = lambda r: (r["bread"], r["abpos"], r["aepos"], r["bbpos"], r["bepos"], r["diffs"], [(t["err"], t["blen"]) for t in r["trace"]])
+def check(spark, rows):
+    text = lambda r: (r["aread"], r["bread"], r["abpos"], r["aepos"], r["bbpos"], r["bepos"], r["diffs"], [(t["err"], t["blen"]) for t in r["trace"]])
     groups = defaultdict(list)
     for r in rows:
         groups[r["bread"]].append(r)
-    want = [(text(r), flag) for g in groups.values() for flag, part in zip((False, True), all_pairs(g, 100)) for r in part]
-    out = dedup.fuse(o)
-    assert "root" in str(out._jdf.queryExecution().analyzed())
-    assert sorted((text(r), r["removed"]) for r in out.collect()) == sorted(want)
-    assert any(flag for _, flag in want)
+    want = [(text(r), flag) for g in groups.values() for flag, part in zip((False, True), plain_fusion(g, 100)) for r in part]
+    got = dedup.fuse(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)).collect()
+    assert sorted((text(r), r["removed"]) for r in got) == sorted(want)
+    return got
+
+
+def test_fusion_like_a_plain_version(spark):
+    rng = random.Random(7)
+    rows = [overlap(rng, n % 5, 200, 1 + n % 3, 100 + n // 40) for n in range(600)]
+    got = check(spark, rows + rows[:50])
+    assert any(r.removed for r in got) and dedup.fuse(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_chain_through_one_point(spark):
+    """Thousands of rows share a point and none holds another: all become one, in few rounds."""
+    row = lambda a, b: {"aread": 1, "bread": 2, "is_inverse": False, "abpos": a, "aepos": b, "bbpos": a, "bepos": b, "diffs": 0, "trace": [{"err": 0, "blen": min(b, t + 100) - max(a, t)} for t in range(a // 100 * 100, b, 100)]}
+    rows = [row(i, 6000 + i) for i in range(0, 3000, 2)]
+    out = dedup.fuse(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA), rounds=40).where("not removed").collect()
+    assert [(r.abpos, r.aepos) for r in out] == [(0, 8998)]

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.functions import edits
 from readloom.operators import dedup, filters, intervals, joins, kernels, order, renumber, transform
-from readloom.plans.sizing import batch_plan
 from readloom.schema import order_keys
 from readloom.sources import text
 from readloom.streaming import arrivals
@@ -50,15 +50,16 @@ def trace(n, blen=100):
     return [{"err": 1, "blen": blen}] * n
 
 
-def test_containment_and_fusion():
-    row = lambda a, b: {"aread": 1, "bread": 2, "is_inverse": False, "abpos": a, "aepos": b, "bbpos": a, "bepos": b, "diffs": 0, "trace": trace((b - a) // 100)}
-    live, gone = dedup.fuse_group([row(0, 500), row(100, 300)], 100)
-    assert [(r["abpos"], r["aepos"]) for r in live] == [(0, 500)] and len(gone) == 1
-    live, gone = dedup.fuse_group([row(0, 200), row(100, 300)], 100)
-    assert len(live) == 2  # they share no inner point
-    live, gone = dedup.fuse_group([row(0, 300), row(100, 500), row(900, 1000)], 100)
-    assert [(r["abpos"], r["aepos"], r["bepos"], r["diffs"]) for r in live] == [(0, 500, 500, 5), (900, 1000, 1000, 0)] and len(gone) == 2
-    assert dedup.fuse_group(live, 100) == (live, [])
+def test_containment_and_fusion(spark):
+    row = lambda a, b: (1, 2, False, a, b, a, b, 0, 1000, 1000, 0, trace((b - a) // 100))
+
+    def fused(*rows):
+        out = dedup.fuse(ovl(spark, list(rows), TRACED)).collect()
+        return [sorted((r.abpos, r.aepos, len(r.trace)) for r in out if r.removed == x) for x in (False, True)]
+
+    assert fused(row(0, 500), row(100, 300)) == [[(0, 500, 5)], [(100, 300, 2)]]
+    assert fused(row(0, 500), row(300, 800)) == [[(0, 800, 8)], [(0, 500, 5), (300, 800, 5)]]
+    assert fused(row(0, 300), row(300, 600)) == [[(0, 300, 3), (300, 600, 3)], []]
 
 
 def test_chain_links_stay_behind_their_head(spark):
@@ -117,38 +118,13 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_align():
-    rng = random.Random(1)
-    for _ in range(60):
-        a = "".join(rng.choices("ACGT", k=rng.randrange(40)))
-        b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choices("ACGT", k=rng.randrange(5)))
-        ops = kernels.align(a, b)
-        assert sum(o != "=" for o in ops) == plain_distance(a, b)
-        assert sum(o != "I" for o in ops) == len(a) and sum(o != "D" for o in ops) == len(b)
-        begin = rng.randrange(50)
-        t = kernels.tiles(ops, begin, 10)
-        assert sum(x["blen"] for x in t) == len(b) and sum(x["err"] for x in t) == plain_distance(a, b)
-        if a:
-            again = kernels.from_tiles("N" * begin + a, b, begin, 0, begin + len(a), t, 10)
-            assert sum(o != "=" for o in again) <= sum(x["err"] for x in t)
-        assert kernels.dense(kernels.cigar(ops)) == ops
-
-
-def test_cigar_m_and_windows():
-    assert kernels.dense("2S3M1I2D4=", "ACGTTTTTT", "ACCGTTTT") == "==XIDD===="
-    with pytest.raises(ValueError):
-        kernels.dense("3M")
-    assert kernels.window_error("=" * 90 + "X" * 10, 20) == 0.5 and kernels.window_error("") == 0
-    assert kernels.match_runs("==X=I==", 5, 3) == [(5, 2, 2), (8, 1, 2), (9, 2, 1)]
-
-
 def test_trace_kernels(spark):
     rng = random.Random(3)
     a = "".join(rng.choices("ACGT", k=900))
     b = a[100:700]
     b = b[:200] + b[203:400] + "GG" + b[400:]
-    ops = kernels.align(a[100:700], b)
-    t = kernels.tiles(ops, 100, 100)
+    runs = edits.align(a[100:700], b)
+    t = edits.tiles(runs, 100, 100)
     rc = b[::-1].translate(str.maketrans("ACGT", "TGCA"))
     rows = [(1, 2, inv, 100, 700, 0, len(b), sum(x["err"] for x in t), 900, len(b), i, t, a, b) for i, inv in enumerate([False, True])]
     o = spark.createDataFrame(rows, TRACED + ", aseq string, bseq string")
@@ -156,27 +132,26 @@ def test_trace_kernels(spark):
     assert [(r.insertions, r.deletions, r.error) for r in kernels.deep_check(o, ["src_id"]).collect()] == [(2, 3, None)] * 2
     wide = kernels.change_spacing(o, ["src_id", "abpos"], 100, 250).collect()
     assert [len(r.trace) for r in wide] == [3, 3] and all(r.diffs == 5 for r in wide)
-    for r in kernels.swap_roles(o, ["src_id"]).collect():
-        assert r.diffs == 5 and sum(x.blen for x in r.trace) == 600
-    bad = o.withColumn("bepos", F.col("bepos") + 5)
-    assert all(r.error for r in kernels.deep_check(bad, ["src_id"]).collect())
-    spans = kernels.align_spans(o, ["src_id"]).collect()
-    assert all(r.diffs == 5 and r.window_error <= 0.01 for r in spans)
-    again = kernels.from_cigar(spark.createDataFrame([(kernels.cigar(ops), 100)], "cigar string, abpos long"), ["abpos"]).first()
+    twins = kernels.swap_roles(o, ["src_id"])
+    for r in twins.collect():
+        assert r.diffs == 5 and sum(x.blen for x in r.trace) == 600 and (r.aread, r.bread, r.abpos, r.aepos) == (2, 1, 0, len(b))
+        assert (r.bbpos, r.bepos) == ((200, 800) if r.is_inverse else (100, 700))
+    flip = F.udf(lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    bases = twins.withColumns({"aseq": F.when(F.col("is_inverse"), F.lit(rc)).otherwise(F.lit(b)), "bseq": F.when(F.col("is_inverse"), flip(F.lit(a))).otherwise(F.lit(a))})
+    again = {r.src_id: r for r in kernels.swap_roles(bases, ["src_id"]).collect()}
+    for r in o.collect():
+        x = again[r.src_id]
+        assert (x.aread, x.bread, x.abpos, x.aepos, x.bbpos, x.bepos, x.alen, x.blen, x.diffs) == (r.aread, r.bread, r.abpos, r.aepos, r.bbpos, r.bepos, r.alen, r.blen, r.diffs)
+        assert sum(t.blen for t in x.trace) == len(b)
+    errors = {"span": {"aepos": F.lit(901).cast("long")}, "length": {"bepos": F.col("bepos") - 5}, "tiles": {"aepos": F.col("aepos") - 100}, "differences": {"diffs": F.lit(4).cast("long")}}
+    for error, change in errors.items():
+        assert {r.error for r in kernels.deep_check(o.withColumns(change), ["src_id"]).collect()} == {error}
+    spans = kernels.align_spans(o, ["src_id", "aseq"]).collect()
+    assert all(r.diffs == 5 and r.window_error <= 0.01 and r.aseq == a for r in spans)
+    again = kernels.from_cigar(spark.createDataFrame([(edits.cigar(runs), 100)], "cigar string, abpos long"), ["abpos"]).first()
     assert [(x.err, x.blen) for x in again.trace] == [(x["err"], x["blen"]) for x in t]
 
 
-def test_seed_extension(spark):
-    rng = random.Random(5)
-    core = "".join(rng.choices("ACGT", k=400))
-    reads = spark.createDataFrame([(1, "A" * 50 + core), (2, core + "T" * 30)], "read_id long, seq string")
-    pairs = spark.createDataFrame([(1, 2)], "aread long, bread long")
-    s = joins.seeds(reads, pairs, 14).groupBy("aread", "bread").agg(F.collect_list(F.struct("diagonal", "apos")).alias("seeds"))
-    full = joins.with_sequences(s.withColumn("is_inverse", F.lit(False)), reads)
-    got = kernels.extend_seeds(full, 14, 300).collect()
-    assert [(r.abpos, r.aepos, r.bbpos, r.bepos, r.diffs) for r in got] == [(50, 450, 0, 400, 0)]
-
-
 def test_text_edges(spark, tmp_path):
     lines = spark.createDataFrame([(0, "q\t10\t1\t5\t*\tt\t20\t2\t6\t4\t4\t60")], "line_no long, value string")
     with pytest.raises(Exception, match="strand"):
@@ -189,12 +164,6 @@ def test_text_edges(spark, tmp_path):
     assert sorted(tuple(r) for r in joins.by_name_or_stem(rows, names, "qname", "id").collect()) == [("movie/1", 7), ("movie/1/0_500", 7)]
 
 
-def test_batches(spark):
-    rows = [(0, "# first"), (1, "a b"), (2, ""), (3, "c"), (4, "# second"), (5, "d")]
-    got = batch_plan(spark.createDataFrame(rows, "line_no long, line string"))
-    assert sorted(map(tuple, got.collect())) == [(1, "first", 0, "a b"), (1, "first", 1, "c"), (2, "second", 0, "d")]
-
-
 def test_empty_tables(spark):
     none = ovl(spark, [])
     for f in (filters.proper, dedup.exact, transform.swapped, transform.symmetric_closure, filters.length_error, joins.asymmetric, renumber.referenced):
