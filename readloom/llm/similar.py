@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -9,20 +10,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from readloom.llm.batches import sliced
-from readloom.llm.components import connected_components
-from readloom.llm.simhash import keep_first, majority
-from readloom.llm.store import Scratch
+from readloom.plans.components import connected_components
+from readloom.llm.simhash import majority
+from readloom.plans.store import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Independent SimHash words of a text and their bits. Two texts meet if one of their words differs in 2 bits at most.
 WORDS, BITS = 6, 44
+#: Words of the beginning and of the end of a text, so that texts that differ in one stretch meet: these must be equal. They are
+#: of the two largest sizes LEAST_PART * GRID^i up to PART of the text. A stretch that leaves a similarity of 0.8 holds a
+#: ninth of the text, and so leaves four ninths before or behind it as they are; texts so alike share a size.
+LEAST_PART, GRID, PART = 8, 1.25, 0.42
 #: Longs of the SimHash over shingles by which pairs are sorted out before their shingles are compared, and the share of
-#: bits that may differ. At a similarity of 0.8 it is 0.152 on average, and over 0.177 for one pair of 1500; at 0.82 and
-#: more, for one of 300,000.
-LONGS, APART = 32, 0.177
+#: bits that may differ. At a similarity of 0.8 it is 0.152 on average with a deviation of 0.008, so that it is over 0.2 for
+#: one pair of a thousand million.
+LONGS, APART = 32, 0.2
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -49,15 +55,33 @@ def simhash_bits(hashes: np.ndarray, longs: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def simhash_words(text: bytes | None) -> list[int]:
-    """WORDS SimHash words of BITS bits over the distinct words of a text. A changed word changes one of them and five
-    shingles, so texts of similar shingles are nearer by their words than by their shingles."""
-    bits = simhash_bits(shingles(text, 1), -(-WORDS * BITS // 64))[: WORDS * BITS].reshape(WORDS, BITS)
-    wide = np.zeros((WORDS, 64), dtype=bool)
+def _packed(bits: np.ndarray) -> list[int]:
+    wide = np.zeros((len(bits), 64), dtype=bool)
     wide[:, :BITS] = bits
     return np.packbits(wide, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
+def part_sizes(n: int) -> list[tuple[int, int]]:
+    """(number, size) of the parts of a text of n words; none if it has too few."""
+    last = int(math.log(max(PART * n / LEAST_PART, 0.5)) // math.log(GRID))
+    return [(i, int(LEAST_PART * GRID**i)) for i in range(max(0, last - 1), last + 1)]
+
+
+def simhash_words(text: bytes | None) -> list[int | None]:
+    """WORDS SimHash words of BITS bits over the distinct words of a text, and one of each of its parts, at the place of its
+    size's number: even or odd, of the beginning or the end. A changed word changes one of them and five shingles, so texts of similar
+    shingles are nearer by their words than by their shingles."""
+    words = (text or b"").lower().split() or [b""]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), dtype="<u8", count=len(words))
+    out: list[int | None] = _packed(simhash_bits(np.unique(hashes), -(-WORDS * BITS // 64))[: WORDS * BITS].reshape(WORDS, BITS))
+    parts: list[int | None] = [None] * 4
+    for number, size in part_sizes(len(words)):
+        both = [simhash_bits(np.unique(x), 1)[:BITS] for x in (hashes[:size], hashes[-size:])]
+        for end, word in enumerate(_packed(np.stack(both))):
+            parts[2 * (number % 2) + end] = (word ^ xxhash.xxh64_intdigest(str(size))) & ((1 << BITS) - 1)
+    return out + parts
+
+
 def _text_id() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid")
 
@@ -109,11 +133,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _first_meeting(x: str, y: str, key: Column) -> Column:
     """Whether two texts with the words ``x`` and ``y`` meet under their common ``key`` first: in the first pair of words
-    that differ in 2 bits at most, and under one of the keys that these share. It makes one pair of many."""
+    that differ in 2 bits at most, or are equal if they are of parts, and under one of the keys that these share. It makes one
+    pair of many."""
     k = F.shiftrightunsigned(key, BITS)
-    first = F.lit(WORDS)
-    for i in reversed(range(WORDS)):
-        first = F.when(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) <= 2, i).otherwise(first)
+    first = F.lit(WORDS + 4)
+    for i in reversed(range(WORDS + 4)):
+        first = F.when(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) <= (2 if i < WORDS else 0), i).otherwise(first)
     a, b = F.get(x, k.cast("int")), F.get(y, k.cast("int"))
     value = key.bitwiseAND(F.lit((1 << BITS) - 1))
     differ = a.bitwiseXOR(b)
@@ -126,18 +151,20 @@ def _first_meeting(x: str, y: str, key: Column) -> Column:
 def links(docs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of distinct texts of the similarity or more, enough to connect all that meet.
 
-    Each text emits every SimHash word and its one-bit variants; texts with a key in common meet. A text is first held
+    Each text emits every SimHash word and its one-bit variants, and the words of its parts as they are; texts with a key in
+    common meet. A text is first held
     against the first and the last under its keys, one of each a word. Then those that aren't in the group of a key's
     first text are held against all others of the key: pairs within a group are connected already. A large group of near
     copies so costs no more than its texts, and no pair under a key is left out unless its two texts are connected.
     """
     word = F.shiftleft(F.col("k").cast("long"), BITS).bitwiseOR(F.col("word")).alias("own")
-    members = scratch.cut(texts.select("tid", F.posexplode("words").alias("k", "word")).select("tid", word), "members")
+    members = scratch.cut(texts.select("tid", F.posexplode("words").alias("k", "word")).where("word is not null").select("tid", word), "members")
     classes = scratch.cut(members.groupBy("own").agg(F.count("*").alias("n")), "classes")
     flips = [0, *(1 << i for i in range(BITS))]
     # Few bytes make many rows: as many tasks as a shuffle has, whatever the size of the words.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    balls = classes.select("own").repartition(tasks).select("own", F.explode(F.array(*(F.col("own").bitwiseXOR(F.lit(f)) for f in flips))).alias("key"))
+    whole = classes.where(F.shiftrightunsigned("own", BITS) < WORDS)
+    balls = whole.select("own").repartition(tasks).select("own", F.explode(F.array(*(F.col("own").bitwiseXOR(F.lit(f)) for f in flips))).alias("key"))
     # Each word once, so a key has BITS + 1 rows at most and no task more than its share. Dealt out by key once, for both
     # the sums and the join.
     balls = balls.repartition(tasks, "key")
@@ -183,23 +210,41 @@ def links(docs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, sim
     return out
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each row: the smallest doc_id that it reaches by links of the similarity or more."""
+def _components(docs: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid) of each row, and (tid, root, rep): the component of each distinct text, and the smallest doc_id that has it."""
     if similarity < SIMILARITY:
         raise ValueError(f"similarity must be {SIMILARITY} or more")
-    scratch = Scratch(docs.sparkSession, "similar")
     sketches = scratch.cut(_sketches(docs), "sketches")
     texts = scratch.cut(sketches.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words")), "texts")
     found = links(docs, texts, scratch, shingle, similarity)
     roots = scratch.cut(connected_components(found, scratch), "nodes").withColumnRenamed("node", "tid")
     named = texts.select("tid", "rep").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    named = scratch.cut(named, "named")
+    return sketches.select("doc_id", "tid"), scratch.cut(named, "named")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of each row: the smallest doc_id that it reaches by links of the similarity or more."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows, named = _components(docs, shingle, similarity, scratch)
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("tid", "component_id")
-    out = scratch.cut(sketches.select("doc_id", "tid").join(named, "tid").select("doc_id", "component_id"), "groups")
+    out = scratch.cut(rows.join(named, "tid").select("doc_id", "component_id"), "groups")
     scratch.drop(*(set(scratch.paths) - {"groups"}))
     return out
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose document is not the first, by doc_id, of its group; as ``simhash.keep_one``."""
-    return keep_first(docs, groups(docs, shingle, similarity))
+    """One row of each group of near-duplicates: the first by doc_id, of one doc_id by the hash of its text; a row with a null
+    doc_id only if all are. Rows are told apart by doc_id and text, so that another text under a doc_id that goes isn't
+    touched; of rows that agree in both one stays, the first by the other columns."""
+    scratch = Scratch(docs.sparkSession, "similar-keep")
+    rows, named = _components(docs, shingle, similarity, scratch)
+    each = rows.join(named.select("tid", "root"), "tid").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid").alias("row"))
+    kept = scratch.cut(each.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "kept")
+    scratch.drop(*(set(scratch.paths) - {"kept"}))
+    key = ["_none", "_id", "_tid"]
+    kept = kept.select(F.col("none").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("tid").alias("_tid"))
+    marked = docs.select("*", F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), _text_id().alias("_tid"))
+    found = marked.join(kept.hint("merge"), key, "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy(*key).orderBy(*others) if others else Window.partitionBy(*key).orderBy("_id")
+    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)

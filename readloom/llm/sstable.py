@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom.llm.batches import sliced
-from readloom.llm.store import new_path
+from readloom.plans.store import new_path
 from readloom.llm.tokens import encoder
 
 MAGIC = b"RLOOMSS1"
@@ -214,7 +214,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_bytes:
             yield put(shard, seq)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # The hash of the text splits the rows of one doc_id, or of none, between tasks.
+    order = [F.asc_nulls_first("doc_id"), F.asc(F.xxhash64("text"))]
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
     manifest = ordered.mapInArrow(run, "file string, part long, seq long, n_docs long, n_tokens long")
     manifest.write.parquet(f"{path}-manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}-manifest")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from readloom.llm import components, store
+from readloom.plans import components, store
 
 
 def test_stages(spark, make_docs, tmp_path):
@@ -35,3 +35,17 @@ def test_components(spark):
     assert got == want
     none = components.connected_components(df.where(F.lit(False)), store.Scratch(spark, "cc"))
     assert none.collect() == []
+
+
+def test_empty_and_repeated_rows(spark, make_docs, tmp_path):
+    """Empty tables give no rows; texts under one doc_id are documents of their own, repeated rows are one."""
+    base = [" ".join(f"{x}{i}" for i in range(60)) + "." for x in "abc"]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("some", [(1, base[0]), (5, base[0]), (5, base[1]), (5, base[1]), (None, base[2]), (None, None)])):
+        make_docs(rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = P.run(spark, f"{tmp_path}/{name}").collect()
+        # Without labels nothing is toxic at a score under 0.5, and 0.5 itself goes.
+        assert {r.doc_id for r in got} <= {1, 5, None} and (rows or not got)
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    assert sorted((str(r.doc_id), r.text or "") for r in P.dedup_stage(spark, docs, "").collect()) == [("1", base[0]), ("5", base[1]), ("None", ""), ("None", base[2])]

@@ -71,13 +71,5 @@ def test_links_all_distances(spark):
         assert {(r.u, r.v) for r in simhash.links(df, radius).collect()} == want
 
 
-def test_keep_one(spark, make_docs):
-    rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (9, "q r s t u"), (9, "q r s t u")]
-    kept = simhash.keep_one(make_docs(rows))
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, 1), (True, 9)]
-    assert kept.columns == make_docs(rows).columns
-
-
 def test_empty_table(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
-    assert simhash.keep_one(make_docs([])).collect() == []

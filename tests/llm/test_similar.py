@@ -51,5 +51,46 @@ def test_pipeline_stage_keeps_no_near_copy(spark, make_docs):
     assert ids == kept(rows)
 
 
+def test_one_changed_stretch(spark, make_docs):
+    """Pairs that differ in one stretch, of a similarity of 0.8 or somewhat more: replaced, put in or left out."""
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for i in range(240):
+        n = rng.randrange(30, 400)
+        w = [f"s{i}-{rng.randrange(4 * n)}" for _ in range(n)]
+        size, kind = max(1, int(n * rng.uniform(0.02, 0.1)) - 4), i % 3
+        at = rng.randrange(0, n - size)
+        new = [f"n{i}-{k}" for k in range(size)] if kind < 2 else []
+        x = w[:at] + new + w[at + (size if kind != 1 else 0) :]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+        if jaccard(" ".join(w), " ".join(x)) >= 0.8:
+            pairs.append(i)
+    component = {r.doc_id: r.component_id for r in similar.groups(make_docs(rows)).collect()}
+    found = [component[2 * i] == component[2 * i + 1] for i in pairs]
+    assert len(pairs) > 180 and sum(found) >= 0.98 * len(found)
+    assert all(component[2 * i + 1] == 2 * i + 1 for i in range(240) if i not in pairs)
+
+
+def test_rows_of_one_doc_id(spark, make_docs):
+    """Texts are told apart, not ids: what has no copy stays, and of rows that agree in both one stays."""
+    base, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    keep = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in similar.keep_one(make_docs(rows)).collect())
+    assert keep([(1, base), (5, base), (5, other)]) == [(False, 1, base), (False, 5, other)]
+    assert keep([(5, base), (5, other), (5, other, "t"), (5, other, "s")]) == [(False, 5, base), (False, 5, other)]
+    assert keep([(None, base), (7, base), (None, other), (None, other)]) == [(False, 7, base), (True, 0, other)]
+    first = similar.keep_one(make_docs([(5, other, "t"), (5, other, "s")])).collect()
+    assert [r.source for r in first] == ["s"]
+
+
+def test_parts():
+    for n in range(0, 3000, 7):
+        sizes = similar.part_sizes(n)
+        assert len(sizes) <= 2 and all(s <= similar.PART * n for _, s in sizes)
+        if n * similar.PART >= 10:
+            assert len(sizes) == 2 and (sizes[-1][1] + 1) * similar.GRID > similar.PART * n
+            # Texts of nearly one length share a size.
+            assert {x for x, _ in sizes} & {x for x, _ in similar.part_sizes(int(n * 1.11))}
+
+
 def test_empty(spark, make_docs):
     assert similar.keep_one(make_docs([])).collect() == []
