@@ -214,9 +214,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_bytes:
             yield put(shard, seq)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The hash of the text splits the rows of one doc_id, or of none, between tasks.
-    order = [F.asc_nulls_first("doc_id"), F.asc(F.xxhash64("text"))]
-    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
+    # How texts begin splits the rows of one doc_id, or of none, between tasks; whole texts aren't sampled for it.
+    dealt = slim.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.substring("text", 1, 64)))
+    ordered = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     manifest = ordered.mapInArrow(run, "file string, part long, seq long, n_docs long, n_tokens long")
     manifest.write.parquet(f"{path}-manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}-manifest")
