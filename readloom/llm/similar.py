@@ -25,10 +25,9 @@ WORDS, BITS = 6, 44
 #: of the two largest sizes LEAST_PART * GRID^i up to PART of the text. A stretch that leaves a similarity of 0.8 holds a
 #: ninth of the text, and so leaves four ninths before or behind it as they are; texts so alike share a size.
 LEAST_PART, GRID, PART = 8, 1.25, 0.42
-#: Longs of the SimHash over shingles by which pairs are sorted out before their shingles are compared, and the share of
-#: bits that may differ. At a similarity of 0.8 it is 0.152 on average with a deviation of 0.008, so that it is over 0.2 for
-#: one pair of a thousand million.
-LONGS, APART = 32, 0.2
+#: Longs of the parity sketch by which pairs are sorted out before their shingles are compared: these at least, and more for
+#: texts of more shingles than they have bits.
+LONGS = 32
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,6 +54,16 @@ def simhash_bits(hashes: np.ndarray, longs: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits, a power of two of them and no fewer than hashes or 64 * LONGS: whether an odd number of the hashes falls on each.
+
+    Two sets differ in as many elements at least as their sketches differ in bits, so a bound on the one is a bound on the
+    other without error. A sketch folded in half is the one of half the size.
+    """
+    m = max(64 * LONGS, 1 << (len(hashes) - 1).bit_length())
+    return np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+
+
 def _packed(bits: np.ndarray) -> list[int]:
     wide = np.zeros((len(bits), 64), dtype=bool)
     wide[:, :BITS] = bits
@@ -99,12 +108,12 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(tid, hashes, n, sketch) of the texts in ``ids`` (tid): shingles, their number, and LONGS longs of their SimHash."""
+    """(tid, hashes, n, sketch) of the texts in ``ids`` (tid): shingles, their number, and their parity sketch as longs."""
 
     def run(batches):
         for b in sliced(batches):
             sets = [shingles(x, shingle) for x in b.column(1).to_pylist()]
-            bits = [np.packbits(simhash_bits(x, LONGS), bitorder="little").view("<i8") for x in sets]
+            bits = [np.packbits(parity_sketch(x).astype(bool), bitorder="little").view("<i8") for x in sets]
             out = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["tid", "hashes", "n", "sketch"])
 
@@ -112,14 +121,25 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return slim.groupBy("tid").agg(F.first("text").alias("text")).mapInArrow(run, "tid long, hashes array<long>, n int, sketch array<long>")
 
 
-def _apart(a: str, b: str, longs: int) -> Column:
-    """Bits in which two arrays of longs differ."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, longs)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, the larger one folded once if their sizes aren't the same."""
+    x, y = F.col(a), F.col(b)
+    short = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, LONGS)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(s: Column) -> Column:
+        head = F.slice(s, F.lit(1), n)
+        return F.when(F.size(s) == n, head).otherwise(F.zip_with(head, F.slice(s, n + 1, n), lambda p, q: p.bitwiseXOR(q)))
+
+    long = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    return F.when(F.greatest(F.size(x), F.size(y)) == LONGS, short).otherwise(long)
 
 
 def _may_be_near(similarity: float) -> Column:
-    """Whether two texts (nx, sx and ny, sy: their number of shingles and sketch) can have the similarity."""
-    return (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")) & (_apart("sx", "sy", LONGS) <= int(64 * LONGS * APART))
+    """False only for texts (nx, sx and ny, sy: their number of shingles and sketch) that are below the similarity: sets of
+    similarity s differ in (1 - s) / (1 + s) of the sum of their sizes at most, and in size by less than half."""
+    differ = (1 + similarity) * _apart("sx", "sy") <= (1 - similarity) * (F.col("nx") + F.col("ny")) + 0.001  # for rounding
+    return (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")) & differ
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

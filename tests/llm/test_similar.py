@@ -1,6 +1,9 @@
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from readloom.llm import similar
 
@@ -92,5 +95,25 @@ def test_parts():
             assert {x for x, _ in sizes} & {x for x, _ in similar.part_sizes(int(n * 1.11))}
 
 
+def test_sketches_leave_out_no_near_pair(spark):
+    """Sets of all sizes, those with sketches of two sizes included: none of 0.8 or more is sorted out, and few below 0.7 pass."""
+    rng = np.random.default_rng(4)
+    rows, near = [], {}
+    for i, n in enumerate([1, 5, 40, 500, 1000, 1900, 2040, 2048, 2100, 4090, 4096, 9000] * 20):
+        share = rng.choice([0.0, 0.05, 0.1, 0.11, 0.112, 0.15, 0.3])
+        x = np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64))
+        same = x[: len(x) - int(share * len(x))]
+        y = np.unique(np.concatenate([same, rng.integers(0, 1 << 63, size=int(share * len(x)) + int(rng.integers(0, 3)), dtype=np.uint64)]))
+        near[i] = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        sketches = [np.packbits(similar.parity_sketch(s).astype(bool), bitorder="little").view("<i8").tolist() for s in (x, y)]
+        rows.append((i, len(x), len(y), *sketches))
+    df = spark.createDataFrame(rows, "i int, nx int, ny int, sx array<long>, sy array<long>")
+    passed = {r.i for r in df.where(similar._may_be_near(0.8)).select("i").collect()}
+    assert {len(r[3]) != len(r[4]) for r in rows} == {True, False}
+    assert {i for i, s in near.items() if s >= 0.8} <= passed and not [i for i in passed if near[i] < 0.7]
+    widest = df.select(F.max(F.size("sy"))).first()[0]
+    assert widest == 256
+
+
 def test_empty(spark, make_docs):
     assert similar.keep_one(make_docs([])).collect() == []
