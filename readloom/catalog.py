@@ -684,6 +684,44 @@ def reformat_fasta(spark, d):
     return export.reformat(records, ["read_id"], "P", 3)
 
 
+@query(f"""WITH l AS (SELECT doc_id AS read_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS raw, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents),
+p AS (SELECT read_id, number, raw, unnest(range(length(raw))) AS i FROM l),
+c AS (SELECT read_id, number, i, upper(substr(raw, i + 1, 1)) AS c FROM p),
+b AS (SELECT number, string_agg(CASE WHEN c IN ('A', 'C', 'G', 'T') THEN c ELSE substr('ACGT', CAST((number * 31 + i * 17) % 4 AS BIGINT) + 1, 1) END, '' ORDER BY i) AS bases FROM c GROUP BY number),
+t AS (SELECT l.read_id, l.number, CASE WHEN raw = '' THEN '' ELSE bases END AS seq FROM l LEFT JOIN b ON b.number = l.number)
+SELECT number, '>L/' || number || '/0_' || length(seq) || ' RQ=0.851 r' || read_id || {SEQ_WRAP} AS record FROM t""")
+def reformat_ambiguous(spark, d):
+    """As ``reformat_fasta``, of the letters of whole texts, most of which are no bases and give way to one."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    records = docs.select("doc_id", F.concat(F.lit("r"), "doc_id").alias("name"), F.lit("").alias("comment"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    return export.reformat(records, ["doc_id"])
+
+
+@query("SELECT doc_id AS read_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq FROM documents")
+def four_letters(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), scalar.four_letters(F.col("text")).alias("seq"))
+
+
+@query("""WITH b AS (SELECT doc_id AS read_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE regexp_replace(text, '[^ACGTacgt]', '', 'g') END AS seq FROM documents)
+SELECT read_id, length(regexp_replace(seq, '[ACGTacgt]', '', 'g')) AS n_bad, length(regexp_extract(seq, '^[ACGTacgt]*')) AS first_bad FROM b WHERE regexp_matches(seq, '[^ACGTacgt]')""")
+def indeterminate_bases(spark, d):
+    """Of every third document the text as it is, of others its bases, as reads."""
+    seq = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.regexp_replace("text", "[^ACGTacgt]", ""))
+    return checks.indeterminate(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), seq.alias("seq")))
+
+
+CIGAR_OPS = "=XMNP*"
+
+
+@query(f"""WITH {fx.OVL}, c AS (SELECT {T}, aread, src_id % 40 || 'S' || (aepos - abpos) || substr('{CIGAR_OPS}', CAST(src_id % 6 AS BIGINT) + 1, 1) || CASE WHEN src_line % 2 = 0 THEN '3I2D' ELSE '' END AS cigar FROM ovl)
+SELECT {T}, aread, cigar, src_id % 6 < 2 AS is_strict, src_id % 6 < 3 AS is_resolvable, CASE WHEN src_id % 6 > 2 THEN substr('{CIGAR_OPS}', CAST(src_id % 6 AS BIGINT) + 1, 1) ELSE '' END AS other FROM c""")
+def cigar_alphabet(spark, d):
+    op = F.substring(F.lit(CIGAR_OPS), (F.col("src_id") % 6 + 1).cast("int"), F.lit(1))
+    tail = F.when(F.col("src_line") % 2 == 0, "3I2D").otherwise("")
+    cigar = F.concat((F.col("src_id") % 40).cast("string"), F.lit("S"), (F.col("aepos") - F.col("abpos")).cast("string"), op, tail)
+    return checks.cigar_alphabet(fx.overlaps(spark, d).select(*TIE, "aread", cigar.alias("cigar")))
+
+
 @query(f"WITH {fx.SEQ} SELECT 'r' || read_id % 700 AS name, min(length(seq)) AS rlen FROM seqs GROUP BY 1")
 def fasta_lengths(spark, d):
     return export.name_lengths(fx.sequences(spark, d).select(F.concat(F.lit("r"), F.col("read_id") % 700).alias("name"), "seq"))

@@ -60,6 +60,11 @@ def without_ambiguity(seq: Column, read_id: Column) -> Column:
     return F.when(F.length(seq) == 0, "").otherwise(F.array_join(fixed, ""))
 
 
+def four_letters(seq: Column) -> Column:
+    """``seq`` in capitals, with N for each character but A, C, G and T."""
+    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")
+
+
 def require_bases(seq: Column) -> Column:
     """``seq``, or an error if it holds anything but ACGT."""
     return F.when(seq.rlike("[^ACGTacgt]"), F.raise_error(F.lit("indeterminate base")).cast("string")).otherwise(seq)

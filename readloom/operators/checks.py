@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.trace import b_length
+from readloom.operators.filters import cigar_valid
 from readloom.operators.joins import asymmetric
 from readloom.operators.order import unsorted
 
@@ -36,3 +37,18 @@ def symmetry(ovl: DataFrame) -> DataFrame:
     """(rows, missing, ok): overlaps without their twin."""
     missing = asymmetric(ovl).agg(F.count("*").alias("missing"))
     return ovl.agg(F.count("*").alias("rows")).crossJoin(missing).withColumn("ok", F.col("missing") == 0)
+
+
+def indeterminate(reads: DataFrame) -> DataFrame:
+    """(read_id, n_bad, first_bad) of the reads (read_id, seq) that hold characters other than bases of either case: how many, and
+    the place of the first. Mapping output takes no such reads."""
+    bad = {"n_bad": F.length(F.regexp_replace("seq", "[ACGTacgt]", "")), "first_bad": F.length(F.regexp_extract("seq", "^[ACGTacgt]*", 0))}
+    return reads.select("read_id", *(c.cast("long").alias(k) for k, c in bad.items())).where("n_bad > 0")
+
+
+def cigar_alphabet(records: DataFrame) -> DataFrame:
+    """``records`` with what their column ``cigar`` holds: is_strict, only I, D, =, X and clips; is_resolvable, M as well, which
+    the bases tell apart; and other, its distinct operations beyond these. A string that isn't a CIGAR string is neither."""
+    letters = F.array_sort(F.array_distinct(F.regexp_extract_all("cigar", F.lit("[0-9]([^0-9])"), F.lit(1))))
+    other = F.array_join(F.filter(letters, lambda c: ~c.isin(*"IDX=SHM")), "")
+    return records.withColumns({"is_strict": cigar_valid(F.col("cigar")), "is_resolvable": cigar_valid(F.col("cigar"), allow_m=True), "other": other})

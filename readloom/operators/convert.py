@@ -44,12 +44,13 @@ def to_sam(ovl: DataFrame, a_names: DataFrame, b_names: DataFrame, by: list[str]
     )
 
 
-def from_sam(sam: DataFrame, refs: DataFrame, reads: DataFrame) -> DataFrame:
+def from_sam(sam: DataFrame, refs: DataFrame, reads: DataFrame, strict: bool = False) -> DataFrame:
     """Overlaps of mapped SAM records: reference and read by name (refs, reads: read_id, name, rlen), spans from position
-    and CIGAR. Operations other than I, D, =, X, M and clips are an error; M needs the bases when the trace is made."""
+    and CIGAR. Operations other than I, D, =, X, M and clips are an error; M needs the bases when the trace is made.
+    With ``strict`` M is an error too."""
     from readloom.operators.filters import cigar_valid, mapped
 
-    good = mapped(sam).withColumn("cigar", F.when(cigar_valid(F.col("cigar"), allow_m=True), F.col("cigar")).otherwise(F.raise_error(F.concat(F.lit("unsupported CIGAR "), F.col("cigar"))).cast("string")))
+    good = mapped(sam).withColumn("cigar", F.when(cigar_valid(F.col("cigar"), allow_m=not strict), F.col("cigar")).otherwise(F.raise_error(F.concat(F.lit("unsupported CIGAR "), F.col("cigar"))).cast("string")))
     n = cg.lengths(F.col("cigar"))
     rows = good.join(refs.select(F.col("name").alias("rname"), F.col("read_id").alias("aread"), F.col("rlen").alias("alen")), "rname")
     rows = rows.join(reads.select(F.col("name").alias("qname"), F.col("read_id").alias("bread"), F.col("rlen").alias("blen")), "qname")

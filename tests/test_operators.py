@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.functions import edits
-from readloom.operators import dedup, filters, intervals, joins, kernels, order, renumber, transform
+from readloom.functions import edits, scalar
+from readloom.operators import checks, convert, dedup, filters, intervals, joins, kernels, order, renumber, transform
 from readloom.schema import order_keys
 from readloom.sources import text
 from readloom.streaming import arrivals
@@ -180,3 +180,21 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.src_id for r in spark.table("arrived").collect()] == [1]
+
+
+def test_alphabets(spark):
+    reads = spark.createDataFrame([(1, "acgTN"), (2, "ACGT"), (3, ""), (4, None), (5, "\u00df\nA\U0001f600x")], "read_id long, seq string")
+    assert sorted(map(tuple, checks.indeterminate(reads).collect())) == [(1, 1, 4), (5, 4, 0)]
+    mapped = {r.read_id: r.s for r in reads.select("read_id", scalar.four_letters(F.col("seq")).alias("s")).collect()}
+    assert mapped == {1: "ACGTN", 2: "ACGT", 3: "", 4: None, 5: "NNANN"}
+    cigars = {"3S4=1X": (True, True, ""), "4M": (False, True, ""), "4=2N1P3N": (False, False, "NP"), "*": (False, False, ""), "": (False, False, ""), "4": (False, False, "")}
+    rows = checks.cigar_alphabet(spark.createDataFrame([(c,) for c in cigars], "cigar string")).collect()
+    assert {r.cigar: (r.is_strict, r.is_resolvable, r.other) for r in rows} == cigars
+
+
+def test_sam_with_m(spark):
+    sam = spark.createDataFrame([("q", 0, "r", 11, "5M")], "qname string, flag int, rname string, pos long, cigar string")
+    names = lambda n: spark.createDataFrame([(7, n, 100)], "read_id long, name string, rlen long")
+    assert [(r.abpos, r.aepos) for r in convert.from_sam(sam, names("r"), names("q")).collect()] == [(10, 15)]
+    with pytest.raises(Exception, match="unsupported CIGAR 5M"):
+        convert.from_sam(sam, names("r"), names("q"), strict=True).collect()
