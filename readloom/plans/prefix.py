@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Neighbouring buckets whose sums are added in a task of their own.
+WIDE = 4096
+
+
 def running_sum(df: DataFrame, bucket: Column, order: list, value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows before each, by (bucket, order).
 
-    ``bucket`` must not decrease along the order. Buckets are summed first, and only the sums, one row a bucket, meet in
-    one task; rows are sorted within their bucket. Choose buckets of some thousands of rows.
+    ``bucket``, a number, must not decrease along the order. Buckets are summed first, and their sums by WIDE neighbouring
+    buckets; only the latter, one row of WIDE buckets, meet in one task. Rows are sorted within their bucket. Choose buckets of
+    some thousands of rows.
     """
     with_bucket = df.withColumn("_bucket", bucket)
-    sums = with_bucket.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_sum_before"))
+    sums = with_bucket.groupBy("_bucket").agg(F.sum(value).alias("_sum")).withColumn("_wide", F.floor(F.col("_bucket") / WIDE))
+    totals = sums.groupBy("_wide").agg(F.sum("_sum").alias("_total"))
+    earlier = F.sum("_total").over(Window.orderBy("_wide").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(F.col("_wide").alias("_w"), F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    before = F.sum("_sum").over(Window.partitionBy("_wide").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).join(totals, F.col("_wide").eqNullSafe(F.col("_w")))
+    sums = sums.select(F.col("_bucket").alias("_b"), (F.col("_earlier") + F.col("_before")).alias("_sum_before"))
     inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     both = with_bucket.withColumn("_sum_inside", F.coalesce(inside, F.lit(0))).join(sums, F.col("_bucket").eqNullSafe(F.col("_b")))
     return both.withColumn(name, (F.col("_sum_before") + F.col("_sum_inside")).cast("long")).drop("_bucket", "_b", "_sum_before", "_sum_inside")

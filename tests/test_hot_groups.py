@@ -4,7 +4,10 @@ import random
 from collections import defaultdict
 from hashlib import md5
 
+from pyspark.sql import functions as F
+
 from readloom.operators import dedup, order
+from readloom.plans import prefix
 from readloom.schema import CONTENT
 
 
@@ -109,3 +112,15 @@ def test_a_chain_through_one_point(spark):
     rows = [row(i, 6000 + i) for i in range(0, 3000, 2)]
     out = dedup.fuse(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA), rounds=40).where("not removed").collect()
     assert [(r.abpos, r.aepos) for r in out] == [(0, 8998)]
+
+
+def test_running_sum_over_many_buckets(spark):
+    """Buckets of several wide ones, negative and null ones too, against a plain sum; and only wide ones meet in one task."""
+    rng = random.Random(8)
+    rows = [(None, 5, 0), *((rng.randrange(-3 * prefix.WIDE, 9 * prefix.WIDE), rng.randrange(9), i) for i in range(1, 3000))]
+    df = spark.createDataFrame(rows, "x long, v long, i long")
+    got = {r.i: r.s for r in prefix.running_sum(df, F.floor(F.col("x") / 2), ["x", "i"], F.col("v"), "s").collect()}
+    want, total = {}, 0
+    for x, v, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        want[i], total = total, total + v
+    assert got == want
