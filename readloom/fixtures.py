@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table dealt to all cores where it has fewer files than there are cores: a file of one row group is read
+    by one task, and so would be all that follows without a shuffle. A table of more files is left as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("read_id"), (2000 + 40 * F.col("p_size")).cast("long").alias("rlen"))
 
@@ -32,7 +39,7 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("is_inverse"),
         (F.col("l_linestatus") == "O").alias("is_start"),
     )
-    j = lines.join(r.select(F.col("read_id").alias("aread"), F.col("rlen").alias("alen")), "aread")
+    j = _dealt(lines).join(r.select(F.col("read_id").alias("aread"), F.col("rlen").alias("alen")), "aread")
     j = j.join(r.select(F.col("read_id").alias("bread"), F.col("rlen").alias("blen")), "bread")
     abpos = F.when(F.col("src_id") % 11 == 0, 0).otherwise((50 * (F.col("src_qty").cast("long") - 1)) % (F.col("alen") - 1000))
     span = F.when(F.col("src_id") % 11 == 0, 5000).otherwise(100 + (F.col("src_id") % 13) * 150)
@@ -73,7 +80,8 @@ def traced(spark: SparkSession, sf_dir: str, ts: int = TS) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    docs = _dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("read_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
 def qualities(spark: SparkSession, sf_dir: str, ts: int = TS) -> DataFrame:

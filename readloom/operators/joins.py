@@ -79,21 +79,37 @@ def length_violations(rows: DataFrame, reads: DataFrame, name: str, length: str)
     return rows.join(reads.select(F.col("name").alias(name), "rlen"), name).where(F.col(length) != F.col("rlen"))
 
 
-def kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, pos, kmer) of reads (read_id, seq)."""
-    starts = F.sequence(F.lit(0), F.length("seq") - k)
-    each = reads.where(F.length("seq") >= k).select("read_id", "seq", F.explode(starts).alias("pos"))
-    return each.select("read_id", F.col("pos").cast("long").alias("pos"), F.substring(F.col("seq"), F.col("pos") + 1, F.lit(k)).alias("kmer"))
+#: Letters of reads, in the order of the digits 1 to 9 and 0.
+LETTERS = "ACGTNacgtn"
+#: Places of a read whose k-mers are cut from one piece of it.
+STRETCH = 256
+
+
+def kmers(reads: DataFrame, k: int, keep: list[str] = ("read_id",)) -> DataFrame:
+    """``keep``, pos and kmer of reads (``keep``, seq): the k-mers as numbers, a digit each letter, or as text if ``k`` is over
+    18. K-mers with other than LETTERS are left out."""
+    # Translated below the explosions, once a read. A substring costs as its place, so reads are cut in stretches first.
+    whole = reads.where(F.length("seq") >= k).select(*keep, F.translate("seq", LETTERS, "1234567890").alias("digits"))
+    stretches = whole.select(*keep, "digits", F.explode(F.sequence(F.lit(0), F.length("digits") - k, F.lit(STRETCH))).alias("from"))
+    stretches = stretches.select(*keep, "from", F.substring(F.col("digits"), F.col("from") + 1, F.lit(STRETCH + k - 1)).alias("part"))
+    each = stretches.select(*keep, "from", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i"))
+    at = F.substring(F.col("part"), F.col("i") + 1, F.lit(k))
+    pos = (F.col("from") + F.col("i")).cast("long").alias("pos")
+    each = each.select(*keep, pos, (at.try_cast("long") if k <= 18 else F.when(at.rlike("^[0-9]*$"), at)).alias("kmer"))
+    return each.where("kmer is not null")
 
 
 def seeds(reads: DataFrame, pairs: DataFrame, k: int = 14) -> DataFrame:
-    """(aread, bread, apos, bpos, diagonal): the places of each k-mer that the reads of a pair share. The pair is part of
-    the join key, so that a k-mer frequent over all reads meets only itself within a pair."""
-    d = pairs.select("aread", "bread").distinct()
-    a = d.join(kmers(reads, k).select(F.col("read_id").alias("aread"), F.col("pos").alias("apos"), "kmer"), "aread")
-    b = d.join(kmers(reads, k).select(F.col("read_id").alias("bread"), F.col("pos").alias("bpos"), "kmer"), "bread")
-    both = a.join(b, ["aread", "bread", "kmer"])
-    return both.select("aread", "bread", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diagonal"))
+    """(aread, bread, apos, bpos, diagonal): the places of each k-mer that the reads of a pair share. Pairs get their sequences
+    first, so that only the k-mers of reads in pairs are made. The pair is part of the join key, so that a k-mer frequent over
+    all reads meets only itself within a pair."""
+    d, pair = pairs.select("aread", "bread").distinct(), ["aread", "bread"]
+    # Few bytes make many rows here: as many tasks as a shuffle has, whatever the size of the sequences.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_seq = (d.join(reads.select(F.col("read_id").alias(x), "seq"), x).repartition(tasks, *pair) for x in pair)
+    a, b = (kmers(rows, k, pair).withColumnRenamed("pos", at) for rows, at in zip(with_seq, ("apos", "bpos")))
+    both = a.join(b, [*pair, "kmer"])
+    return both.select(*pair, "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diagonal"))
 
 
 def common_points(ovl: DataFrame, tie: list[str], ts: int = 100) -> DataFrame:
