@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB over the smallest tables."""
 
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -13,8 +14,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("part", "lineitem", "documents"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    for p in Path(DIR).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return c
 
 
