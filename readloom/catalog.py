@@ -319,7 +319,7 @@ def best_m(spark, d):
 SELECT {T}, aread FROM lagged WHERE before > (aread, bread, is_inverse, abpos, aepos, bbpos, bepos, diffs)""")
 def unsorted_rows(spark, d):
     ovl = fx.overlaps(spark, d).withColumns({"src": F.col("src_id") % 3, "at": F.struct(*TIE, "aread")})
-    return order.unsorted(ovl, "canonical", "at", ["src"]).select(*TIE, "aread")
+    return order.unsorted(ovl, "canonical", "at", ["src"], bucket=F.floor(F.col("src_id") / 1024)).select(*TIE, "aread")
 
 
 @query(f"""WITH {fx.OVL}, n AS (SELECT {T}, aread, 'read' || bread AS name FROM ovl)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from readloom.plans.prefix import rank
+from readloom.plans.prefix import before, rank
 from readloom.schema import order_keys
 
 
@@ -104,14 +104,23 @@ def best(ovl: DataFrame, m: int, tie: list[str]) -> DataFrame:
     return kept.withColumn("role", F.when(F.col("place") == 1, "primary").otherwise("secondary"))
 
 
-def secondary_names(rows: DataFrame, name: str, order: list[str], group: list[str] = ()) -> DataFrame:
-    """``rows`` with is_secondary: the name is that of the row before."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("is_secondary", F.coalesce(F.lag(name).over(w) == F.col(name), F.lit(False)))
+def _before(rows: DataFrame, value: Column, order: list[str], group: list[str], bucket: Column | None) -> DataFrame:
+    """``rows`` with _before: ``value`` of the row before in the group; by buckets of the order where they are given."""
+    if bucket is not None:
+        return before(rows, bucket, order, value, "_before", group)
+    if not group:
+        raise ValueError("rows in one order need a bucket: all would be sorted in one task")
+    return rows.withColumn("_before", F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def secondary_names(rows: DataFrame, name: str, order: list[str], group: list[str] = (), bucket: Column | None = None) -> DataFrame:
+    """``rows`` with is_secondary: the name is that of the row before. ``bucket``, a number that doesn't decrease along the order,
+    splits groups that are large; rows that aren't grouped need it."""
+    found = _before(rows, F.col(name), order, group, bucket)
+    return found.withColumn("is_secondary", F.coalesce(F.col("_before") == F.col(name), F.lit(False))).drop("_before")
 
 
-def unsorted(ovl: DataFrame, order: str, by: str, src: list[str] = (), tie: list[str] = ()) -> DataFrame:
-    """Rows that come, by the column ``by``, behind a row that belongs behind them."""
-    w = Window.partitionBy(*src).orderBy(by)
+def unsorted(ovl: DataFrame, order: str, by: str, src: list[str] = (), tie: list[str] = (), bucket: Column | None = None) -> DataFrame:
+    """Rows that come, by the column ``by``, behind a row that belongs behind them. ``bucket`` as for ``secondary_names``."""
     key = F.struct(*order_keys(order, tie))
-    return ovl.withColumn("_before", F.lag(key).over(w)).where(F.col("_before") > key).drop("_before")
+    return _before(ovl, key, [by], src, bucket).where(F.col("_before") > key).drop("_before")

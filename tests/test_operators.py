@@ -198,3 +198,27 @@ def test_sam_with_m(spark):
     assert [(r.abpos, r.aepos) for r in convert.from_sam(sam, names("r"), names("q")).collect()] == [(10, 15)]
     with pytest.raises(Exception, match="unsupported CIGAR 5M"):
         convert.from_sam(sam, names("r"), names("q"), strict=True).collect()
+
+
+def test_the_row_before_by_buckets(spark):
+    """By buckets as by one window, across empty buckets, with null groups and values; without group or bucket an error."""
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from readloom.operators import order
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 2]), i if i < 200 else i + 5000, rng.choice(["a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g long, at long, name string")
+    bucket = F.floor(F.col("at") / 16)
+    for group in ([], ["g"]):
+        last, want = {}, []
+        for g, at, name in rows:
+            k = g if group else 0
+            want.append((at, name is not None and last.get(k) == name))
+            last[k] = name
+        assert sorted((r.at, r.is_secondary) for r in order.secondary_names(df, "name", ["at"], group, bucket).collect()) == want
+    with pytest.raises(ValueError):
+        order.secondary_names(df, "name", ["at"])
