@@ -17,18 +17,17 @@ from functools import cache
 #: are encoded each time.
 KEPT_BYTES, ENTRY_BYTES = 240 << 20, 190
 _PIECE = re.compile(r"\s*\S+|\s+")
-#: White space other than single spaces and line ends between words.
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+_SPACE = re.compile(r"\s")
 #: Characters that Python takes for white space and Unicode doesn't.
 _UNSURE = re.compile("[\x1c-\x1f]")
 _MARKS = frozenset(".,;:!?")
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> str:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
 _LETTERS = _byte_letters()
@@ -52,13 +51,16 @@ def _family(path: str) -> str:
 
 class _Pieces(dict):
     """Piece of a text, without the ``before`` that stands in front of it -> its ids as little-endian unsigned 32-bit
-    integers. Of letters with a mark behind them, or in upper case where that is folded, only the plain letters are kept."""
+    integers. Of letters with a mark behind them, or in upper case where that is folded, only the plain letters are kept.
+    With ``words`` a piece that is empty or holds white space is a KeyError."""
 
-    def __init__(self, encoder: Encoder, before: str):
+    def __init__(self, encoder: Encoder, before: str, words: bool = True):
         super().__init__()
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.words = encoder, before, words
 
     def __missing__(self, piece: str) -> bytes:
+        if self.words and (not piece or _SPACE.search(piece)):
+            raise KeyError(piece)
         enc = self.encoder
         mark = enc.marks.get(piece[-1:])
         body = piece if mark is None else piece[:-1]
@@ -92,8 +94,8 @@ class Encoder:
         self.family = _family(path)
         self.marks = {m: self.letters(m) for m in _MARKS} if self.family != "whole" else {}
         self.room = KEPT_BYTES
-        self.plain, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
-        self.line = self.plain["\n"] if self.family == "spaced" else b""
+        self.plain, self.spaced, self.odd = _Pieces(self, ""), _Pieces(self, " "), _Pieces(self, "", words=False)
+        self.line = self.odd["\n"] if self.family == "spaced" else b""
 
     def letters(self, word: str) -> bytes:
         """The ids of letters, or a mark, that the file doesn't split before it merges."""
@@ -103,18 +105,29 @@ class Encoder:
         """All ids of a text; none for null."""
         if not text:
             return b""
-        if self.family == "whole" or _UNSURE.search(text) or self.added and self.added.search(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.family == "whole" or self.added and self.added.search(text):
+            return self._whole(text)
         if self.family == "words":
-            return b"".join(map(self.plain.__getitem__, text.split()))
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self.plain.__getitem__, _PIECE.findall(text)))
+            return self._whole(text) if _UNSURE.search(text) else b"".join(map(self.plain.__getitem__, text.split()))
+        try:
+            return self._lines(text)
+        except KeyError:
+            return self._whole(text) if _UNSURE.search(text) else b"".join(map(self.odd.__getitem__, _PIECE.findall(text)))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _lines(self, text: str) -> bytes:
+        """The ids of a text whose white space is single spaces and line ends between words; a KeyError for any other."""
         out = []
-        for line in text.split("\n"):
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
             first, *rest = line.split(" ")
             out.append(self.line)
             if first:
                 out.append(self.plain[first])
+            elif i and (rest or i < len(lines) - 1):
+                raise KeyError(first)
             out += map(self.spaced.__getitem__, rest)
         return b"".join(out[1:])
 

@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from readloom.llm import packing, sstable
-from readloom.llm.tokens import encoder
+from readloom.llm.tokens import Encoder, encoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = ["", " ", "a", " a  b\t c\n\nd ", "it's they'll 'x", "ÉTÉ œuf İstanbul ΣΑΣ ß", "é ́x", "a b c", "x\x1cy\x1d z", "<|endoftext|> a<|endoftext|>", "1234 5,6 ...!!!", "日本語 テスト", "a,b. c; d: e! f?", "😀 👨‍👩‍👧", "ªº ŉ ǆ"]
@@ -118,3 +120,16 @@ def test_packing(spark, make_docs, size):
 
 def test_packing_empty(spark, make_docs):
     assert packing.pack(make_docs([]), P.path(FILES[1]), 2).collect() == []
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_white_space_found_by_lookup(name):
+    """Texts aren't searched for odd white space: a word that holds it isn't kept, and sends its text another way."""
+    enc, whole = Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
+    whole.encode_special_tokens = True
+    alphabet, rng = list("ab  \n\n\té.,'\x1c\r\xa0 B1"), random.Random(5)
+    texts = ["\n", "\n\n", "a\n", "\na", "\n a", " a", "a ", "a \nb", "a\n\nb", "a\tb", "a\x1cb", "a b\nc d"]
+    for t in texts + ["".join(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(3000)]:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not any(not p or re.search(r"\s", p) for p in [*enc.plain, *enc.spaced])
+    assert name != FILES[0] or enc.odd
