@@ -83,7 +83,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     balls = fps.select("fp").distinct().repartition(tasks).select("fp", F.explode(_ball(F.col("fp"), radius)).alias("key"))
     a, b = balls.select("key", F.col("fp").alias("u")), balls.select("key", F.col("fp").alias("v"))
-    near = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
+    # By sorting: Spark takes the keys to be as small as the fingerprints they come from, and would broadcast them.
+    near = a.join(b.hint("merge"), "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
     return near.select("u", "v").distinct()
 
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from readloom.llm import simhash
 
@@ -73,3 +74,10 @@ def test_links_all_distances(spark):
 
 def test_empty_table(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
+
+
+def test_keys_are_not_broadcast(spark):
+    """The keys are 131 times the fingerprints, whose size Spark takes them to have."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
