@@ -18,7 +18,8 @@ def quality_clip(ovl: DataFrame, good: DataFrame, ts: int = 100) -> DataFrame:
     """The parts of overlaps, aligned to tiles, within each good interval (read_id, ifrom, ito, at tile borders) of A."""
     cut = align_to_tiles(ovl, ts)
     g = good.select(F.col("read_id").alias("aread"), "ifrom", "ito")
-    both = cut.join(g, "aread").where((F.col("abpos") < F.col("ito")) & (F.col("ifrom") < F.col("aepos")))
+    # By sorting: Spark takes the intervals to be as small as the reads they come from, and would broadcast them.
+    both = cut.join(g.hint("merge"), "aread").where((F.col("abpos") < F.col("ito")) & (F.col("ifrom") < F.col("aepos")))
     begin, end = F.greatest("abpos", "ifrom"), F.least("aepos", "ito")
     tiles = {"_skip": ((begin - F.col("abpos")) / ts).cast("int"), "_keep": ((end - begin) / ts).cast("int")}
     # Columns of their own, each computed once for the several that use them.
