@@ -1,6 +1,6 @@
 """Operators that need the bases: alignment, recomputed traces, their statistics, tiles and CIGAR strings, extension of seeds.
 
-``functions.edits`` gives the scripts between two sequences. Rows are independent, so operators are ``mapInPandas`` over rows that
+``functions.edits`` gives the scripts between two sequences. Rows are independent, so operators are ``mapInArrow`` over rows that
 a join has given their sequences.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from readloom.functions import edits
 from readloom.functions.scalar import mirror, revcomp
@@ -29,14 +30,17 @@ def _longs(names: list[str]) -> list[T.StructField]:
 def each_row(df: DataFrame, keep: list[str], fields: list[T.StructField], uses: list[str], make) -> DataFrame:
     """``make`` of the columns ``uses`` of each row, beside the columns ``keep``."""
 
-    def run(parts):
-        for p in parts:
-            rows = [make(*r) for r in zip(*(p[c] for c in uses))]
-            out = pd.DataFrame(rows, columns=[f.name for f in fields], index=p.index, dtype=object)
-            yield pd.concat([p[keep], out], axis=1)
+    names = [f.name for f in fields]
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches):
+        for b in batches:
+            rows = [make(*r) for r in zip(*(b.column(c).to_pylist() for c in uses))]
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, *names])
 
     schema = T.StructType([df.schema[c] for c in keep] + fields)
-    return df.select(*dict.fromkeys([*keep, *uses])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*keep, *uses])).mapInArrow(run, schema)
 
 
 def parts(rows: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def deep_check(ovl: DataFrame, keep: list[str], ts: int = 100) -> DataFrame:
             runs += tile
             at, bt = end, bt + t["blen"]
         s = edits.stats(runs)
-        less = not pd.isna(diffs) and diffs < edits.errors(runs)
+        less = diffs is not None and diffs < edits.errors(runs)
         return (*(s[n] for n in names), "count" if fewer else "differences" if less else None)
 
     return each_row(rows, keep, [*_longs(names), T.StructField("error", T.StringType())], [*_TILED, "_inside", "_diffs"], make)
@@ -167,11 +171,20 @@ def _codes(seq: str, k: int) -> np.ndarray:
     n = len(base) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    code, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-    for i in range(k):
-        code = code * 4 + base[i : i + n]
-        bad |= base[i : i + n] < 0
-    return np.where(bad, -1, code)
+    # Numbers of twice as many bases from two of half; those of the powers of two in k are joined.
+    code, part, at, size = np.zeros(n, np.int64), np.maximum(base, 0), k, 1
+    while True:
+        if k & size:
+            at -= size
+            code += part[at : at + n] << 2 * (k - at - size)
+        if 2 * size > k:
+            break
+        part = (part[:-size] << 2 * size) + part[size:]
+        size *= 2
+    if base.min() < 0:
+        bad = np.concatenate([[0], np.cumsum(base < 0)])
+        code[bad[k:] > bad[:-k]] = -1
+    return code
 
 
 #: Seeds of a pair that are listed at a time.
@@ -182,13 +195,21 @@ def seeds_by_diagonal(a: str, b: str, k: int):
     """(diagonal, ascending places on A) of the k-mers that two sequences share, by ascending diagonal. Up to SEEDS are listed
     and sorted; if k-mers repeat so often that there are more, diagonals are searched one after another, so that only
     the seeds of one are held."""
-    x, y = _codes(a, k), _codes(b, k)
+    x = _codes(a, k)
+    y = x if a == b else _codes(b, k)
+    if not len(x) or not len(y):
+        return
     order = np.argsort(y, kind="stable")
-    first, last = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
-    n = np.where(x >= 0, last - first, 0)
+    ascending = y[order]
+    first = np.searchsorted(ascending, x)
+    of = np.flatnonzero((ascending[np.minimum(first, len(y) - 1)] == x) & (x >= 0))  # the places on A with a seed
+    if not len(of):
+        return
+    first = first[of]
+    n = np.searchsorted(ascending, x[of], "right") - first
     if n.sum() <= SEEDS:
-        pa = np.repeat(np.arange(len(x)), n)
-        d = pa - order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(pa))] if len(pa) else pa
+        pa = np.repeat(of, n)
+        d = pa - order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(pa))]
         sort = np.lexsort((pa, d))
         pa, d = pa[sort], d[sort]
         ends = np.flatnonzero(np.diff(d, append=d[-1:] + 1)) + 1
@@ -225,6 +246,11 @@ class Covered:
         i = bisect.bisect_right(self.begin, begin) - 1
         return i >= 0 and end <= self.end[i]
 
+    def without(self, begin: np.ndarray, size: int) -> np.ndarray:
+        """The first places of spans of ``size`` that no interval holds."""
+        i = np.searchsorted(self.begin, begin, "right") - 1
+        return begin[(i < 0) | (begin + size > np.asarray(self.end)[i])]
+
 
 def through(a: str, b: str, apos: int, bpos: int, itself: bool = False) -> tuple[int, int, int, int, edits.Runs]:
     """The alignment that extends from a pair of places to both sides: abpos, aepos, bbpos, bepos and its script. ``itself``:
@@ -251,9 +277,8 @@ def pair_alignments(a: str, b: str, itself: bool, k: int, min_length: int, ts: i
             del covered[gone]
         if itself and d == 0:
             continue
-        for apos in places.tolist():
-            if d in covered and covered[d].holds(apos, apos + k):
-                continue
+        while len(places := covered[d].without(places, k) if d in covered else places):
+            apos, places = int(places[0]), places[1:]
             ab, ae, bb, be, runs = through(a, b, apos, apos - d, itself)
             for begin, size, at in edits.match_runs(runs, ab, bb):
                 if at >= d:

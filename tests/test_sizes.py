@@ -1,8 +1,11 @@
 """Joins and sorts whose sizes Spark misjudges, or that would hold more than they need."""
 
+import random
+import sys
+
 from pyspark.sql import functions as F
 
-from readloom.operators import intervals, trace
+from readloom.operators import intervals, kernels, trace
 
 
 def plan(df):
@@ -23,3 +26,21 @@ def test_good_intervals_are_not_broadcast(spark):
     found = trace.quality_clip(ovl, intervals.quality_runs(quals), 100)
     assert "Broadcast" not in plan(found)
     assert [(r.abpos, r.aepos, r.bbpos, r.bepos, len(r.trace)) for r in found.collect()] == [(0, 200, 10, 210, 2)]
+
+
+def test_seeds_of_a_diagonal_are_skipped_at_once():
+    """Seeds that lie on an alignment aren't looked at one by one, and fronts of an extension are no arrays of many steps each."""
+    a = "".join(random.Random(3).choices("ACGT", k=20_000))
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        (found,) = kernels.pair_alignments(a, a, False, 14, 1000, 100)
+    finally:
+        sys.settrace(None)
+    assert found[:5] == (0, 20_000, 0, 20_000, 0) and lines < 20_000
