@@ -5,6 +5,8 @@ Readers take a frame of lines or records with a number that orders them, so that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,22 @@ def kind(first: Column) -> Column:
 def paf(lines: DataFrame) -> DataFrame:
     """Alignments from (line_no, value): query and target spans, strand and CIGAR (tag cg:Z:, null without one). Lines with
     under 12 fields are skipped; an unknown strand is an error."""
-    f = F.split("value", "\t")
-    rows = lines.withColumn("f", f).where(F.size("f") >= 12)
     longs = {"qlen": 1, "qstart": 2, "qend": 3, "tlen": 6, "tstart": 7, "tend": 8, "matches": 9, "alen": 10, "mapq": 11}
-    tag = F.try_element_at(F.filter(F.slice("f", F.lit(13), F.size("f")), lambda t: t.startswith("cg:Z:")), F.lit(1))
-    return rows.select(
-        "line_no", F.col("f")[0].alias("qname"), F.col("f")[5].alias("tname"), is_inverse(F.col("f")[4]).alias("is_inverse"),
-        *(F.col("f")[i].cast("long").alias(n) for n, i in longs.items()), F.substr(tag, F.lit(6)).alias("cigar"),
-    )
+
+    def row(f):
+        tag = F.try_element_at(F.filter(F.slice(f, F.lit(13), F.size(f)), lambda t: t.startswith("cg:Z:")), F.lit(1))
+        return F.struct(
+            f[0].alias("qname"), f[5].alias("tname"), is_inverse(f[4]).alias("is_inverse"),
+            *(f[i].cast("long").alias(n) for n, i in longs.items()), F.substr(tag, F.lit(6)).alias("cigar"),
+        )
+
+    return _parsed(lines, F.split("value", "\t"), lambda f: F.size(f) >= 12, row)
+
+
+def _parsed(lines: DataFrame, split: Column, good, row) -> DataFrame:
+    """line_no and the columns of ``row`` of the fields of each line whose fields are ``good``. Both are stated within a generator, so that
+    a line is made and split once: filters on columns that come of it would be pushed below, and make it anew for each."""
+    return lines.select("line_no", F.inline(F.transform(F.filter(F.array(split), good), row)))
 
 
 def paf_overlaps(rows: DataFrame) -> DataFrame:
@@ -90,9 +100,17 @@ M4 = ["qname", "tname", "tstrand", "qstrand", "score", "similarity", "tstart", "
 def m4(lines: DataFrame) -> DataFrame:
     """Alignments from (line_no, value) of 13 fields; lines that don't parse are skipped. Where the query is reversed both
     spans are mirrored."""
-    rows = lines.withColumn("f", fields(F.col("value"))).where(F.size("f") == 13)
-    named = rows.select("line_no", F.col("f")[0].alias("qname"), F.col("f")[1].alias("tname"), F.expr("try_cast(f[5] AS double)").alias("similarity"), *(F.expr(f"try_cast(f[{M4.index(n)}] AS bigint)").alias(n) for n in M4 if n not in ("qname", "tname", "similarity")))
-    good = named.where(" AND ".join(f"{n} IS NOT NULL" for n in M4))
+    texts = ("qname", "tname")
+
+    def cell(f, n):
+        text = F.try_element_at(f, F.lit(M4.index(n) + 1))
+        return text if n in texts else text.try_cast("double" if n == "similarity" else "bigint")
+
+    def good(f):
+        return reduce(Column.__and__, (cell(f, n).isNotNull() for n in M4), F.size(f) == 13)
+
+    named = ["qname", "tname", "similarity", *(n for n in M4 if n not in (*texts, "similarity"))]
+    good = _parsed(lines, fields(F.col("value")), good, lambda f: F.struct(*(cell(f, n).alias(n) for n in named)))
     flip = F.col("qstrand") == 1
     spans = {}
     for x in "tq":

@@ -6,6 +6,7 @@ import sys
 from pyspark.sql import functions as F
 
 from readloom.operators import intervals, kernels, trace
+from readloom.sources import text
 
 
 def plan(df):
@@ -44,3 +45,12 @@ def test_seeds_of_a_diagonal_are_skipped_at_once():
     finally:
         sys.settrace(None)
     assert found[:5] == (0, 20_000, 0, 20_000, 0) and lines < 20_000
+
+
+def test_lines_are_split_once(spark):
+    """Filters on fields, which joins add too, don't split a line anew."""
+    lines = spark.createDataFrame([(1, "q/1 t 0 1 -5 99.5 10 20 100 5 15 90 7"), (2, "q t 0 0 -5 x 1 2 3 4 5 6 7"), (3, "q t")], "line_no long, value string")
+    found = text.m4(lines)
+    assert [tuple(r) for r in found.collect()] == [(1, "q/1", "t", 99.5, 0, 1, -5, 80, 90, 100, 75, 85, 90, 7)]
+    assert found.where("qname <> tname")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert text.paf(lines).where("cigar is null and qlen > 3 and qname <> tname")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
