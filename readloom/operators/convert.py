@@ -106,13 +106,7 @@ def traced(rows: DataFrame, refs: DataFrame, reads: DataFrame, keep: list[str],
     """
     full = joins.with_sequences(rows, refs, reads)
     names = list(dict.fromkeys([*SPAN, *keep]))
-    told = kernels.from_cigar(kernels.parts(full.where("cigar is not null")), names, ts)
-    without = full.where("cigar is null")
-    if correct:
-        found = kernels.correct_spans(without, names, ts)
-    else:
-        found = kernels.align_spans(without, names, ts)
-    both = told.unionByName(found.select(*names, "diffs", "trace"))
+    both = kernels.traced_spans(full, names, ts, correct=correct)
     fits = b_length(F.col("trace")) == F.col("bepos") - F.col("bbpos")
     checked = F.when(fits, F.col("trace")).otherwise(F.raise_error(F.lit("the trace leaves its B span")).cast(both.schema["trace"].dataType))
     return both.withColumn("trace", checked).select(*keep, "diffs", "trace")

@@ -326,16 +326,30 @@ def correct_spans(rows: DataFrame, keep: list[str], ts: int = 100, k: int = 14)
     The anchor is the seed of ``k`` bases within the stated spans that lies nearest to their corners' diagonal, by its place at
     the middle if several do; without a seed the spans are aligned from end to end as they are.
     """
-    names = [c for c in keep if c not in ("abpos", "aepos", "bbpos", "bepos")]
+    rows = rows.withColumn("cigar", F.lit(None).cast("string"))
+    return traced_spans(rows, [c for c in keep if c != "cigar"], ts, k, correct=True)
 
-    def make(a, b, ab, ae, bb, be):
+
+def traced_spans(rows: DataFrame, keep: list[str], ts: int = 100, k: int = 14, correct: bool = False) -> DataFrame:
+    """``keep`` of rows (aseq, bseq, spans, and cigar or null), spans, diffs and trace, in one pass over all rows: a CIGAR string gives the
+    trace, its M told apart by the bases; a row without one is aligned between its ends or, with ``correct``, as by ``correct_spans``."""
+    ends = ["abpos", "aepos", "bbpos", "bepos"]
+    names = [c for c in keep if c not in ends]
+
+    def make(text, a, b, ab, ae, bb, be):
         x, y = a[ab:ae], b[bb:be]
-        best = min(((abs(2 * d - len(x) + len(y)), abs(2 * int(p) - len(x)), d, int(p)) for d, at in seeds_by_diagonal(x, y, k) for p in at[[np.abs(2 * at - len(x)).argmin()]]), default=None)
-        if best:
-            ab, ae, bb, be, runs = through(a, b, ab + best[3], bb + best[3] - best[2])
-        else:
+        if text is not None:
+            runs = edits.parse(text, x, y)
+        elif not correct:
             runs = edits.align(x, y)
-        trace = edits.tiles(runs, ab, ts)
-        return ab, ae, bb, be, edits.errors(runs), trace
-
-    return each_row(rows, names, [*_longs(["abpos", "aepos", "bbpos", "bepos"]), *_TRACED], ["aseq", "bseq", "abpos", "aepos", "bbpos", "bepos"], make)
+        else:
+            seeds = seeds_by_diagonal(x, y, k)
+            best = min(((abs(2 * d - len(x) + len(y)), abs(2 * int(p) - len(x)), d, int(p)) for d, at in seeds for p in at[[np.abs(2 * at - len(x)).argmin()]]), default=None)
+            if best:
+                ab, ae, bb, be, runs = through(a, b, ab + best[3], bb + best[3] - best[2])
+            else:
+                runs = edits.align(x, y)
+        return ab, ae, bb, be, edits.errors(runs), edits.tiles(runs, ab, ts)
+
+    found = each_row(rows, names, [*_longs([f"_{c}" for c in ends]), *_TRACED], ["cigar", "aseq", "bseq", *ends], make)
+    return found.withColumnsRenamed({f"_{c}": c for c in ends})

@@ -5,7 +5,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from readloom.operators import intervals, kernels, trace
+from readloom.operators import convert, intervals, kernels, trace
 from readloom.sources import text
 
 
@@ -54,3 +54,13 @@ def test_lines_are_split_once(spark):
     assert [tuple(r) for r in found.collect()] == [(1, "q/1", "t", 99.5, 0, 1, -5, 80, 90, 100, 75, 85, 90, 7)]
     assert found.where("qname <> tname")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert text.paf(lines).where("cigar is null and qlen > 3 and qname <> tname")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_traces_of_rows_with_and_without_cigar_in_one_pass(spark):
+    """Rows meet their sequences once, whether or not they have a CIGAR string."""
+    reads = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "ACGTCGTAC")], "read_id long, seq string")
+    spans = "aread long, bread long, is_inverse boolean, abpos long, aepos long, bbpos long, bepos long, cigar string"
+    rows = spark.createDataFrame([(1, 2, False, 0, 10, 0, 9, "4=1D5M"), (1, 2, False, 0, 10, 0, 9, None)], spans)
+    found = convert.traced(rows, reads, reads, ["aread"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r.diffs, r.trace[0].blen) for r in found.collect()] == [(1, 9)] * 2
