@@ -260,7 +260,10 @@ def through(a: str, b: str, apos: int, bpos: int, itself: bool = False) -> tuple
     back = edits.extend(a[:apos][::-1], b[:bpos][::-1], None if high is None else -high, None if low is None else -low)
     ahead = edits.extend(a[apos:], b[bpos:], low, high)
     (i, j), (m, n) = edits.spans(back), edits.spans(ahead)
-    return apos - i, apos + m, bpos - j, bpos + n, edits.merged([*back[::-1], *ahead])
+    ab, ae, bb, be = apos - i, apos + m, bpos - j, bpos + n
+    runs = edits.merged([*back[::-1], *ahead])
+    # Off its diagonal's ends a script of mismatches alone could align a read with itself.
+    return ab, ae, bb, be, runs if itself and ab == bb else edits.straight(a[ab:ae], b[bb:be], runs)
 
 
 def pair_alignments(a: str, b: str, itself: bool, k: int, min_length: int, ts: int) -> list[tuple]:

@@ -5,6 +5,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from readloom.functions import edits
 from readloom.operators import convert, intervals, kernels, trace
 from readloom.sources import text
 
@@ -64,3 +65,15 @@ def test_traces_of_rows_with_and_without_cigar_in_one_pass(spark):
     found = convert.traced(rows, reads, reads, ["aread"])
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert [(r.diffs, r.trace[0].blen) for r in found.collect()] == [(1, 9)] * 2
+
+
+def test_mismatches_alone_where_they_are_as_few():
+    """An indel each way that saves mismatches by a period, but no error, is no better."""
+    a = ("TA" * 300)[:600]
+    b = "".join({"A": "T", "T": "A"}[c] if i % 100 == 50 else c for i, c in enumerate(a))
+    want = [(50, "="), *[(1, "X"), (99, "=")] * 5, (1, "X"), (49, "=")]
+    assert edits.align(a, b) == want
+    c = "A" * 130 + "ATT" * 157  # an extension from a seed, as of an anchor
+    d = "".join({"A": "T", "T": "A"}[x] if i % 100 == 50 else x for i, x in enumerate(c))
+    ab, ae, bb, be, runs = kernels.through(c, d, 360, 360)
+    assert ab == bb == 0 and ae == be and all(op in "=X" for _, op in runs)
