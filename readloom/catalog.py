@@ -768,7 +768,7 @@ def reference_places(spark, d):
 SELECT src, count(*) FILTER (WHERE before > k) AS unsorted FROM lagged GROUP BY src""")
 def sorted_check(spark, d):
     ovl = fx.overlaps(spark, d).withColumns({"src": F.col("src_id") % 3, "at": F.struct(*TIE, "aread")})
-    return checks.sorted_verdict(ovl, "canonical", "at", "src", [])
+    return checks.sorted_verdict(ovl, "canonical", "at", "src", [], bucket=F.floor(F.col("src_id") / 1024))
 
 
 @query(f"WITH {fx.OVL}, {BLOCK_SQL} SELECT {T}, aread, bread FROM ovl WHERE bread IN (SELECT read_id FROM blk WHERE block = 2)")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.trace import b_length
 from readloom.operators.filters import cigar_valid
 from readloom.operators.joins import asymmetric
-from readloom.operators.order import unsorted
+from readloom.operators.order import order_keys, with_before
 
 
 def structural(ovl: DataFrame) -> DataFrame:
@@ -27,10 +27,12 @@ def verdict(ovl: DataFrame, src: str) -> DataFrame:
     return flags.groupBy(src).agg(F.count("*").alias("rows"), F.bool_and(good).alias("ok"))
 
 
-def sorted_verdict(ovl: DataFrame, order: str, by: str, src: str, tie: list[str]) -> DataFrame:
-    """(src, unsorted): how many rows of each input are out of order."""
-    bad = unsorted(ovl, order, by, [src], tie).groupBy(src).agg(F.count("*").alias("n"))
-    return ovl.select(src).distinct().join(bad, src, "left").select(src, F.coalesce("n", F.lit(0)).alias("unsorted"))
+def sorted_verdict(ovl: DataFrame, order: str, by: str, src: str, tie: list[str], bucket: Column | None = None) -> DataFrame:
+    """(src, unsorted): how many rows of each input are out of order. ``bucket`` as for ``order.unsorted``; without it all rows of an
+    input are sorted in one task."""
+    rows = ovl.select(src, F.col(by).alias("_by"), F.struct(*order_keys(order, tie)).alias("_key"), *([] if bucket is None else [bucket.alias("_at")]))
+    marked = with_before(rows, "_key", ["_by"], [src], None if bucket is None else F.col("_at"))
+    return marked.groupBy(src).agg(F.count_if(F.col("_before") > F.col("_key")).alias("unsorted"))
 
 
 def symmetry(ovl: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def best(ovl: DataFrame, m: int, tie: list[str]) -> DataFrame:
     return kept.withColumn("role", F.when(F.col("place") == 1, "primary").otherwise("secondary"))
 
 
-def _before(rows: DataFrame, value: Column, order: list[str], group: list[str], bucket: Column | None) -> DataFrame:
+def with_before(rows: DataFrame, value: Column | str, order: list[str], group: list[str], bucket: Column | None) -> DataFrame:
     """``rows`` with _before: ``value`` of the row before in the group; by buckets of the order where they are given."""
     if bucket is not None:
         return before(rows, bucket, order, value, "_before", group)
@@ -116,11 +116,11 @@ def _before(rows: DataFrame, value: Column, order: list[str], group: list[str],
 def secondary_names(rows: DataFrame, name: str, order: list[str], group: list[str] = (), bucket: Column | None = None) -> DataFrame:
     """``rows`` with is_secondary: the name is that of the row before. ``bucket``, a number that doesn't decrease along the order,
     splits groups that are large; rows that aren't grouped need it."""
-    found = _before(rows, F.col(name), order, group, bucket)
+    found = with_before(rows, F.col(name), order, group, bucket)
     return found.withColumn("is_secondary", F.coalesce(F.col("_before") == F.col(name), F.lit(False))).drop("_before")
 
 
 def unsorted(ovl: DataFrame, order: str, by: str, src: list[str] = (), tie: list[str] = (), bucket: Column | None = None) -> DataFrame:
     """Rows that come, by the column ``by``, behind a row that belongs behind them. ``bucket`` as for ``secondary_names``."""
     key = F.struct(*order_keys(order, tie))
-    return _before(ovl, key, [by], src, bucket).where(F.col("_before") > key).drop("_before")
+    return with_before(ovl, key, [by], src, bucket).where(F.col("_before") > key).drop("_before")

@@ -36,18 +36,21 @@ def rank(df: DataFrame, bucket: Column, order: list, name: str) -> DataFrame:
     return running_sum(df, bucket, order, F.lit(1), name)
 
 
-def before(df: DataFrame, bucket: Column, order: list, value: Column, name: str, group: list[str] = ()) -> DataFrame:
+def before(df: DataFrame, bucket: Column, order: list, value: Column | str, name: str, group: list[str] = ()) -> DataFrame:
     """``df`` with ``name``: ``value`` of the row before each in its group by (bucket, order), null for the first.
 
     As with ``running_sum``, ``bucket`` must not decrease along the order. Rows are sorted within their bucket; of each bucket
-    only its last value, one row, meets the others of its group in one task.
+    only its last value, one row, meets the others of its group in one task. A ``value`` that is a column of ``df`` is best given
+    by its name, as it isn't carried twice then.
     """
-    keyed = df.withColumns({"_bucket": bucket, "_value": value})
+    named = isinstance(value, str)
+    keyed = df.withColumns({"_bucket": bucket} if named else {"_bucket": bucket, "_value": value})
+    value = value if named else "_value"
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    lasts = keyed.groupBy(*group, "_bucket").agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_last"))
+    lasts = keyed.groupBy(*group, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("_value")), F.struct(*order)).alias("_last"))
     lasts = lasts.withColumn("_last", F.lag("_last").over(Window.partitionBy(*group).orderBy("_bucket")))
     lasts = lasts.select(F.col("_last._value").alias("_last"), *(F.col(c).alias(f"_on{i}") for i, c in enumerate([*group, "_bucket"])))
-    rows = keyed.withColumns({"_place": F.row_number().over(inside), "_inside": F.lag("_value").over(inside)})
+    rows = keyed.withColumns({"_place": F.row_number().over(inside), "_inside": F.lag(value).over(inside)})
     for i, c in enumerate([*group, "_bucket"]):
         on = F.col(c).eqNullSafe(F.col(f"_on{i}"))
         joint = on if i == 0 else joint & on

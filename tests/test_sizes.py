@@ -6,7 +6,7 @@ import sys
 from pyspark.sql import functions as F
 
 from readloom.functions import edits
-from readloom.operators import convert, intervals, kernels, trace
+from readloom.operators import checks, convert, intervals, kernels, trace
 from readloom.sources import text
 
 
@@ -77,3 +77,13 @@ def test_mismatches_alone_where_they_are_as_few():
     d = "".join({"A": "T", "T": "A"}[x] if i % 100 == 50 else x for i, x in enumerate(c))
     ab, ae, bb, be, runs = kernels.through(c, d, 360, 360)
     assert ab == bb == 0 and ae == be and all(op in "=X" for _, op in runs)
+
+
+def test_order_of_an_input_is_checked_by_buckets(spark):
+    """The rows of an input aren't sorted in one task."""
+    rows = [(a, 1, False, 0, 300, 10, 310, 3, i, None) for i, a in enumerate([1, 2, 5, 4, 9, 3, 3, 1, 8, 9])]
+    ovl = overlaps(spark, rows).withColumn("src", F.col("src_id") % 2)
+    found = checks.sorted_verdict(ovl, "canonical", "src_id", "src", [], bucket=F.floor(F.col("src_id") / 4))
+    assert {r.src: r.unsorted for r in found.collect()} == {0: 1, 1: 2}
+    p = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in p and p.count("LogicalRDD") == 2  # the last rows of buckets, and all rows
