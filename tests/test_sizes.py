@@ -6,7 +6,7 @@ import sys
 from pyspark.sql import functions as F
 
 from readloom.functions import edits
-from readloom.operators import checks, convert, intervals, kernels, trace
+from readloom.operators import checks, convert, dedup, intervals, kernels, trace
 from readloom.sources import text
 
 
@@ -87,3 +87,16 @@ def test_order_of_an_input_is_checked_by_buckets(spark):
     assert {r.src: r.unsorted for r in found.collect()} == {0: 1, 1: 2}
     p = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_bucket" in p and p.count("LogicalRDD") == 2  # the last rows of buckets, and all rows
+
+
+def contained(spark):
+    rows = [(1, 2, False, b, e, b + 5, e + 5, 3, i, [(1, t) for t in ts]) for i, (b, e, ts) in enumerate([(0, 400, [100] * 4), (100, 300, [100] * 2), (0, 400, [100] * 4), (0, 300, [90, 110, 100]), (200, 500, [100] * 3), (900, 1000, [100])])]
+    return overlaps(spark, [*rows, rows[2], (3, *rows[1][1:])])
+
+
+def test_contained_rows_are_found_without_pairs(spark):
+    """At a point rows are sorted, and not compared with one another; points that no two rows share aren't shuffled with their rows."""
+    found = dedup.contained_kills(contained(spark), ["src_id"], 100)
+    assert sorted((r.aread, r.src_id) for r in found.collect()) == [(1, 1), (1, 2), (1, 3)]
+    joins_ = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins_) == 1 and "LeftSemi" in joins_[0]
