@@ -6,7 +6,7 @@ import sys
 from pyspark.sql import functions as F
 
 from readloom.functions import edits
-from readloom.operators import checks, convert, dedup, intervals, kernels, trace
+from readloom.operators import checks, convert, dedup, intervals, joins, kernels, trace
 from readloom.sources import text
 
 
@@ -100,3 +100,10 @@ def test_contained_rows_are_found_without_pairs(spark):
     assert sorted((r.aread, r.src_id) for r in found.collect()) == [(1, 1), (1, 2), (1, 3)]
     joins_ = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert len(joins_) == 1 and "LeftSemi" in joins_[0]
+
+
+def test_rows_that_share_no_point_are_left_out(spark):
+    """Points of all rows are shuffled as hashes; whole rows only of those that may share one."""
+    near = joins.maybe_sharing(contained(spark), ["aread", "src_id"], 100)
+    assert "hashpartitioning(_point" in plan(near)
+    assert sorted((r.aread, r.src_id) for r in near.collect()) == [(1, 0), (1, 1), (1, 2), (1, 2), (1, 3), (1, 4)]
